@@ -22,35 +22,40 @@ def _ny_wall(utc_ms: Column) -> Column:
     return F.unix_millis(shifted)
 
 
-def wall_candidates(wall_ms: Column) -> list[Column]:
-    """Instants (NULL where invalid) whose New York wall time is ``wall_ms``."""
-    found = []
-    for offset in fixed.NEW_YORK_OFFSETS_MS:
-        utc = wall_ms - F.lit(offset)
-        known = (utc >= 0) & (utc < fixed.NEW_YORK_TABLE_END_MS)
-        found.append(F.when(known & (_ny_wall(utc) == wall_ms), utc))
-    return found
+def _shows(utc: Column, wall_ms: Column) -> Column:
+    """True when the instant is in the known table and shows this wall time."""
+    known = (utc >= 0) & (utc < fixed.NEW_YORK_TABLE_END_MS)
+    return F.coalesce(known & (_ny_wall(utc) == wall_ms), F.lit(False))
+
+
+def _supported(wall_ms: Column) -> Column:
+    return (wall_ms > 0) & (wall_ms <= fixed.MAX_INSTANT_MS)
 
 
 def wall_matches(wall_ms: Column) -> Column:
     """Number of instants showing this wall time: 1 is normal."""
-    count = F.lit(0)
-    for candidate in wall_candidates(wall_ms):
-        count = count + F.when(candidate.isNotNull(), 1).otherwise(0)
-    supported = (wall_ms > 0) & (wall_ms <= fixed.MAX_INSTANT_MS)
-    return F.when(supported, count).otherwise(0)
+    found = [_shows(wall_ms - o, wall_ms).cast("int") for o in fixed.NEW_YORK_OFFSETS_MS]
+    return F.when(_supported(wall_ms), found[0] + found[1]).otherwise(0)
 
 
 def wall_to_utc(wall_ms: Column) -> Column:
     """The one instant of a wall time, NULL when skipped or ambiguous."""
-    return F.when(wall_matches(wall_ms) == 1, F.coalesce(*wall_candidates(wall_ms)))
+    first, second = [wall_ms - o for o in fixed.NEW_YORK_OFFSETS_MS]
+    in_first, in_second = _shows(first, wall_ms), _shows(second, wall_ms)
+    one = F.when(in_first, F.when(~in_second, first)).when(in_second, second)
+    return F.when(_supported(wall_ms), one)
 
 
 def utc_to_wall(utc_ms: Column) -> Column:
-    """Wall time of an instant, NULL when it would not convert back."""
+    """Wall time of an instant, NULL when it would not convert back.
+
+    Only an instant one hour off can show the same wall time.
+    """
     known = (utc_ms >= 0) & (utc_ms < fixed.NEW_YORK_TABLE_END_MS)
     wall = _ny_wall(utc_ms)
-    return F.when(known & (wall_matches(wall) == 1), wall)
+    hour = 3600000
+    twice = _shows(utc_ms + hour, wall) | _shows(utc_ms - hour, wall)
+    return F.when(known & _supported(wall) & ~twice, wall)
 
 
 def stored_ms(utc_ms: Column, market: Column) -> Column:

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from tidemark.schemas import as_struct
+
 
 def document_problem(
     text: Column, schema: DataType, optional: frozenset[str] = frozenset()
@@ -50,9 +52,10 @@ def document_problem(
 
 
 def strict_json_doc(
-    df: DataFrame, col: str, schema: StructType, optional: frozenset[str] = frozenset()
+    df: DataFrame, col: str, schema: str | StructType, optional: frozenset[str] = frozenset()
 ) -> DataFrame:
     """Add ``doc`` (NULL for a bad document) and ``problem`` (NULL for a good one)."""
+    schema = as_struct(schema)
     parsed = F.from_json(F.col(col), schema, {"mode": "PERMISSIVE"})
     return (
         df.withColumn("problem", document_problem(F.col(col), schema, optional))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import clock
+from tidemark.operators.steps import bind
 from tidemark.schemas import SERIES
 
 # Requests span at most 366 days and archive entries a month, so a pair of them
@@ -43,6 +44,14 @@ def overlap(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     ).drop("_bucket")
 
 
+def entry_prune(catalog: DataFrame, requests: DataFrame) -> DataFrame:
+    """Entries that some request overlaps, each once."""
+    asked = requests.select("request_id", *SERIES, "start_stored", "end_stored")
+    key = [*SERIES, "cov_start", "cov_end"]
+    wanted = overlap(asked, catalog.select(*key)).select(*key)
+    return catalog.join(wanted, key, "left_semi")
+
+
 def coverage_frontier(
     requests: DataFrame, catalog: DataFrame, match: list[str] | None = None
 ) -> DataFrame:
@@ -55,7 +64,11 @@ def coverage_frontier(
     entries = catalog
     for name in match or []:
         entries = entries.withColumnRenamed(name, f"_entry_{name}")
-    pairs = overlap(requests.select(*keep, *(match or [])), entries)
+    carried = [f"_entry_{name}" for name in match or []]
+    pairs = overlap(
+        requests.select(*keep, *(match or [])),
+        entries.select(*SERIES, "cov_start", "cov_end", *carried),
+    )
     for name in match or []:
         pairs = pairs.where(F.col(name) == F.col(f"_entry_{name}"))
     order = Window.partitionBy("request_id").orderBy("cov_start", "cov_end")
@@ -110,6 +123,56 @@ def source_name(tier: Column, slug: Column, dataset: Column, stored: Column, mar
     return F.concat(tier, F.lit("-"), slug, F.lit("-"), part, kind)
 
 
+def _walk(entries: Column, start: Column, end: Column, market: Column) -> Column:
+    """Fold of the five cursor steps over the entries of one request."""
+
+    def covers(e: Column, tier: str, at: Column) -> Column:
+        return (e["tier"] == tier) & (e["cov_start"] <= at) & (at < e["cov_end"])
+
+    def archive(at: Column) -> Column:
+        hits = F.filter(entries, lambda e: covers(e, "history", at))
+        return F.array_max(F.transform(hits, lambda e: e["chain_end"]))
+
+    def day_entry(at: Column, other_than: Column) -> Column:
+        day = clock.stored_day(at, market)
+        hits = F.filter(
+            entries,
+            lambda e: covers(e, "intraday", at)
+            & (clock.stored_day(e["cov_start"], market) == day)
+            & (day != other_than),
+        )
+        return F.array_min(F.transform(hits, lambda e: e["cov_end"]))
+
+    def move(acc: Column, step: Column) -> Column:
+        at = acc["at"]
+        by_archive = step % 2 == 1
+        found = F.when(by_archive, archive(at)).otherwise(day_entry(at, acc["day"]))
+
+        def advance(to: Column) -> Column:
+            taken = F.when(to < end, to).otherwise(end)
+            piece = F.struct(
+                F.when(by_archive, "history").otherwise("intraday").alias("tier"),
+                at.alias("lo"),
+                taken.alias("hi"),
+            )
+            moved = F.struct(
+                taken.alias("at"),
+                F.when(by_archive, acc["day"]).otherwise(clock.stored_day(at, market)).alias("day"),
+                F.concat(acc["pieces"], F.array(piece)).alias("pieces"),
+            )
+            return F.when(to.isNull() | (at >= end), acc).otherwise(moved)
+
+        return bind(found, advance)
+
+    begin = F.struct(
+        start.alias("at"),
+        F.lit(fixed.FIRST_CIVIL_DAY - 1).alias("day"),
+        F.from_json(F.lit("[]"), "array<struct<tier:string,lo:bigint,hi:bigint>>").alias("pieces"),
+    )
+    steps = F.array(*[F.lit(n) for n in [1, 2, 3, 4, 5]])
+    return F.aggregate(steps, begin, move)
+
+
 def serve_plan(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """For each request the pieces to read, in order, and where they end.
 
@@ -125,86 +188,51 @@ def serve_plan(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     intraday = catalog.where("tier = 'intraday'").withColumn("chain_end", F.col("cov_end"))
     keep = [*SERIES, "tier", "cov_start", "cov_end", "chain_end", "data_version"]
     entries = history.select(*keep).unionByName(intraday.select(*keep))
-    pairs = overlap(
-        requests.select("request_id", *SERIES, "start_stored", "end_stored", "include_intraday"),
-        entries,
-    ).where("tier = 'history' or include_intraday")
-    found = pairs.groupBy("request_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("tier", "cov_start", "cov_end", "chain_end", "data_version")
-            )
-        ).alias("_entries")
+    asked = ["request_id", *SERIES, "start_stored", "end_stored", "include_intraday"]
+    pairs = overlap(requests.select(*asked, "slug"), entries).where(
+        "tier = 'history' or include_intraday"
     )
-    df = requests.join(found, "request_id", "left")
-    end, market = F.col("end_stored"), F.col("market")
-
-    def covers(e: Column, tier: str, at: Column) -> Column:
-        return (e["tier"] == tier) & (e["cov_start"] <= at) & (at < e["cov_end"])
-
-    def archive(at: Column) -> Column:
-        hits = F.filter(F.col("_entries"), lambda e: covers(e, "history", at))
-        reached = F.array_max(F.transform(hits, lambda e: e["chain_end"]))
-        return F.when(reached < end, reached).when(reached.isNotNull(), end).otherwise(at)
-
-    def day_entry(at: Column, other_than: Column) -> Column:
-        day = clock.stored_day(at, market)
-        hits = F.filter(
-            F.col("_entries"),
-            lambda e: covers(e, "intraday", at)
-            & (clock.stored_day(e["cov_start"], market) == day)
-            & ~(F.coalesce(day == other_than, F.lit(False))),
-        )
-        reached = F.array_min(F.transform(hits, lambda e: e["cov_end"]))
-        return F.when(at < end, F.when(reached < end, reached).when(reached.isNotNull(), end))
-
-    df = df.withColumn("_c1", archive(F.col("start_stored")))
-    df = df.withColumn("_d1", day_entry(F.col("_c1"), F.lit(None).cast("int")))
-    df = df.withColumn("_c2", F.coalesce("_d1", "_c1"))
-    df = df.withColumn("_c3", archive(F.col("_c2")))
-    used = F.when(F.col("_d1").isNotNull(), clock.stored_day(F.col("_c1"), market))
-    df = df.withColumn("_d2", F.when(F.col("_d1").isNotNull(), day_entry(F.col("_c3"), used)))
-    df = df.withColumn("_c4", F.coalesce("_d2", "_c3"))
-    df = df.withColumn("frontier", archive(F.col("_c4")))
-
-    steps = [
-        ("history", F.col("start_stored"), F.col("_c1")),
-        ("intraday", F.col("_c1"), F.col("_c2")),
-        ("history", F.col("_c2"), F.col("_c3")),
-        ("intraday", F.col("_c3"), F.col("_c4")),
-        ("history", F.col("_c4"), F.col("frontier")),
-    ]
-    pieces = F.array(
-        *[
-            F.struct(F.lit(t).alias("tier"), lo.alias("lo"), hi.alias("hi"))
-            for t, lo, hi in steps
-        ]
-    )
-    df = df.withColumn("pieces", F.filter(pieces, lambda p: p["lo"] < p["hi"]))
-    taken = F.filter(
-        F.col("_entries"),
-        lambda e: F.exists(
-            F.col("pieces"),
+    # A request spans at most 366 days, so its entries are a short list.
+    item = F.struct("tier", "cov_start", "cov_end", "chain_end", "data_version")
+    found = pairs.groupBy(
+        "request_id", "dataset", "market", "slug", "start_stored", "end_stored"
+    ).agg(F.array_sort(F.collect_list(item)).alias("entries"))
+    start, end, market = F.col("start_stored"), F.col("end_stored"), F.col("market")
+    walked = found.withColumn("walk", _walk(F.col("entries"), start, end, market))
+
+    def used(e: Column) -> Column:
+        return F.exists(
+            F.col("walk.pieces"),
             lambda p: (p["tier"] == e["tier"])
             & (e["cov_start"] < p["hi"])
             & (e["cov_end"] > p["lo"]),
-        ),
-    )
-    df = df.withColumn("_taken", taken)
-    versions = F.array_distinct(F.transform(F.col("_taken"), lambda e: e["data_version"]))
-    names = F.transform(
-        F.array_sort(
-            F.transform(
-                F.col("_taken"),
-                lambda e: F.struct(e["cov_start"].alias("at"), e["tier"].alias("tier")),
-            )
-        ),
-        lambda e: source_name(e["tier"], F.col("slug"), F.col("dataset"), e["at"], market),
+        )
+
+    def summary(taken: Column) -> Column:
+        versions = F.array_distinct(F.transform(taken, lambda e: e["data_version"]))
+        ordered = F.array_sort(
+            F.transform(taken, lambda e: F.struct(e["cov_start"].alias("at"), e["tier"].alias("tier")))
+        )
+        names = F.transform(
+            ordered,
+            lambda e: source_name(e["tier"], F.col("slug"), F.col("dataset"), e["at"], market),
+        )
+        return F.struct(
+            (F.size(versions) > 1).alias("mixed_versions"),
+            F.array_distinct(names).alias("sources"),
+        )
+
+    plans = walked.select(
+        "request_id", "walk", bind(F.filter("entries", used), summary).alias("use")
     )
+    # The join keeps these expressions below it: they run once per request.
     return (
-        df.withColumn("mixed_versions", F.coalesce(F.size(versions) > 1, F.lit(False)))
-        .withColumn("sources", F.array_distinct(names))
-        .drop("_entries", "_taken", "_c1", "_d1", "_c2", "_c3", "_d2", "_c4")
+        requests.join(plans, "request_id", "left")
+        .withColumn("frontier", F.coalesce("walk.at", "start_stored"))
+        .withColumn("pieces", F.col("walk.pieces"))
+        .withColumn("mixed_versions", F.coalesce("use.mixed_versions", F.lit(False)))
+        .withColumn("sources", F.col("use.sources"))
+        .drop("walk", "use")
     )
 
 

@@ -19,7 +19,7 @@ COMPARED = [
 ]
 
 
-def _overlapping(old: DataFrame, new: DataFrame) -> DataFrame:
+def overlapping(old: DataFrame, new: DataFrame) -> DataFrame:
     """Pairs of an old and a new entry of one series that overlap."""
     before = old.select(*SERIES, *[F.col(c).alias(f"old_{c}") for c in COMPARED])
     before = before.withColumn("start_stored", F.col("old_cov_start")).withColumn(
@@ -30,7 +30,7 @@ def _overlapping(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def transition_violations(old: DataFrame, new: DataFrame) -> DataFrame:
     """Overlapping replacements that go back in version or change at the same one."""
-    pairs = _overlapping(old, new)
+    pairs = overlapping(old, new)
     same = F.lit(True)
     for c in COMPARED:
         if c not in ("source_version", "epoch"):

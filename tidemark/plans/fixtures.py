@@ -422,8 +422,10 @@ def duckdb_query(body: str) -> str:
     heads = [f"{n} as ({SHAPES[n].strip()})" for n in wanted]
     text = ",\n".join(heads)
     body = body.strip()
-    if re.match(r"with\b", body, re.I):
-        joined = "with " + (text + ",\n" if text else "") + re.sub(r"\Awith\s+", "", body, flags=re.I)
+    own = re.match(r"with\s+(recursive\s+)?", body, re.I)
+    if own:
+        head = "with recursive " if own.group(1) else "with "
+        joined = head + (text + ",\n" if text else "") + body[own.end() :]
     else:
         joined = ("with " + text + "\n" if text else "") + body
     return spell(re.sub(r"\{([a-z]\w*)\}", r"\1", joined), DUCKDB)

@@ -1,6 +1,7 @@
 """All registered queries, by area."""
 
 from tidemark.plans.queries import (  # noqa: F401
-    scalars,
+    coverage,
     rows,
+    scalars,
 )

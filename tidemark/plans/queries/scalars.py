@@ -6,7 +6,6 @@ from tidemark import fixed
 from tidemark.functions import clock, identity, numbers
 from tidemark.functions.documents import strict_json_doc
 from tidemark.plans.registry import query
-from tidemark.schemas import StructType
 
 
 @query(
@@ -265,7 +264,7 @@ def wall_utc_join(f):
     )
 
 
-DOC = StructType.fromDDL("id BIGINT, name STRING, inner STRUCT<k: BIGINT>")
+DOC = "id BIGINT, name STRING, inner STRUCT<k: BIGINT>"
 
 
 @query(

@@ -1,16 +1,22 @@
-"""Declared schemas; nothing in the library infers one."""
+"""Declared schemas as DDL text; nothing in the library infers one."""
 
 from pyspark.sql.types import StructType
 
+
+def as_struct(schema: str | StructType) -> StructType:
+    """StructType of a declared schema (parsing needs a running session)."""
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
 SERIES = ["dataset", "market", "symbol"]
 
-BARS = StructType.fromDDL(
+BARS = (
     "dataset STRING, market STRING, symbol STRING, ts_ms BIGINT, "
     "open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume BIGINT, "
     "turnover DOUBLE, open_interest BIGINT, open_oi BIGINT, close_oi BIGINT"
 )
 
-CATALOG = StructType.fromDDL(
+CATALOG = (
     "dataset STRING, market STRING, symbol STRING, period_seconds INT, adjust STRING, "
     "series_id STRING, data_version STRING, source_version DECIMAL(20,0), "
     "cov_start BIGINT, cov_end BIGINT, row_count BIGINT, content_hash STRING, "
@@ -18,7 +24,7 @@ CATALOG = StructType.fromDDL(
 )
 
 # One manifest document per line; unknown fields are caught by strict_json_doc.
-MANIFEST_DOC = StructType.fromDDL(
+MANIFEST_DOC = (
     "schema_version INT, kind STRING, dataset_epoch STRING, entries ARRAY<STRUCT<"
     "identity: STRUCT<dataset: STRING, market: STRING, symbol: STRING, "
     "period_seconds: INT, adjust: STRING>, series_id: STRING, data_version: STRING, "
@@ -27,7 +33,7 @@ MANIFEST_DOC = StructType.fromDDL(
     "object: STRUCT<bytes: BIGINT, index_sha256: STRING, key: STRING, sha256: STRING>>>"
 )
 
-FACTOR_DOC = StructType.fromDDL(
+FACTOR_DOC = (
     "schema_version INT, kind STRING, algorithm STRING, symbol STRING, market STRING, "
     "model STRING, first_day INT, end_day INT, coverage_complete BOOLEAN, "
     "allow_empty BOOLEAN, observed_at_ms BIGINT, valid_until_ms BIGINT, "
@@ -37,7 +43,7 @@ FACTOR_DOC = StructType.fromDDL(
     "backward_adj_factorA: DOUBLE, backward_adj_factorB: DOUBLE, update_time: BIGINT>>"
 )
 
-SUSPENSION_DOC = StructType.fromDDL(
+SUSPENSION_DOC = (
     "schema_version INT, policy STRING, intervals ARRAY<STRUCT<"
     "symbol: STRING, start_ms: BIGINT, end_ms: BIGINT, evidence: STRING>>"
 )

@@ -7,7 +7,6 @@ statistics, the row groups that hold its symbol and times.
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tidemark import fixed
 from tidemark.functions import clock
@@ -40,24 +39,16 @@ def write_snapshot(
     )
 
 
-def stored_schema(extra: StructType | None = None) -> StructType:
-    schema = StructType(list(BARS.fields))
-    for field in extra or []:
-        if field.name not in schema.names:
-            schema = schema.add(field)
-    return schema.add("yyyymm", "string")
-
-
 def scan_bars(
     spark: SparkSession,
     path: str,
     start_ms: int | None = None,
     end_ms: int | None = None,
     symbols: list[str] | None = None,
-    schema: StructType | None = None,
+    schema: str = BARS,
 ) -> DataFrame:
     """Bars of a snapshot in ``[start_ms, end_ms)`` on the stored time axis."""
-    df = spark.read.schema(schema or stored_schema()).parquet(path)
+    df = spark.read.schema(f"{schema}, yyyymm STRING").parquet(path)
     if start_ms is not None:
         first = clock.month_of(F.lit(start_ms).cast("bigint"), F.lit("US"))
         df = df.where((F.col("yyyymm") >= first) & (F.col("ts_ms") >= start_ms))

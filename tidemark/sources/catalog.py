@@ -2,14 +2,13 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark import fixed
 from tidemark.functions import identity
 from tidemark.functions.documents import strict_json_doc
 from tidemark.schemas import CATALOG, MANIFEST_DOC
 
-NAMESPACED = StructType([*CATALOG.fields, StructField("namespace", StringType())])
+NAMESPACED = CATALOG + ", namespace STRING"
 
 
 def manifest_text(catalog: DataFrame) -> DataFrame:

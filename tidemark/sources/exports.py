@@ -6,13 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tidemark import fixed
 from tidemark.operators.digest import RECORDS
-from tidemark.schemas import SERIES
+from tidemark.schemas import SERIES, as_struct
 
-ROWS = StructType.fromDDL(
+ROWS = (
     "dataset STRING, market STRING, symbol STRING, cov_start BIGINT, cov_end BIGINT, "
     "row_no BIGINT, ts_ms BIGINT, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, "
     "volume BIGINT, turnover DOUBLE, open_interest BIGINT, open_oi BIGINT, close_oi BIGINT"
@@ -62,7 +61,7 @@ def ingest_exports(files: DataFrame, entries: DataFrame) -> DataFrame:
         [
             (f.name, {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[
                 f.dataType.simpleString()])
-            for f in ROWS
+            for f in as_struct(ROWS)
         ]
     )
 

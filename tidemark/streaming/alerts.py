@@ -11,16 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from tidemark import fixed
 
 INPUT = ["instance", "observed_s", "seq", "severity", "codes", "send_ok"]
-OUTPUT = StructType.fromDDL(
+OUTPUT = (
     "instance BIGINT, observed_s BIGINT, seq BIGINT, severity STRING, codes STRING, "
     "delivery STRING, event STRING, notification_failed BOOLEAN"
 )
-STATE = StructType.fromDDL(
+NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
+STATE = (
     "observed_s BIGINT, delivered STRING, delivered_ok BOOLEAN, sent_s BIGINT, "
     "attempted_s BIGINT, day STRING, hour STRING, daily INT, hourly INT, failure BOOLEAN"
 )
@@ -83,7 +83,7 @@ class Throttle(StatefulProcessor):
             state, result = step(state, row)
             out.append(result)
         self._state.update(state)
-        yield pd.DataFrame(out, columns=OUTPUT.names)
+        yield pd.DataFrame(out, columns=NAMES)
 
     def close(self) -> None:
         pass
@@ -119,7 +119,7 @@ def alert_throttle_batch(reports: DataFrame) -> DataFrame:
                     instance, state = row.instance, None
                 state, result = step(state, row)
                 out.append(result)
-            yield pd.DataFrame(out, columns=OUTPUT.names)
+            yield pd.DataFrame(out, columns=NAMES)
 
     return (
         reports.select(*INPUT)

@@ -5,11 +5,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
-OUTPUT = StructType.fromDDL(
+OUTPUT = (
     "namespace BIGINT, obs BIGINT, seq BIGINT, manifest STRING, verdict STRING"
 )
+NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 
 
 class Guard(StatefulProcessor):
@@ -30,7 +30,7 @@ class Guard(StatefulProcessor):
                 else:
                     same = row.manifest == manifest
                     verdicts.append("unchanged" if same else "changed_at_same_sequence")
-            yield pdf.assign(verdict=verdicts)[OUTPUT.names]
+            yield pdf.assign(verdict=verdicts)[NAMES]
         self._top.update((seq, manifest))
 
     def close(self) -> None:

@@ -5,9 +5,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
-OUTPUT = StructType.fromDDL("instance BIGINT, last_s BIGINT, stale_at_ms BIGINT")
+OUTPUT = "instance BIGINT, last_s BIGINT, stale_at_ms BIGINT"
+NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 
 
 class Stale(StatefulProcessor):
@@ -27,12 +27,12 @@ class Stale(StatefulProcessor):
             self._handle.deleteTimer(timer)
         due = timerValues.getCurrentProcessingTimeInMs() + self._limit_ms
         self._handle.registerTimer(due)
-        yield pd.DataFrame(columns=OUTPUT.names)
+        yield pd.DataFrame(columns=NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expired) -> Iterator[pd.DataFrame]:
         last = int(self._last.get()[0]) if self._last.exists() else 0
         now = expired.getExpiryTimeInMs()
-        yield pd.DataFrame([(key[0], last, now)], columns=OUTPUT.names)
+        yield pd.DataFrame([(key[0], last, now)], columns=NAMES)
 
     def close(self) -> None:
         pass
