@@ -101,16 +101,16 @@ def hash_chain_breaks(
     ``order`` is the storage position, ``idx`` the recorded one. The first record
     links to ``seed``.
     """
-    numbered = ordered.with_row_number(events, [key], [order], ordered.RECORDS, "_rn")
+    numbered = ordered.with_row_number(events, [key], [order], ordered.RECORDS, "_place")
     linked = ordered.with_previous(numbered, [key], [order], ["hash"], ordered.RECORDS, "_prev_")
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in payload])
     problem = (
-        F.when(F.col("idx") != F.col("_rn"), "index")
+        F.when(F.col("idx") != F.col("_place"), "index")
         .when(F.sha2(text, 256) != F.col("hash"), "hash")
         .when(F.col("prev_hash") != F.coalesce("_prev_hash", seed), "link")
     )
     return linked.withColumn("problem", problem).where("problem is not null").drop(
-        "_rn", "_prev_hash"
+        "_place", "_prev_hash"
     )
 
 

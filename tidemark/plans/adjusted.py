@@ -7,6 +7,7 @@ from tidemark import fixed
 from tidemark.functions import clock
 from tidemark.operators import adjust
 from tidemark.plans import answer
+from tidemark.session import materialize
 
 SET_COLUMNS = [
     "model",
@@ -91,8 +92,9 @@ def adjusted_query(
     last row that was returned; truncating an answer therefore moves its anchor.
     """
     refused, judged = answer.judge(requests, catalog)
-    judged = _bind(judged, factor_sets, factors, now_ms)
-    rows = answer.selected_rows(judged, bars, suspensions)
+    judged = materialize(_bind(judged, factor_sets, factors, now_ms), "bound")
+    # At most the row limit per request; outcome, lookups and anchors all read it.
+    rows = materialize(answer.selected_rows(judged, bars, suspensions), "selected")
     result = answer.outcome(refused, judged, rows)
     adjusted = adjusted_rows(judged.where("status in ('HIT', 'PARTIAL')"), rows, factors)
     anchors = adjusted.groupBy("request_id").agg(

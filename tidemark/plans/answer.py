@@ -7,12 +7,18 @@ from tidemark import fixed
 from tidemark.functions import clock
 from tidemark.operators import coverage, requests as asks, scan
 from tidemark.schemas import SERIES
+from tidemark.session import materialize
 
 TIERED = [*SERIES, "tier"]
 
 
 def judge(requests: DataFrame, catalog: DataFrame, max_rows: int = fixed.MAX_ANSWER_ROWS):
-    """Normalized requests with pieces, frontier and the status coverage gives them."""
+    """(refused requests, requests with pieces, frontier and status by coverage).
+
+    Every later step starts from the second table, one row per request. It is written
+    to shared scratch once, so that the catalog is not joined again for each of them
+    and a lost executor does not bring it back.
+    """
     normal = asks.normalize_requests(requests, max_rows)
     refused = normal.where("status is not null")
     planned = coverage.serve_plan(normal.where("status is null"), catalog)
@@ -36,7 +42,7 @@ def judge(requests: DataFrame, catalog: DataFrame, max_rows: int = fixed.MAX_ANS
         .withColumn("reason", reason)
         .withColumn("detail", detail)
     )
-    return refused, judged
+    return refused, materialize(judged, "judged")
 
 
 def selected_rows(

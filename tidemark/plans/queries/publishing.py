@@ -145,7 +145,7 @@ from {f_factor_rows}
     with o_rows as (select *, lag(path) over (partition by symbol order by position) as prev_path from ({CAPTURE}) c),
     o_problems as (
       select symbol, case when model = 'cumulative' and batch = 0 and day >= first_day then 'carry_date'
-        when model = 'cumulative' and batch = 1 and day < first_day then 'range_date' when model = 'futu_ab' and batch = 0 then 'batch'
+        when model = 'cumulative' and batch = 1 and day < first_day then 'range_date' when model = 'futu_ab' and batch <> 0 then 'batch'
         when chunk_version <> tablet_version then 'version' end as problem from o_rows
       union all select symbol, case when prev_path >= path then 'partition_order' end from o_rows)
     select symbol, problem, count(*) as rows from o_problems where problem is not null group by symbol, problem
@@ -262,9 +262,7 @@ from {f_health}
 """
 
 
-@query(
-    "alert_throttle",
-    f"""
+THROTTLED = f"""
     with recursive o_reports as (select *, row_number() over (partition by instance order by seq) as n from ({REPORTS}) r),
     o_run as (
       select instance, cast(0 as bigint) as n, cast(0 as bigint) as seq, cast(0 as bigint) as now, cast('' as varchar) as sig, cast('' as varchar) as delivered, true as was_ok, cast(0 as bigint) as sent, cast(-1000000 as bigint) as tried,
@@ -281,8 +279,10 @@ from {f_health}
           from o_run s join o_reports r on r.instance = s.instance and r.n = s.n + 1) x) y)
     select instance, seq, delivery, failure as notification_failed, case when delivery <> 'suppressed' then case when severity = 'ok' then 'recovery' else 'alert' end end as event
     from o_run where n > 0
-    """,
-)
+"""
+
+
+@query("alert_throttle", THROTTLED)
 def alert_throttle(f):
     return alerts.alert_throttle_batch(f.sql(REPORTS)).select(
         "instance", "seq", "delivery", "notification_failed", "event"
@@ -345,7 +345,7 @@ def generation_guard(f):
     return _with_rocksdb(f, run).select("namespace", "obs", "verdict")
 
 
-@query("alert_throttle_stream")
+@query("alert_throttle_stream", THROTTLED)
 def alert_throttle_stream(f):
     reports = f.sql(REPORTS)
 
