@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import clock
-from tidemark.operators import adjust
+from tidemark.operators import adjust, digest
 from tidemark.plans import answer
 from tidemark.session import materialize
 
@@ -199,11 +199,9 @@ def adjust_composite(
     which is compared with the digest of the merged rows. Returns adjusted rows of
     sound requests and the problems of the others.
     """
-    merged = merge_prefix_tail(prefix, tail, terms)
+    merged = materialize(merge_prefix_tail(prefix, tail, terms), "merged")
     problems = merged.where("problem is not null").select("request_id", "problem").distinct()
     if "rows_sha256" in terms.columns:
-        from tidemark.operators import digest
-
         found = digest.rows_digest(merged, ["request_id"], fixed.ENCODING_NATIVE)
         wrong = (
             terms.select("request_id", F.col("rows_sha256").alias("_declared"))
