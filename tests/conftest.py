@@ -12,6 +12,7 @@ def spark():
     session = (
         builder.config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.driver.memory", "8g")
         .config(
             "spark.sql.streaming.stateStore.providerClass",

@@ -29,9 +29,9 @@ class Stale(StatefulProcessor):
         self._handle.registerTimer(due)
         yield pd.DataFrame(columns=NAMES)
 
-    def handleExpiredTimer(self, key, timerValues, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = int(self._last.get()[0]) if self._last.exists() else 0
-        now = expired.getExpiryTimeInMs()
+        now = expiredTimerInfo.getExpiryTimeInMs()
         yield pd.DataFrame([(key[0], last, now)], columns=NAMES)
 
     def close(self) -> None:
