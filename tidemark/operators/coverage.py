@@ -36,7 +36,8 @@ def overlap(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         clock.floor_div(F.col("start_stored"), BUCKET_MS),
         clock.floor_div(F.col("cov_start"), BUCKET_MS),
     )
-    pairs = asked.join(covered, [*SERIES, "_bucket"])
+    # Both sides were exploded, so size estimates must not choose a broadcast.
+    pairs = asked.hint("merge").join(covered, [*SERIES, "_bucket"])
     return pairs.where(
         (F.col("cov_end") > F.col("start_stored"))
         & (F.col("cov_start") < F.col("end_stored"))

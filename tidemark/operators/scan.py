@@ -3,13 +3,11 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark import fixed
 from tidemark.functions import clock
 from tidemark.operators import visibility
-from tidemark.operators.ordered import SLICE, with_slice
+from tidemark.operators.ordered import SLICE
 from tidemark.schemas import SERIES
-
-DAY = fixed.DAY_MS
+from tidemark.session import materialize, sized
 
 
 def half_open(start: str, end: str, at: str = "ts_ms"):
@@ -18,9 +16,10 @@ def half_open(start: str, end: str, at: str = "ts_ms"):
 
 
 def piece_slices(pieces: DataFrame) -> DataFrame:
-    """Cut (request, lo, hi) pieces into days."""
+    """Cut (request, lo, hi) pieces into exchange-local days."""
+    market = F.col("market")
     days = F.sequence(
-        clock.floor_div(F.col("lo"), DAY), clock.floor_div(F.col("hi") - 1, DAY)
+        clock.stored_day(F.col("lo"), market), clock.stored_day(F.col("hi") - 1, market)
     )
     return pieces.where("hi > lo").withColumn(SLICE, F.explode(days))
 
@@ -28,10 +27,19 @@ def piece_slices(pieces: DataFrame) -> DataFrame:
 def rows_of_slices(slices: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:
     """Join day slices of requests to bars on series and day.
 
-    A join key is one day of one series, whatever the size of the series.
+    A join key is one day of one series, whatever the size of the series. Few slices
+    are broadcast (after counting them), so the bars are only scanned; where bars come
+    with their ``yyyymm`` partition, it joins too and prunes the scan.
     """
-    cut = with_slice(bars, "ts_ms", DAY)
-    return slices.join(cut, [*keys, SLICE]).where(half_open("lo", "hi"))
+    cut = bars.withColumn(SLICE, clock.stored_day(F.col("ts_ms"), F.col("market")))
+    on = [*keys, SLICE]
+    wanted = slices
+    if "yyyymm" in bars.columns:
+        wanted = wanted.withColumn(
+            "yyyymm", F.date_format(clock.day_date(F.col(SLICE)), "yyyyMM")
+        )
+        on = [*on, "yyyymm"]
+    return sized(wanted).join(cut, on).where(half_open("lo", "hi"))
 
 
 def range_scan(bars: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -58,17 +66,20 @@ def first_n(
     """
     keys = keys or SERIES
     slices = piece_slices(pieces)
+    days_off = None
+    if suspensions is not None:
+        days_off = sized(materialize(visibility.suspension_days(suspensions), "suspensions"))
 
     def scan(part: DataFrame) -> DataFrame:
         rows = rows_of_slices(part, bars, keys).withColumn(
             "utc_ms", clock.served_ms(F.col("ts_ms"), F.col("market"))
         )
-        if suspensions is None:
+        if days_off is None:
             rows = rows.withColumn("null_class", F.lit("normal")).withColumn(
                 "confirmed", F.lit(False)
             )
         else:
-            rows = visibility.mark_suspensions(rows, suspensions, "utc_ms")
+            rows = visibility.mark_suspension_days(rows, days_off, "utc_ms")
         return rows.withColumn("visible", (F.col("null_class") == "normal").cast("int"))
 
     days = scan(slices).groupBy("request_id", SLICE).agg(F.sum("visible").alias("_n"))
@@ -80,7 +91,10 @@ def first_n(
     reach = days.select(
         "request_id", SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
     )
-    needed = slices.join(reach, ["request_id", SLICE]).where("_off < max_rows")
+    # Request days within reach: written once, so that they can be counted for the join.
+    needed = materialize(
+        slices.join(reach, ["request_id", SLICE]).where("_off < max_rows"), "slices"
+    )
     inside = (
         Window.partitionBy("request_id", SLICE)
         .orderBy("ts_ms")

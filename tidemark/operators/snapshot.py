@@ -7,6 +7,7 @@ from tidemark import fixed
 from tidemark.functions import clock, identity
 from tidemark.operators import ordered, quality
 from tidemark.schemas import SERIES
+from tidemark.session import sized
 
 ENTRY = [*SERIES, "cov_start", "cov_end"]
 
@@ -24,7 +25,7 @@ def rows_by_entry(entries: DataFrame, bars: DataFrame) -> DataFrame:
     )
     rows = ordered.with_slice(bars, "ts_ms", fixed.DAY_MS)
     inside = (F.col("ts_ms") >= F.col("cov_start")) & (F.col("ts_ms") < F.col("cov_end"))
-    return cut.join(rows, [*SERIES, ordered.SLICE]).where(inside)
+    return sized(cut).join(rows, [*SERIES, ordered.SLICE]).where(inside)
 
 
 def order_free_hash() -> Column:

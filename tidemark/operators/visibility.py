@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions import clock
 from tidemark.operators import quality
+from tidemark.session import materialize, sized
 
 DAY = fixed.DAY_MS
 
@@ -39,17 +40,16 @@ def suspension_days(suspensions: DataFrame) -> DataFrame:
     )
 
 
-def mark_suspensions(rows: DataFrame, suspensions: DataFrame, instant: str = "ts_ms") -> DataFrame:
+def mark_suspension_days(rows: DataFrame, days: DataFrame, instant: str = "ts_ms") -> DataFrame:
     """Add ``null_class`` and ``confirmed``; no row is added or lost.
 
     Pieces of one day are disjoint, so a bar meets at most one of them, and the
     join key (symbol, day) holds at most one day of bars.
     """
-    days = suspension_days(suspensions).withColumnRenamed("slice_no", "_day")
     marked = rows.withColumn("null_class", quality.null_class()).withColumn(
         "_at", clock.floor_div(F.col(instant), DAY)
     )
-    left, right = marked.alias("b"), days.alias("s")
+    left, right = marked.alias("b"), days.withColumnRenamed("slice_no", "_day").alias("s")
     hit = (
         (F.col("b.symbol") == F.col("s.symbol"))
         & (F.col("b._at") == F.col("s._day"))
@@ -62,6 +62,12 @@ def mark_suspensions(rows: DataFrame, suspensions: DataFrame, instant: str = "ts
     ).drop("_at")
 
 
+def mark_suspensions(rows: DataFrame, suspensions: DataFrame, instant: str = "ts_ms") -> DataFrame:
+    """``mark_suspension_days`` from confirmed intervals."""
+    days = materialize(suspension_days(suspensions), "suspensions")
+    return mark_suspension_days(rows, sized(days), instant)
+
+
 def suspension_filter(bars: DataFrame, suspensions: DataFrame) -> DataFrame:
     """Bars without confirmed placeholders; NULL rows left over are unconfirmed."""
     return mark_suspensions(bars, suspensions).where("not confirmed").drop("confirmed")

@@ -16,11 +16,11 @@ TIERED = [*SERIES, "tier"]
 def judge(requests: DataFrame, catalog: DataFrame, max_rows: int = fixed.MAX_ANSWER_ROWS):
     """(refused requests, requests with pieces, frontier and status by coverage).
 
-    Every later step starts from the second table, one row per request. It is written
-    to shared scratch once, so that the catalog is not joined again for each of them
-    and a lost executor does not bring it back.
+    Every later step starts from these tables, one row per request. They are written
+    to shared scratch once, so that neither the rules nor the catalog join run again
+    for each step, and a lost executor does not bring them back.
     """
-    normal = asks.normalize_requests(requests, max_rows)
+    normal = materialize(asks.normalize_requests(requests, max_rows), "requests")
     refused = normal.where("status is not null")
     planned = coverage.serve_plan(normal.where("status is null"), catalog)
     partial = F.col("frontier") < F.col("end_stored")

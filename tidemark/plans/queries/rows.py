@@ -6,6 +6,7 @@ from tidemark import fixed
 from tidemark.functions import identity
 from tidemark.operators import quality, requests, scan
 from tidemark.plans.registry import query
+from tidemark.session import materialize
 
 # Requests that reach the catalog, written out for the checks.
 ASKS = """
@@ -18,7 +19,8 @@ where end_ms > start_ms and not (row_encoding <> 'le-ddb-native64-v1' and (allow
 
 def asks(f):
     """Requests of the fixture that reach the catalog."""
-    return requests.normalize_requests(f.f_requests).where("status is null")
+    normal = materialize(requests.normalize_requests(f.f_requests), "requests")
+    return normal.where("status is null")
 
 
 def ranges(f):

@@ -39,8 +39,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after a bounded count; otherwise leave it to Catalyst."""
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join side with a strategy chosen by its counted size.
+
+    A table that was exploded is larger than the optimizer believes, so its estimate
+    must not decide. Up to ``max_rows`` rows are broadcast, which spares the other
+    side its shuffle; more are joined by sort and merge.
+    """
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
-    return df
+    return df.hint("merge")
