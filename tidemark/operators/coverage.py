@@ -94,22 +94,25 @@ def coverage_frontier(
     )
 
 
-def with_chain_end(catalog: DataFrame) -> DataFrame:
-    """Add the end of the gap-free chain of archive entries each entry belongs to."""
+def with_chain(catalog: DataFrame) -> DataFrame:
+    """Add ``chain``, the number of the gap-free chain each entry of a series is in."""
     order = Window.partitionBy(*SERIES).orderBy("cov_start", "cov_end")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     starts = F.col("cov_start") > F.coalesce(F.max("cov_end").over(earlier), F.lit(-1))
     chain = F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return (
         catalog.withColumn("_starts", starts.cast("int"))
-        .withColumn("_chain", chain)
-        .withColumn(
-            "chain_end", F.max("cov_end").over(Window.partitionBy(*SERIES, "_chain"))
-        )
-        .drop("_starts", "_chain")
+        .withColumn("chain", chain)
+        .drop("_starts")
     )
 
 
+def with_chain_end(catalog: DataFrame) -> DataFrame:
+    """Add the end of the gap-free chain of archive entries each entry belongs to."""
+    last = F.max("cov_end").over(Window.partitionBy(*SERIES, "chain"))
+    return with_chain(catalog).withColumn("chain_end", last).drop("chain")
+
+
 def source_name(tier: Column, slug: Column, dataset: Column, stored: Column, market: Column):
     """Name of the archive part an entry is published in."""
     day = clock.day_date(clock.stored_day(stored, market))

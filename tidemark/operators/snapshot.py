@@ -1,11 +1,11 @@
 """Building, comparing and verifying snapshots against their catalog."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import clock, identity
-from tidemark.operators import ordered, quality
+from tidemark.operators import coverage, ordered, quality
 from tidemark.schemas import SERIES
 from tidemark.session import sized
 
@@ -108,12 +108,25 @@ def verify_snapshot(bars: DataFrame, catalog: DataFrame) -> DataFrame:
     wrong = df.withColumn("problem", problem).where("problem is not null").select(
         *ENTRY, "row_count", found.alias("found_rows"), "problem"
     )
-    covered = rows_by_entry(catalog, bars).select(*SERIES, "ts_ms")
-    stray = (
-        bars.select(*SERIES, "ts_ms")
-        .join(covered, [*SERIES, "ts_ms"], "left_anti")
+    # Merged coverage is disjoint, so counts alone tell how many bars lie outside.
+    merged = (
+        coverage.with_chain(catalog.where("cov_end > cov_start").select(*ENTRY))
+        .groupBy(*SERIES, "chain")
+        .agg(F.min("cov_start").alias("cov_start"), F.max("cov_end").alias("cov_end"))
+        .drop("chain")
+    )
+    covered = (
+        rows_by_entry(merged, bars.select(*SERIES, "ts_ms"))
         .groupBy(*SERIES)
-        .agg(F.count(F.lit(1)).alias("found_rows"))
+        .agg(F.count(F.lit(1)).alias("_covered"))
+    )
+    stray = (
+        bars.groupBy(*SERIES)
+        .agg(F.count(F.lit(1)).alias("_all"))
+        .join(covered, SERIES, "left")
+        .withColumn("found_rows", F.col("_all") - F.coalesce("_covered", F.lit(0)))
+        .where("found_rows > 0")
+        .drop("_all", "_covered")
         .withColumn("problem", F.lit("outside_coverage"))
     )
     return wrong.unionByName(stray, allowMissingColumns=True)
@@ -228,14 +241,11 @@ def projection_diff(
 ) -> DataFrame:
     """Positions at which captured rows differ from their source rows.
 
-    Rows of one key are one factor series (one row per day and revision).
+    The first order column must be a BIGINT.
     """
-    place = Window.partitionBy(*key).orderBy(*order)
-
     def numbered(df: DataFrame, name: str) -> DataFrame:
-        return df.select(
-            *key, F.row_number().over(place).alias("position"), F.struct(*cols).alias(name)
-        )
+        placed = ordered.with_row_number(df, key, order, ordered.RECORDS, "position")
+        return placed.select(*key, "position", F.struct(*cols).alias(name))
 
     joined = numbered(factor_rows, "_f").join(
         numbered(source_rows, "_s"), [*key, "position"], "full_outer"

@@ -163,13 +163,15 @@ from (select symbol, uid, each_of(0, 1, 2, 3, 4) as k from {{f_series}}) s
 """
 
 SHAPES["f_factor_rows"] = """
-select concat(lpad(cast(user_id as varchar(20)), 6, '0'),
-              case when user_id % 2 = 0 then '.SZ' else '.SH' end) as symbol,
-       case when user_id % 2 = 0 then 'SZ' else 'SH' end as market, user_id as uid,
-       cast(floor((ms_of(ts) + 28800000) / 86400000) as int) as day,
-       cast(dense_rank() over (partition by user_id order by cast(floor((ms_of(ts) + 28800000) / 86400000) as int)) as int) as k,
-       event_id, ms_of(ts) as update_ms
-from {events} where event_type = 'purchase'
+select p.symbol, p.market, p.uid, p.day, cast(r.k as int) as k, p.event_id, p.update_ms
+from (select concat(lpad(cast(user_id as varchar(20)), 6, '0'),
+                    case when user_id % 2 = 0 then '.SZ' else '.SH' end) as symbol,
+             case when user_id % 2 = 0 then 'SZ' else 'SH' end as market, user_id as uid,
+             cast(floor((ms_of(ts) + 28800000) / 86400000) as int) as day, event_id, ms_of(ts) as update_ms
+      from {events} where event_type = 'purchase') p
+join (select uid, day, row_number() over (partition by uid order by day) as k
+      from (select distinct user_id as uid, cast(floor((ms_of(ts) + 28800000) / 86400000) as int) as day
+            from {events} where event_type = 'purchase') d) r on r.uid = p.uid and r.day = p.day
 """
 
 SHAPES["f_factor_revisions"] = """
@@ -244,31 +246,33 @@ from {events}
 """
 
 SHAPES["f_generations"] = """
-select uid, obs, seq, sha256_text(concat(cast(uid as varchar(20)), ':', cast(case when obs % 17 = 0 then -obs else seq end as varchar(20)))) as manifest
-from (
-  select user_id as uid, obs, case when obs % 17 = 0 then obs - 1 when obs % 23 = 0 then obs - 3 else obs end as seq
-  from (select user_id, row_number() over (partition by user_id order by event_id) as obs
-        from {events} where event_type in ('view', 'error')) v) g
+select uid, obs, seq, sha256_text(concat(cast(uid as varchar(20)), ':',
+         case when obs % 17 = 0 then 'changed' else cast(seq as varchar(20)) end)) as manifest
+from (select user_id as uid, event_id as obs,
+             cast(floor(event_id / 300) as bigint) + 10 - case when event_id % 23 = 0 then 3 else 0 end as seq
+      from {events}) g
 """
 
-# Attempts and results alternate per user and day; results start with few orphans.
+# Four records per candidate; attempts and results alternate, with few orphans.
 SHAPES["f_attempts"] = """
 select candidate, idx, case when idx % 31 = 0 then 'conflict' when n % 2 = 1 then 'attempt'
        else case event_type when 'click' then 'attempt' when 'view' then 'not_applied' when 'error' then 'unknown'
             when 'purchase' then 'conflict' else 'committed' end end as kind
-from (select concat(cast(user_id as varchar(20)), '@', cast(cast(ts as date) as varchar(20))) as candidate, event_id as idx, event_type,
-             row_number() over (partition by user_id, cast(ts as date) order by event_id) as n from {events}) a
+from (select cast(floor(event_id / 4) as bigint) as candidate, event_id as idx, event_type, event_id % 4 + 1 as n
+      from {events}) a
 """
 
+# Logs of 5 000 records each, some of them tampered with.
 SHAPES["f_journal"] = """
 select log, case when event_id % 23 = 0 then n + 1 else n end as idx, n, kind, cents,
-       case when event_id % 17 = 0 then sha256_text('tampered') else coalesce(lag(good) over (partition by log order by n), sha256_text('intent')) end as prev_hash,
+       case when event_id % 17 = 0 then sha256_text('tampered')
+            else coalesce(lag(good) over (partition by log order by n), sha256_text('intent')) end as prev_hash,
        case when event_id % 29 = 0 then sha256_text('altered') else good end as hash
 from (
   select log, n, event_id, kind, cents,
          sha256_text(concat(cast(log as varchar(20)), '|', cast(n as varchar(20)), '|', kind, '|', cast(cents as varchar(20)))) as good
-  from (select user_id as log, event_id, event_type as kind, cast(floor(value * 100) as bigint) as cents,
-               row_number() over (partition by user_id order by event_id) as n from {events}) a) b
+  from (select cast(floor(event_id / 5000) as bigint) as log, event_id, event_type as kind,
+               cast(floor(value * 100) as bigint) as cents, event_id % 5000 + 1 as n from {events}) a) b
 """
 
 SHAPES["f_health"] = """

@@ -73,7 +73,7 @@ def sequence_regressions(f):
     )
 
 
-TARGETS = "select uid, cast(max(seq) - 2 as bigint) as seq from {f_generations} group by uid"
+TARGETS = "select uid, cast(max(seq) - 1 as bigint) as seq from {f_generations} group by uid"
 
 
 @query(
@@ -90,11 +90,11 @@ def rollback_generation(f):
 @query(
     "current_generation",
     """
-    select uid, max(seq) as seq, max(seq) >= 10 as accepted from {f_generations} group by uid
+    select uid, max(seq) as seq, max(seq) >= 43 as accepted from {f_generations} group by uid
     """,
 )
 def current_generation(f):
-    return generations.current_generation(f.f_generations, ["uid"], 10).drop("manifest")
+    return generations.current_generation(f.f_generations, ["uid"], 43).drop("manifest")
 
 
 @query(

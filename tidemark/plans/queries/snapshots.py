@@ -61,14 +61,13 @@ def factor_scan(f):
 def suspension_scan(f):
     path = scratch(f.spark, "suspensions")
     item = F.struct("symbol", "start_ms", "end_ms", "evidence")
-    # One policy document per symbol keeps each document small.
-    docs = f.f_suspensions_raw.groupBy("symbol").agg(F.collect_list(item).alias("intervals"))
-    docs.select(
+    # One document per confirmation, as they arrive.
+    f.f_suspensions_raw.select(
         F.to_json(
             F.struct(
                 F.lit(1).alias("schema_version"),
                 F.lit(fixed.SUSPENSION_POLICY).alias("policy"),
-                "intervals",
+                F.array(item).alias("intervals"),
             )
         ).alias("value")
     ).write.text(path)
@@ -261,7 +260,7 @@ def proof_match(f):
     """
     with o_a as (select symbol, event_id, day, row_number() over (partition by symbol order by event_id) as position from {f_factor_rows} where event_id % 40 <> 3),
     o_b as (select symbol, event_id, case when event_id % 35 = 1 then day + 1 else day end as day, row_number() over (partition by symbol order by event_id) as position from {f_factor_rows})
-    select coalesce(a.symbol, b.symbol) as symbol, cast(coalesce(a.position, b.position) as integer) as position,
+    select coalesce(a.symbol, b.symbol) as symbol, coalesce(a.position, b.position) as position,
       case when b.symbol is null then 'missing_source_row' when a.symbol is null then 'extra_source_row' else 'differs' end as problem
     from o_a a full join o_b b on b.symbol = a.symbol and b.position = a.position
     where a.symbol is null or b.symbol is null or a.event_id <> b.event_id or a.day <> b.day
