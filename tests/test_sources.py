@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.operators import snapshot
 from tidemark.plans.fixtures import Shapes
-from tidemark.session import scratch
+from tidemark.session import materialize, scratch
 from tidemark.sources import bars as bar_files
 from tidemark.sources import catalog, exports, factors, suspensions
 
@@ -43,6 +43,48 @@ def test_files_hold_short_key_ranges(spark, small):
         assert all(x[1] < y[0] for x, y in zip(found, found[1:]))
 
 
+def plan_of(spark, df):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_few_requests_prune_the_months_they_need(spark, small):
+    """Small batches are broadcast: bars are scanned by month and never shuffled."""
+    from tidemark.operators import scan
+
+    f = Shapes(spark, small)
+    path = scratch(spark, "test")
+    bar_files.write_snapshot(f.f_bars, path)
+    ranges = f.f_series.select(
+        "dataset", "market", "symbol", F.col("symbol").alias("request_id"),
+        F.lit(T + 10**9).alias("lo"), F.lit(T + 10**9 + 86400000).alias("hi"),
+    )
+    stored = materialize(ranges, "ranges")
+    rows = scan.range_scan(bar_files.scan_bars(spark, path), stored)
+    plan = plan_of(spark, rows)
+    assert "dynamicpruning" in plan.lower() and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
+    want = scan.range_scan(f.f_bars, ranges)
+    assert snapshot.exact_rows_diff(rows, want, ["request_id", "ts_ms", "close"]).count() == 0
+
+
+def test_many_requests_are_merged(spark, small, monkeypatch):
+    """Beyond the counted limit nothing that was exploded is broadcast."""
+    from tidemark import session
+    from tidemark.operators import scan
+
+    f = Shapes(spark, small)
+    ranges = f.f_series.select(
+        "dataset", "market", "symbol", F.col("symbol").alias("request_id"),
+        F.lit(T).alias("lo"), F.lit(T + 30 * 86400000).alias("hi"),
+    )
+    few = scan.range_scan(f.f_bars, ranges)
+    monkeypatch.setattr(scan, "sized", lambda df: session.sized(df, 3))
+    many = scan.range_scan(f.f_bars, ranges)
+    assert "SortMergeJoin" in plan_of(spark, many)
+    assert snapshot.exact_rows_diff(few, many, ["request_id", "ts_ms", "close"]).count() == 0
+
+
 def pack(rows):
     return b"".join(struct.pack("<q4dqqq", *r) for r in rows)
 

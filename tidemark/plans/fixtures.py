@@ -305,7 +305,8 @@ select 'ddb-history-snapshot' as dataset, 'SH' as market,
 from {orders}
 """
 
-SHAPES["f_proofs"] = f"""
+# Some proofs of f_proofs come twice.
+SHAPES["f_day_proofs"] = f"""
 select dataset, market, symbol, uid, cov_start as requested_start_ms, cov_end as requested_end_ms,
        data_version, case when uid % 9 = 4 then source_version + 1 else source_version end as source_version,
        sha256_text(concat('guard', symbol)) as guard_before,
@@ -314,11 +315,15 @@ select dataset, market, symbol, uid, cov_start as requested_start_ms, cov_end as
        case when uid % 15 = 7 then 1 else 500000 end as max_rows,
        cast(row_count * 40 + 500 as bigint) as proof_bytes
 from {{f_catalog}} where not (uid % 16 = 8)
+"""
+
+SHAPES["f_proofs"] = """
+select * from {f_day_proofs}
 union all
 select dataset, market, symbol, uid, cov_start, cov_end, data_version, source_version,
        sha256_text(concat('guard', symbol)), sha256_text(concat('guard', symbol)), row_count, 500000,
        cast(row_count * 40 + 500 as bigint)
-from {{f_catalog}} where uid % 14 = 9
+from {f_catalog} where uid % 14 = 9
 """
 
 SHAPES["f_symbols"] = """

@@ -29,12 +29,11 @@ def request_coverage_join(f):
     with o_asks as ({ASKS})
     select c.symbol, c.cov_start, c.cov_end from {{f_catalog}} c
     where exists (select 1 from o_asks a where a.symbol = c.symbol and a.dataset = c.dataset
-      and c.cov_end > a.start_ms and c.cov_start < a.end_ms and a.max_rows = 5)
+      and c.cov_end > a.start_ms and c.cov_start < a.end_ms)
     """,
 )
 def entry_prune(f):
-    few = asks(f).where("max_rows = 5")
-    return coverage.entry_prune(f.f_catalog, few).select("symbol", "cov_start", "cov_end")
+    return coverage.entry_prune(f.f_catalog, asks(f)).select("symbol", "cov_start", "cov_end")
 
 
 @query(

@@ -290,14 +290,14 @@ def stored_bytes_plan(f):
 @query(
     "daily_snapshot",
     """
-    with o_sound as (select * from {f_proofs} p where guard_before = guard_after and row_count <= max_rows),
+    with o_sound as (select * from {f_day_proofs} p where guard_before = guard_after and row_count <= max_rows),
     o_built as (select s.symbol, s.requested_start_ms as cov_start, s.row_count as proved, (select count(*) from {f_bars_nullable} b
-      where b.symbol = s.symbol and b.ts_ms >= s.requested_start_ms and b.ts_ms < s.requested_end_ms) as n from o_sound s where s.uid % 14 <> 9)
+      where b.symbol = s.symbol and b.ts_ms >= s.requested_start_ms and b.ts_ms < s.requested_end_ms) as n from o_sound s)
     select symbol, cov_start, n as row_count from o_built where n = proved
     """,
 )
 def daily_snapshot(f):
-    entries, _ = compact.daily_snapshot(f.f_proofs.where("uid % 14 <> 9"), f.f_bars_nullable)
+    entries, _ = compact.daily_snapshot(f.f_day_proofs, f.f_bars_nullable)
     return entries.select("symbol", "cov_start", "row_count")
 
 
@@ -307,11 +307,11 @@ def daily_snapshot(f):
     select symbol, cov_start, problem from (
       select symbol, requested_start_ms as cov_start, case when guard_before <> guard_after then 'source_changed' when row_count > max_rows then 'incomplete'
         when row_count <> (select count(*) from {f_bars_nullable} b where b.symbol = p.symbol and b.ts_ms >= p.requested_start_ms and b.ts_ms < p.requested_end_ms) then 'row_count' end as problem
-      from {f_proofs} p where uid % 14 <> 9) x where problem is not null
+      from {f_day_proofs} p) x where problem is not null
     """,
 )
 def daily_problems(f):
-    _, problems = compact.daily_snapshot(f.f_proofs.where("uid % 14 <> 9"), f.f_bars_nullable)
+    _, problems = compact.daily_snapshot(f.f_day_proofs, f.f_bars_nullable)
     return problems.select("symbol", "cov_start", "problem")
 
 
