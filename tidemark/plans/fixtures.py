@@ -29,21 +29,21 @@ select 'ddb-history-native64' as dataset,
        max_by(value, event_id) as close, count(*) as volume,
        max(value) * count(*) as turnover, min(event_id) as open_interest,
        min(event_id) as open_oi, max(event_id) as close_oi,
-       min(event_type) as kind_min, max(event_type) as kind_max
+       min(case when event_type = 'error' then 1 else 0 end) as all_error
 from {events}
 group by user_id, ms_of(ts) - ms_of(ts) % 60000
 """
 
 SHAPES["f_bars_nullable"] = """
 select dataset, market, symbol, uid, ts_ms,
-       case when kind_min = 'error' and kind_max = 'error' then null else open end as open,
-       case when kind_min = 'error' and kind_max = 'error' then cast(0 as double) else high end as high,
-       case when kind_min = 'error' and kind_max = 'error' then cast(0 as double) else low end as low,
-       case when kind_min = 'error' and kind_max = 'error' then null else close end as close,
-       case when kind_min = 'error' and kind_max = 'error' then 0 else volume end as volume,
+       case when all_error = 1 then null else open end as open,
+       case when all_error = 1 then cast(0 as double) else high end as high,
+       case when all_error = 1 then cast(0 as double) else low end as low,
+       case when all_error = 1 then null else close end as close,
+       case when all_error = 1 then 0 else volume end as volume,
        turnover, open_interest,
-       case when kind_min = 'error' and kind_max = 'error' then 0 else open_oi end as open_oi,
-       case when kind_min = 'error' and kind_max = 'error' then 0 else close_oi end as close_oi
+       case when all_error = 1 then 0 else open_oi end as open_oi,
+       case when all_error = 1 then 0 else close_oi end as close_oi
 from {f_bars}
 """
 
