@@ -92,7 +92,8 @@ class Throttle(StatefulProcessor):
 def alert_throttle(stream: DataFrame) -> DataFrame:
     """Decisions of a stream of reports; needs the RocksDB state store provider.
 
-    Reports are taken in ``seq`` order, the order in which the monitor made them.
+    Reports are taken in ``seq`` order, the order in which the monitor made them. The
+    source's trigger limit (``maxFilesPerTrigger``) bounds what a task sorts at once.
     """
     return (
         stream.select(*INPUT)

@@ -18,19 +18,19 @@ class Guard(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seq, manifest = self._top.get() if self._top.exists() else (0, None)
-        for pdf in rows:
-            pdf = pdf.sort_values("obs", kind="stable")
-            verdicts = []
-            for row in pdf.itertuples(index=False):
-                if row.seq > seq:
-                    seq, manifest = int(row.seq), row.manifest
-                    verdicts.append("newer")
-                elif row.seq < seq:
-                    verdicts.append("regressed")
-                else:
-                    same = row.manifest == manifest
-                    verdicts.append("unchanged" if same else "changed_at_same_sequence")
-            yield pdf.assign(verdict=verdicts)[NAMES]
+        # The observations of one micro-batch, in the order they were made.
+        pdf = pd.concat(list(rows)).sort_values("obs", kind="stable")
+        verdicts = []
+        for row in pdf.itertuples(index=False):
+            if row.seq > seq:
+                seq, manifest = int(row.seq), row.manifest
+                verdicts.append("newer")
+            elif row.seq < seq:
+                verdicts.append("regressed")
+            else:
+                same = row.manifest == manifest
+                verdicts.append("unchanged" if same else "changed_at_same_sequence")
+        yield pdf.assign(verdict=verdicts)[NAMES]
         self._top.update((seq, manifest))
 
     def close(self) -> None:
@@ -41,7 +41,8 @@ def generation_guard(stream: DataFrame) -> DataFrame:
     """Verdict on each observed generation; needs the RocksDB state store provider.
 
     Pass on the rows whose verdict is ``newer``. Observations of a namespace are
-    expected in order between micro-batches.
+    expected in order between micro-batches; inside one they are sorted, so the
+    source's trigger limit (``maxFilesPerTrigger``) bounds what a task sorts.
     """
     return (
         stream.select("namespace", "obs", "seq", "manifest")
