@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact, quality_rules, simhash, substring
+from tidemark.llm import bpe, exact, packing, quality_rules, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,10 @@ def queries() -> dict[str, Query]:
         "op2_simhash": _documents(simhash.near_duplicates),
         "op3_exact": _documents(exact.content_groups),
         "op4_quality_rules": _documents(quality_rules.judged),
+        "op5_sharding": _documents(sharding.assignments),
         "op8_substring": _documents(substring.passage_digests),
+        "op9_packing": _documents(packing.pack_documents),
+        "op10_bpe": _documents(bpe.digests),
     }
 
 

@@ -76,12 +76,16 @@ class Words:
         """Number of words from each word to the end of its text, itself included."""
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.start))
 
+    def joined(self) -> np.ndarray:
+        """Bytes of all words, one after the other."""
+        return self.raw[~_SPACE[self.raw]]
+
     def hashes(self, seed: int = 0) -> np.ndarray:
         """64-bit hash of each word: a sum of byte values times factors of their places."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         length = self.stop - self.start
-        chars = self.raw[~_SPACE[self.raw]]
+        chars = self.joined()
         begin = np.cumsum(length) - length
         place = (np.arange(len(chars)) - np.repeat(begin, length)) & 4095
         value = _MIX[seed][chars] * _MIX[seed][256 + place]
