@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact, packing, quality_rules, sharding, simhash, substring
+from tidemark.llm import bpe, exact, language, packing, quality_rules, sharding, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def _documents(make: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language": _documents(language.predictions),
         "op2_simhash": _documents(simhash.near_duplicates),
         "op3_exact": _documents(exact.content_groups),
         "op4_quality_rules": _documents(quality_rules.judged),

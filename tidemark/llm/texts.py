@@ -22,7 +22,7 @@ _MIX = np.random.Generator(np.random.PCG64(20240601)).integers(
 ) | np.uint64(1)
 
 
-def _string_data(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def string_data(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (one more than rows) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -41,7 +41,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
     A single text above the limit is a slice of its own.
     """
-    _, offs = _string_data(batch.column(column))
+    _, offs = string_data(batch.column(column))
     start = 0
     while start < batch.num_rows:
         stop = int(np.searchsorted(offs, offs[start] + limit, side="right")) - 1
@@ -94,7 +94,7 @@ class Words:
 
 def words(column: pa.Array) -> Words:
     """Find the words of every text; a null text has none."""
-    raw, offs = _string_data(column)
+    raw, offs = string_data(column)
     inside = ~_SPACE[raw]
     before = np.empty(len(raw) + 1, bool)  # is the byte before each byte part of the same text's word
     before[0] = False
