@@ -89,26 +89,25 @@ def content_groups(docs: DataFrame, share_rows: int = SHARE_ROWS) -> DataFrame:
 def drop_copies(docs: DataFrame, share_rows: int = SHARE_ROWS) -> DataFrame:
     """``docs`` with one row of each group of equal contents; columns unchanged.
 
-    Rows that share the kept ``doc_id`` and its content are repeats of one row; one of them stays.
+    The ids to drop are few, so they are joined and not the ids to keep. Where ids repeat, rows
+    are told apart by their content, and of repeats of one row the first by its other columns stays.
     """
-    kept = content_groups(docs, share_rows).where("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_digest")
-    )
+    groups = materialize(content_groups(docs, share_rows), "groups")
+    names = [f"`{c}`" for c in docs.columns]
+    if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        dropped = materialize(groups.where("not kept").select(F.col("doc_id").alias("_dropped")), "dropped")
+        return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_dropped"]), "left_anti")
+    kept = groups.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_digest"))
     marked = replaced(
         docs,
         _of=F.col("doc_id").cast("long"),
         _content=F.sha2(normalised(F.col("text").cast("string")), 256),
     )
-    names = [f"`{c}`" for c in docs.columns]
     left = marked.join(
         kept, F.col("_of").eqNullSafe(F.col("_kept_id")) & (F.col("_content") == F.col("_digest")), "left_semi"
     )
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        # Repeats of a row differ at most in other columns; the first by them stays.
-        every = W.partitionBy("_of", "_content").orderBy(*[F.col(n).cast("string") for n in names])
-        left = left.withColumn("_nth", F.row_number().over(every)).where("_nth = 1")
-    return left.select(*names)
+    every = W.partitionBy("_of", "_content").orderBy(*[F.col(n).cast("string") for n in names])
+    return left.withColumn("_nth", F.row_number().over(every)).where("_nth = 1").select(*names)
 
 
 EXACT_SQL = r"""

@@ -34,7 +34,7 @@ MEASURES = {
 RULES: dict[str, Callable[[Callable[[str], Column]], Column]] = {
     "few_words": lambda m: m("n_words") < MIN_WORDS,
     "repeated_windows": lambda m: 100 * m("n_repeat_words") > 30 * m("n_words"),
-    "symbols": lambda m: m("n_symbols") > m("n_words"),
+    "symbols": lambda m: 4 * m("n_symbols") > m("n_words"),
     "repeated_lines": lambda m: (m("n_lines") >= 4) & (2 * m("n_dup_lines") > m("n_lines")),
     "word_length": lambda m: (m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 20 * m("n_words")),
     "capitals": lambda m: (m("n_upper") + m("n_lower") >= 50) & (m("n_upper") > m("n_lower")),
@@ -247,7 +247,7 @@ with words as (
   select *,
     (case when n_words < 20 then 1 else 0 end)
     + (case when 100 * n_repeat_words > 30 * n_words then 2 else 0 end)
-    + (case when n_symbols > n_words then 4 else 0 end)
+    + (case when 4 * n_symbols > n_words then 4 else 0 end)
     + (case when n_lines >= 4 and 2 * n_dup_lines > n_lines then 8 else 0 end)
     + (case when word_chars < 2 * n_words or word_chars > 20 * n_words then 16 else 0 end)
     + (case when n_upper + n_lower >= 50 and n_upper > n_lower then 32 else 0 end)

@@ -2,9 +2,21 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact, language, packing, quality_rules, sharding, simhash, substring
+from tidemark.llm import (
+    bpe,
+    exact,
+    language,
+    lines,
+    packing,
+    quality_model,
+    quality_rules,
+    sharding,
+    simhash,
+    substring,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,9 +36,14 @@ def queries() -> dict[str, Query]:
         "op3_exact": _documents(exact.content_groups),
         "op4_quality_rules": _documents(quality_rules.judged),
         "op5_sharding": _documents(sharding.assignments),
+        "op6_lines": _documents(lines.line_digests),
+        "op7_quality_model": lambda spark, folder: quality_model.predictions(
+            table(spark, folder, "documents"), table(spark, folder, "labels")
+        ),
         "op8_substring": _documents(substring.passage_digests),
         "op9_packing": _documents(packing.pack_documents),
         "op10_bpe": _documents(bpe.digests),
+        "pipeline": corpus_pipeline.run,
     }
 
 

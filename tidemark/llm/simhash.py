@@ -301,15 +301,15 @@ def near_groups(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGL
 
 
 def keep_first(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` without the rows whose group has a smaller ``doc_id``; columns unchanged.
+    """``docs`` with the rows of the smallest ``doc_id`` of each group; columns unchanged.
 
-    Rows of equal ``doc_id`` live or fall together. A null ``doc_id`` stays only in a group of nulls.
+    The ids to drop are few, so they are joined and not the ids to keep. Rows of equal ``doc_id``,
+    and rows without one, stay or go together, and stay if one of them is first in its group.
     """
-    groups = near_groups(docs, max_bits, shingle)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept_id")
-    ).distinct()
-    return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["_kept_id"]), "left_semi")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    judged = near_groups(docs, max_bits, shingle).groupBy("doc_id").agg(F.max(first).alias("first"))
+    dropped = materialize(judged.where("not first").select(F.col("doc_id").alias("_dropped")), "dropped")
+    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_dropped"]), "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
