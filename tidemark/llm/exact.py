@@ -2,7 +2,9 @@
 
 Normalised contents are range partitioned by sampled splitters and sorted externally,
 so that equal contents stand next to each other; a window over the sorted rows then compares each
-content with its neighbour in full. Large groups of copies are split first: contents are
+content with its neighbour in full. The sort order is that of the first ``HEAD`` characters, then of
+the digest, so that samples and splitters stay small however long texts are, and many texts
+with one beginning can still be parted. Large groups of copies are split first: contents are
 counted by digest with partial aggregation, and each group of more than ``SHARE_ROWS``
 rows is dealt over shares, which the splitters may part. Each share elects its own row,
 and the few elected rows of a group are compared again.
@@ -16,6 +18,7 @@ from tidemark.llm.tables import SPACES, replaced
 from tidemark.session import materialize
 
 SHARE_ROWS = 256
+HEAD = 64  # leading characters that place a content in the sort order
 
 
 def normalised(text: Column) -> Column:
@@ -52,10 +55,11 @@ def content_groups(docs: DataFrame, share_rows: int = SHARE_ROWS) -> DataFrame:
         rows = rows.withColumn("share", F.lit(0))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     best = [F.col("points").desc(), F.col("doc_id").asc_nulls_last()]
-    same = W.partitionBy("content", "share")
+    same = W.partitionBy("head", "digest", "share", "content")
     first = same.orderBy(*best)
     sorted_rows = (
-        rows.repartitionByRange(width, "content", "share")
+        rows.withColumn("head", F.substring("content", 1, HEAD))
+        .repartitionByRange(width, "head", "digest", "share")
         .select(
             "digest", "share", "doc_id",
             F.row_number().over(first).alias("place"),
