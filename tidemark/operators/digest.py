@@ -1,18 +1,18 @@
-"""Ordered digests of rows.
-
-``rows_digest`` is byte-exact: the SHA-256 of the packed records in time order. A
-hash over one sequence cannot be split, so its groups must be bounded: one answer,
-or one month of one series. ``rows_digest_tree`` has no such limit; it hashes rows,
-blocks of 1 024 rows, and so on up, and never gathers more than one block.
+"""Ordered digests of rows, over their exact bytes.
+
+Numbers become the hexadecimal text of their little-endian bytes by integer arithmetic
+and powers of two, all built-in expressions, so two prices that differ in their last
+bit have different digests. ``rows_digest`` is the SHA-256 of the packed records in time
+order. A hash over one sequence cannot be split, so its groups must be bounded: one
+answer, or one month of one series. ``rows_digest_tree`` has no such limit; it hashes
+rows, blocks of 1 024 rows, and so on up, and never gathers more than one block.
 """
 
-import hashlib
+import math
+import struct
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tidemark import fixed
 from tidemark.operators import ordered
@@ -35,16 +35,82 @@ RECORDS = {
 }
 
 
-def pack_records(table: pa.Table, encoding: str) -> bytes:
-    """Records of the table in its row order; NULL prices become the sentinel."""
-    layout = RECORDS[encoding]
-    out = np.empty(table.num_rows, dtype=np.dtype(layout))
-    for name, kind in layout:
-        column = table.column(name)
-        if kind[1] == "f":
-            column = column.fill_null(fixed.NULL_PRICE)
-        out[name] = column.to_numpy()
-    return out.tobytes()
+# Columns of a bar that its content covers, where present, with their widths.
+CONTENT = [*RECORDS[fixed.ENCODING_NATIVE], ("turnover", "<f8"), ("open_interest", "<i8")]
+
+# Per floating width: bits of the fraction, bias and hexadecimal digits.
+FLOATS = {"<f8": (52, 1023, 16), "<f4": (23, 127, 8)}
+INFINITY = float("inf")
+
+
+def _exponent(x: Column, bias: int) -> Column:
+    """Power of two of a finite number, at least the smallest normal one; NULL for the rest."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    low = F.pow(F.lit(2.0), guess)
+    true = F.when(size < low, guess - 1).when(size / 2 >= low, guess + 1).otherwise(guess)
+    usual = ~F.isnan(x) & (size < INFINITY) & (size > 0)
+    return F.when(usual, F.greatest(true, F.lit(1 - bias).cast("bigint")))
+
+
+def _bits(x: Column, exponent: Column, kind: str) -> Column:
+    """The bits of a floating number as a BIGINT; every step is exact."""
+    fraction, bias, digits = FLOATS[kind]
+    # Two factors, as one power may lie outside the range.
+    half = F.floor(exponent / 2)
+    scaled = F.abs(x) / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), exponent - half)
+    # A normal number's leading one adds to the exponent, so that starts one lower.
+    usual = (scaled * float(1 << fraction)).cast("bigint") + (exponent + (bias - 1)) * F.lit(1 << fraction)
+    top = (2 * bias + 1) << fraction
+    plain = (
+        F.when(F.isnan(x), F.lit(top + (1 << (fraction - 1))))
+        .when(F.abs(x) == INFINITY, F.lit(top))
+        .when(x == 0, F.lit(0))
+        .otherwise(usual)
+    )
+    negative = ~F.isnan(x) & ((x < 0) | ((x == 0) & x.cast("string").startswith("-")))
+    sign = F.lit(-(1 << 63) if digits == 16 else 1 << 31).cast("bigint")
+    return F.when(x.isNotNull(), F.when(negative, plain + sign).otherwise(plain))
+
+
+def _little(bits: Column, digits: int) -> Column:
+    """Hexadecimal text of a BIGINT's last bytes, the lowest first."""
+    text = F.lpad(F.hex(bits), digits, "0")
+    return F.concat(*[F.substring(text, i, 2) for i in range(digits - 1, 0, -2)])
+
+
+def with_bits(df: DataFrame, layout: list[tuple[str, str]] = CONTENT) -> DataFrame:
+    """Add the hexadecimal bytes of the layout's columns that ``df`` has, as ``_x_<name>``; NULL stays.
+
+    Exponents are a step of their own, so that they are computed once.
+    """
+    present = [(n, k) for n, k in layout if n in df.columns]
+    real = [(n, k) for n, k in present if k in FLOATS]
+    number = {
+        n: (F.col(n).cast("float") if k == "<f4" else F.col(n)).cast("double") for n, k in real
+    }
+    df = df.withColumns({f"_e_{n}": _exponent(number[n], FLOATS[k][1]) for n, k in real})
+    texts = {
+        f"_x_{n}": _little(_bits(number[n], F.col(f"_e_{n}"), k), FLOATS[k][2]) for n, k in real
+    }
+    texts |= {f"_x_{n}": _little(F.col(n).cast("bigint"), 16) for n, k in present if k not in FLOATS}
+    return df.withColumns(texts).drop(*[f"_e_{n}" for n, _ in real])
+
+
+def content_text(columns: list[str]) -> Column:
+    """Text of a row after ``with_bits``: each value's bytes, a dash for NULL."""
+    parts = [F.coalesce(F.col(f"_x_{n}"), F.lit("-")) for n, _ in CONTENT if n in columns]
+    return F.concat_ws("|", *parts)
+
+
+def record_hex(layout: list[tuple[str, str]]) -> Column:
+    """Hexadecimal packed record after ``with_bits``; a NULL price is the sentinel."""
+    null = {
+        "<f8": struct.pack("<d", fixed.NULL_PRICE).hex().upper(),
+        "<f4": struct.pack("<f", -math.inf).hex().upper(),
+    }
+    parts = [(F.col(f"_x_{n}"), k) for n, k in layout]
+    return F.concat(*[F.coalesce(c, F.lit(null[k])) if k in null else c for c, k in parts])
 
 
 def rows_digest(
@@ -54,47 +120,31 @@ def rows_digest(
 
     ``keys`` must bound a group: a request (at most its row limit) or a series month.
     """
-    fields = [name for name, _ in RECORDS[encoding]]
-    chosen = rows.select(*keys, *fields)
-    schema = StructType([chosen.schema[k] for k in keys]).add("rows", "long")
-    schema = schema.add("rows_sha256", "string")
-    if payload:
-        schema = schema.add("data", "binary")
-
-    def digest(key: tuple, table: pa.Table) -> pa.Table:
-        data = pack_records(table.sort_by("ts_ms"), encoding)
-        values = [[k.as_py()] for k in key]
-        values += [[table.num_rows], [hashlib.sha256(data).hexdigest()]]
-        if payload:
-            values.append([data])
-        return pa.table(dict(zip(schema.names, values)))
-
-    return chosen.groupBy(*keys).applyInArrow(digest, schema)
-
-
-def row_text(price_scale: int = 100):
-    """Canonical text of a row: integers only, prices scaled, NULL as ``null``."""
-    parts = [F.col("ts_ms").cast("string")]
-    for p in ["open", "high", "low", "close"]:
-        cents = F.floor(F.col(p) * price_scale + 0.5).cast("bigint").cast("string")
-        parts.append(F.coalesce(cents, F.lit("null")))
-    parts += [F.col(c).cast("string") for c in ["volume", "open_oi", "close_oi"]]
-    return F.concat_ws("|", *parts)
+    layout = RECORDS[encoding]
+    chosen = with_bits(rows.select(*keys, *[name for name, _ in layout]), layout)
+    items = F.array_sort(F.collect_list(F.struct("ts_ms", record_hex(layout).alias("r"))))
+    data = F.unhex(F.array_join(F.transform(items, lambda i: i["r"]), ""))
+    packed = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), data.alias("data"))
+    out = packed.withColumn("rows_sha256", F.sha2("data", 256))
+    return out.select(*keys, "rows", "rows_sha256", *(["data"] if payload else []))
 
 
 def rows_digest_tree(
-    rows: DataFrame, keys: list[str] | None = None, fanout: int = fixed.BLOCK_ROWS, levels: int = 2
+    rows: DataFrame, keys: list[str] | None = None, fanout: int = fixed.BLOCK_ROWS, levels: int | None = None
 ) -> DataFrame:
     """Ordered digest of each series, of any length, as a tree of digests.
 
-    Each level hashes ``fanout`` consecutive digests. With the default two levels a
-    root gathers one digest per 1 048 576 rows: 516 for the longest possible series
-    of one-minute bars.
+    Each level hashes ``fanout`` consecutive digests. Unless given, there are as many
+    levels as the longest series needs for its root to gather one block at most.
     """
     keys = keys or SERIES
-    numbered = ordered.with_row_number(
-        rows.select(*keys, "ts_ms", F.sha2(row_text(), 256).alias("d")), keys, ["ts_ms"]
+    if levels is None:
+        longest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+        levels = max(1, math.ceil(math.log(longest, fanout) - 1e-9) - 1)
+    hashed = with_bits(rows).select(
+        *keys, "ts_ms", F.sha2(content_text(rows.columns), 256).alias("d")
     )
+    numbered = ordered.with_row_number(hashed, keys, ["ts_ms"])
     level = numbered.select(*keys, (F.col("rn") - 1).alias("n"), "d", F.lit(1).alias("size"))
 
     def gather(df: DataFrame, by: list[str]) -> DataFrame:

@@ -26,10 +26,9 @@ def normalize_requests(
 ) -> DataFrame:
     """Add market, dataset, slug and stored range; first failing rule sets status.
 
-    ``status`` stays NULL for a request that can go on to the catalog.
+    ``status`` stays NULL for a request that can go on to the catalog. ``max_rows`` is
+    the most that a request may ask for; any number will do.
     """
-    if max_rows > fixed.MAX_ANSWER_ROWS:
-        raise ValueError(f"an answer has at most {fixed.MAX_ANSWER_ROWS} rows")
     df = requests
     for name, default in DEFAULTS.items():
         if name not in df.columns:

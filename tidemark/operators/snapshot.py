@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import clock, identity
-from tidemark.operators import coverage, ordered, quality
+from tidemark.operators import coverage, digest, ordered, quality
 from tidemark.schemas import SERIES
 from tidemark.session import sized
 
@@ -28,29 +28,28 @@ def rows_by_entry(entries: DataFrame, bars: DataFrame) -> DataFrame:
     return sized(cut).join(rows, [*SERIES, ordered.SLICE]).where(inside)
 
 
-def order_free_hash() -> Column:
-    """Content hash term of a row; summed, it does not depend on row order.
+def hash_parts(text: Column) -> list[Column]:
+    """Four content terms of a row; summed, they do not depend on row order.
 
-    Both 64-bit halves are added as decimals, so the sum cannot overflow and partial
-    sums can be combined before any shuffle. Times are unique in an entry, so two
-    entries with equal sums and counts hold the same rows, collisions aside.
+    They are the quarters of the row's SHA-256, added as decimals, so that sums cannot
+    overflow and partial sums are combined before any shuffle. Times are unique in an
+    entry, so two entries with equal counts and sums hold the same rows, collisions aside.
     """
-    from tidemark.operators.digest import row_text
-
-    half = F.conv(F.substring(F.sha2(row_text(), 256), 1, 15), 16, 10)
-    return half.cast("decimal(20,0)")
+    quarters = [F.substring(F.sha2(text, 256), 1 + 16 * i, 16) for i in range(4)]
+    return [F.conv(q, 16, 10).cast("decimal(20,0)") for q in quarters]
 
 
 def entry_facts(entries: DataFrame, bars: DataFrame) -> DataFrame:
     """Row count, bounds, content sum and NULL flag found for each entry."""
+    sums = [F.sum(p).cast("string") for p in hash_parts(digest.content_text(bars.columns))]
     return (
-        rows_by_entry(entries, bars)
+        digest.with_bits(rows_by_entry(entries, bars))
         .groupBy(*ENTRY)
         .agg(
             F.count(F.lit(1)).alias("found_rows"),
             F.min("ts_ms").alias("first_ms"),
             F.max("ts_ms").alias("last_ms"),
-            F.sum(order_free_hash()).cast("decimal(38,0)").alias("_sum"),
+            F.concat_ws(":", *sums).alias("_sum"),
             F.max(
                 F.col("open").isNull()
                 | F.col("high").isNull()
@@ -62,7 +61,7 @@ def entry_facts(entries: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def content_hash(rows: Column, total: Column) -> Column:
-    return F.sha2(F.concat_ws(":", rows.cast("string"), total.cast("string")), 256)
+    return F.sha2(F.concat_ws(":", rows.cast("string"), total), 256)
 
 
 def build_catalog(declared: DataFrame, bars: DataFrame) -> DataFrame:
@@ -96,10 +95,10 @@ def verify_snapshot(bars: DataFrame, catalog: DataFrame) -> DataFrame:
     facts = entry_facts(catalog, bars)
     df = catalog.join(facts, ENTRY, "left")
     found = F.coalesce("found_rows", F.lit(0))
-    digest = F.when(F.col("found_rows") > 0, content_hash(F.col("found_rows"), F.col("_sum")))
+    content = F.when(F.col("found_rows") > 0, content_hash(F.col("found_rows"), F.col("_sum")))
     problem = (
         F.when(found != F.col("row_count"), "row_count")
-        .when(~digest.eqNullSafe(F.col("content_hash")), "content_hash")
+        .when(~content.eqNullSafe(F.col("content_hash")), "content_hash")
         .when(
             F.coalesce(F.col("found_null"), F.lit(False)) & ~F.col("nullable_prices"),
             "null_price",
@@ -217,14 +216,17 @@ def proof_match(proofs: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def proof_problem(limit: int = fixed.SNAPSHOT_ROWS) -> Column:
-    """First reason a source proof does not prove a complete, finished export."""
+def proof_problem(limit: int = fixed.SNAPSHOT_ROWS, days: int = 7) -> Column:
+    """First reason a source proof does not prove a complete, finished export.
+
+    ``limit`` rows and ``days`` are what one export may hold.
+    """
     span = F.col("requested_end_ms") - F.col("requested_start_ms")
     return (
         F.when(F.col("guard_before") != F.col("guard_after"), "source_changed")
         .when(F.col("source_version") <= 0, "source_version")
         .when(
-            (F.col("requested_start_ms") < 0) | (span <= 0) | (span > 7 * fixed.DAY_MS),
+            (F.col("requested_start_ms") < 0) | (span <= 0) | (span > days * fixed.DAY_MS),
             "interval",
         )
         .when(
@@ -275,13 +277,18 @@ def stored_plan(catalog: DataFrame, proofs: DataFrame, row_bytes: int = 64) -> D
     )
 
 
-def split_observations(df: DataFrame, limit: int = fixed.SNAPSHOT_ROWS) -> DataFrame:
-    """Where a captured sample may go: catalog, observations or nowhere."""
+def split_observations(
+    df: DataFrame, limit: int = fixed.SNAPSHOT_ROWS, days: int = 7
+) -> DataFrame:
+    """Where a captured sample may go: catalog, observations or nowhere.
+
+    ``limit`` rows and ``days`` are what one sample may hold.
+    """
     span = F.col("requested_end_ms") - F.col("requested_start_ms")
     bounded = (
         (F.col("requested_start_ms") >= 0)
         & (span > 0)
-        & (span <= 7 * fixed.DAY_MS)
+        & (span <= days * fixed.DAY_MS)
         & F.col("row_count").between(1, limit)
     )
     return df.withColumn(

@@ -132,16 +132,23 @@ def merge_tiers(requests: DataFrame, catalog: DataFrame, bars: DataFrame) -> Dat
 
 
 def plan_requests(
-    requests: DataFrame, catalog: DataFrame, enabled: bool = True, healthy: bool = True
+    requests: DataFrame,
+    catalog: DataFrame,
+    enabled: bool = True,
+    healthy: bool = True,
+    max_rows: int = fixed.SNAPSHOT_ROWS,
 ) -> DataFrame:
-    """Offline form: requests name a data version; HIT only for complete coverage."""
+    """Offline form: requests name a data version; HIT only for complete coverage.
+
+    ``max_rows`` is the most that a request may ask for.
+    """
     names = ["dataset", "market", "symbol", "period_seconds", "adjust"]
     invalid = (
         identity_problem(*[F.col(c) for c in names]).isNotNull()
         | ~F.coalesce(
             (F.col("start_stored") >= 0)
             & (F.col("end_stored") > F.col("start_stored"))
-            & F.col("max_rows").between(1, fixed.SNAPSHOT_ROWS),
+            & F.col("max_rows").between(1, max_rows),
             F.lit(False),
         )
         | ~is_digest(F.col("data_version"))
