@@ -3,6 +3,7 @@
 import hashlib
 import struct
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,13 +120,14 @@ def test_affine(spark, mode, want):
 
 
 def decide(reports):
-    state, out = None, []
-    for seq, (at, severity, codes, ok) in enumerate(reports):
-        row = type("R", (), dict(instance=1, observed_s=at, seq=seq, severity=severity,
-                                 codes=codes, send_ok=ok))
-        state, result = alerts.step(state, row)
-        out.append(result)
-    return [(r[5], r[6]) for r in out], state
+    state = alerts.Delivery()
+    rows = [("web-1", at, seq, severity, codes, ok) for seq, (at, severity, codes, ok) in enumerate(reports)]
+    out = alerts.decide(state, pd.DataFrame(rows, columns=alerts.INPUT))
+    # Report by report, as small micro-batches bring them, the decisions are the same.
+    single = alerts.Delivery()
+    parts = [alerts.decide(single, pd.DataFrame([r], columns=alerts.INPUT)) for r in rows]
+    assert single == state and pd.concat(parts, ignore_index=True).equals(out)
+    return list(zip(out["delivery"], out["event"])), state
 
 
 BAD = ("critical", "agent_missing")
@@ -142,7 +144,7 @@ def test_alert_sequence():
 def test_failed_delivery_keeps_budget():
     got, state = decide([(10800 + i * 300, *BAD, False) for i in range(5)])
     assert [g[0] for g in got] == ["failed"] * 4 + ["suppressed"]
-    assert state[1] is None and state[7] == 4
+    assert state.told == "" and state.in_day == 4
 
 
 def test_attempt_without_answer_is_not_repeated():
@@ -154,7 +156,7 @@ def test_clock_regression_freezes_state():
     reports = [(10000, *BAD, True), (9999, *BAD, True), (10001, *BAD, True)]
     got, state = decide(reports)
     assert [g[0] for g in got] == ["sent", "suppressed", "suppressed"]
-    assert state[0] == 10001 and state[7] == 1
+    assert state.latest_s == 10001 and state.in_day == 1
 
 
 def test_daily_cap():
@@ -166,7 +168,7 @@ def test_daily_cap():
 
 def test_recovery_after_failed_alert():
     got, state = decide([(10000, *BAD, False), (10300, "ok", "", True)])
-    assert got[1] == ("sent", "recovery") and state[9] is False
+    assert got[1] == ("sent", "recovery") and state.failing is False
 
 
 def synthetic(n):

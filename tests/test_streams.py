@@ -1,6 +1,7 @@
 """Streams over several micro-batches agree with their batch forms."""
 
 import random
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ def test_alert_stream_equals_batch(spark):
         i = rng.randrange(3)
         at[i] += rng.choice([1, 60, 200, 400, 1500, -5])
         severity, codes = rng.choice([("ok", ""), ("critical", "agent_missing"), ("warning", "agent_restarted")])
-        rows.append((i, at[i], seq, severity, codes, rng.random() < 0.7))
-    df = spark.createDataFrame(rows, "instance long, observed_s long, seq long, severity string, codes string, send_ok boolean")
+        rows.append((f"host-{i}", at[i], seq, severity, codes, rng.random() < 0.7))
+    df = spark.createDataFrame(rows, "instance string, observed_s long, seq long, severity string, codes string, send_ok boolean")
     batch = alerts.alert_throttle_batch(df)
     stream = drain(spark, df, alerts.alert_throttle, "seq")
     assert snapshot.exact_rows_diff(batch, stream, batch.columns).count() == 0
@@ -53,8 +54,9 @@ def test_alert_stream_equals_batch(spark):
 
 
 def test_guard_over_batches(spark):
-    rows = [(1, i, s, m) for i, (s, m) in enumerate([(1, "a"), (3, "b"), (2, "c"), (3, "b"), (3, "x"), (4, "d"), (4, "d"), (1, "a")])]
-    df = spark.createDataFrame(rows, "namespace long, obs long, seq long, manifest string")
+    big = 2**64 - 5
+    rows = [("history-x", i, Decimal(big + s), m) for i, (s, m) in enumerate([(1, "a"), (3, "b"), (2, "c"), (3, "b"), (3, "x"), (4, "d"), (4, "d"), (1, "a")])]
+    df = spark.createDataFrame(rows, "namespace string, obs long, seq decimal(20,0), manifest string")
     got = drain(spark, df, guard.generation_guard, "obs").orderBy("obs").collect()
     assert [r.verdict for r in got] == ["newer", "newer", "regressed", "unchanged", "changed_at_same_sequence", "newer", "unchanged", "regressed"]
 
@@ -78,7 +80,7 @@ def test_tail_keeps_each_bar_once_over_batches(spark):
 
 
 def test_silent_instances_are_noticed(spark):
-    df = spark.createDataFrame([(1, 100), (1, 160), (2, 130)], "instance long, observed_s long")
+    df = spark.createDataFrame([("a", 100), ("a", 160), ("b", 130)], "instance string, observed_s long")
     path, out = scratch(spark, "in"), scratch(spark, "stale")
     df.write.parquet(path)
     source = spark.readStream.schema(df.schema).parquet(path)
@@ -100,4 +102,4 @@ def test_silent_instances_are_noticed(spark):
             time.sleep(1)
     finally:
         q.stop()
-    assert got == {1: 160, 2: 130}
+    assert got == {"a": 160, "b": 130}

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import fixed
-from tidemark.operators import coverage, ordered, snapshot
+from tidemark.operators import coverage, digest, ordered, snapshot
 from tidemark.schemas import SERIES
 
 COMPARED = [
@@ -188,29 +188,45 @@ def rollback_generation(
     )
 
 
-def current_generation(generations: DataFrame, keys: list[str], min_seq: int = 0) -> DataFrame:
-    """Highest generation of each namespace; below the floor it is refused."""
-    top = generations.groupBy(*keys).agg(
-        F.max("seq").alias("seq"), F.max_by("manifest", "seq").alias("manifest")
+def current_generation(
+    generations: DataFrame, keys: list[str], min_seq: int = 0, order: str | None = None
+) -> DataFrame:
+    """Highest generation of each namespace; below the floor it is refused.
+
+    Where one sequence came with several contents, the first by ``order`` (or else by its
+    text) counts and ``ambiguous`` is set.
+    """
+    first = F.col(order) if order else F.lit(0)
+    content = F.struct((-F.col("seq")).alias("s"), first.alias("o"), F.col("manifest").alias("manifest"))
+    # Partial aggregation leaves few rows per sequence before the second step.
+    each = generations.groupBy(*keys, "seq").agg(
+        F.min(content)["manifest"].alias("manifest"),
+        (F.min("manifest") != F.max("manifest")).alias("ambiguous"),
     )
-    return top.withColumn("accepted", F.col("seq") >= F.lit(min_seq))
+    top = each.groupBy(*keys).agg(F.max(F.struct("seq", "manifest", "ambiguous")).alias("t"))
+    return top.select(*keys, "t.*").withColumn("accepted", F.col("seq") >= F.lit(min_seq))
+
+
+# Values of a factor event, of either model.
+FACTOR_FIELDS = [(n, "<f8") for n in ("cum", "fa", "fb", "ba", "bb")]
 
 
 def dedupe_factor_data(sets: DataFrame, factors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split factor sets into data, keyed by content hash, and observations.
 
-    The hash covers identity, window and rows but no observation time, so checking
-    a source again without change keeps the version of its data.
+    The hash covers identity, window and the exact values of all row fields present, but
+    no observation time, so checking a source again without change keeps the version of its data.
     """
-    rows = factors.groupBy("symbol", "market").agg(
+    present = [n for n, _ in FACTOR_FIELDS if n in factors.columns]
+    rows = digest.with_bits(factors, FACTOR_FIELDS).groupBy("symbol", "market").agg(
         F.array_join(
             F.transform(
                 F.array_sort(
                     F.collect_list(
-                        F.struct("day", F.floor(F.col("cum") * 1000000 + 0.5).alias("cum"))
+                        F.struct("day", *[F.coalesce(f"_x_{n}", F.lit("-")).alias(n) for n in present])
                     )
                 ),
-                lambda x: F.concat_ws(":", x["day"].cast("string"), x["cum"].cast("string")),
+                lambda x: F.concat_ws(":", x["day"].cast("string"), *[x[n] for n in present]),
             ),
             ";",
         ).alias("_rows")

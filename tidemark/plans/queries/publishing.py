@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import generations, ops
+from tidemark.plans import bits
 from tidemark.plans.registry import query
 from tidemark.session import scratch
 from tidemark.streaming import alerts, guard, tail
@@ -90,19 +91,21 @@ def rollback_generation(f):
 @query(
     "current_generation",
     """
-    select uid, max(seq) as seq, max(seq) >= 43 as accepted from {f_generations} group by uid
+    with o_top as (select uid, max(seq) as seq from {f_generations} group by uid)
+    select t.uid, t.seq, arg_min(g.manifest, g.obs) as manifest, count(distinct g.manifest) > 1 as ambiguous, t.seq >= 43 as accepted
+    from o_top t join {f_generations} g on g.uid = t.uid and g.seq = t.seq group by t.uid, t.seq
     """,
 )
 def current_generation(f):
-    return generations.current_generation(f.f_generations, ["uid"], 43).drop("manifest")
+    return generations.current_generation(f.f_generations, ["uid"], 43, "obs")
 
 
 @query(
     "dedupe_factor_data",
-    """
-    with o_rows as (select symbol, string_agg(concat(cast(day as varchar), ':', cast(cast(floor(cum * 1000000 + 0.5) as bigint) as varchar)), ';' order by day) as txt from {f_factors} group by symbol),
+    f"""
+    with o_rows as (select symbol, string_agg(concat(cast(day as varchar), ':', {bits.little(bits.double("cum"))}), ';' order by day) as txt from {{f_factors}} group by symbol),
     o_hash as (select s.symbol, s.first_day, sha256(concat_ws('|', s.symbol, s.market, s.model, cast(s.first_day as varchar), cast(s.end_day as varchar), s.source_epoch, coalesce(r.txt, ''))) as data_hash
-      from (select * from {f_factor_sets} union all select * from {f_factor_sets_next}) s left join o_rows r on r.symbol = s.symbol)
+      from (select * from {{f_factor_sets}} union all select * from {{f_factor_sets_next}}) s left join o_rows r on r.symbol = s.symbol)
     select data_hash, symbol, cast(min(first_day) as integer) as first_day, count(*) as observations from o_hash group by data_hash, symbol
     """,
 )
@@ -256,7 +259,7 @@ def stale_monitor(f):
 
 
 REPORTS = """
-select instance, observed_s, event_id as seq, coalesce(code, '') as codes, send_ok,
+select concat('host-', cast(instance as varchar(20))) as instance, observed_s, event_id as seq, coalesce(code, '') as codes, send_ok,
        case when code is null then 'ok' when code in ('agent_missing', 'agent_unhealthy') then 'critical' else 'warning' end as severity
 from {f_health}
 """
@@ -328,15 +331,15 @@ def _with_rocksdb(f, run):
     "generation_guard",
     """
     with o_top as (select *, max(seq) over (partition by uid order by obs rows between unbounded preceding and 1 preceding) as top from {f_generations})
-    select t.uid as namespace, t.obs, case when t.top is null or t.seq > t.top then 'newer' when t.seq < t.top then 'regressed'
+    select concat('history-', cast(t.uid as varchar(20))) as namespace, t.obs, case when t.top is null or t.seq > t.top then 'newer' when t.seq < t.top then 'regressed'
       when t.manifest <> (select arg_min(g.manifest, g.obs) from {f_generations} g where g.uid = t.uid and g.seq = t.top) then 'changed_at_same_sequence' else 'unchanged' end as verdict
     from o_top t
     """,
 )
 def generation_guard(f):
     seen = f.f_generations.select(
-        F.col("uid").alias("namespace"), F.col("obs").cast("bigint").alias("obs"),
-        F.col("seq").cast("bigint").alias("seq"), "manifest",
+        F.concat(F.lit("history-"), F.col("uid").cast("string")).alias("namespace"),
+        F.col("obs").cast("bigint").alias("obs"), F.col("seq").cast("decimal(20,0)").alias("seq"), "manifest",
     )
 
     def run():

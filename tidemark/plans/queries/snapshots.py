@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions import clock, identity
 from tidemark.operators import digest, snapshot
-from tidemark.plans import compact
+from tidemark.plans import bits, compact
 from tidemark.plans.registry import query
 from tidemark.session import scratch
 from tidemark.sources import bars as bar_files
@@ -13,28 +13,12 @@ from tidemark.sources import catalog as catalogs
 from tidemark.sources import exports, suspensions, synthetic
 from tidemark.sources import factors as factor_docs
 
-def _hex(value: str) -> str:
-    """SQL: bytes of a BIGINT as hexadecimal text, the lowest byte first."""
-    return f"array_to_string(list_reverse(regexp_extract_all(lpad(hex({value}), 16, '0'), '..')), '')"
-
-
-def _double(x: str) -> str:
-    """SQL: the bits of a double that is finite, from its power of two and fraction."""
-    size = f"(case when {x} <> 0 then abs({x}) end)"
-    guess = f"cast(floor(log2({size})) as bigint)"
-    power = f"greatest(-1022, {guess} + case when {size} < pow(2.0, {guess}) then -1 when {size} / 2 >= pow(2.0, {guess}) then 1 else 0 end)"
-    half = f"({power} // 2)"
-    scaled = f"{size} / pow(2.0, {half}) / pow(2.0, {power} - {half})"
-    bits = f"coalesce(cast({scaled} * 4503599627370496 as bigint) + ({power} + 1022) * 4503599627370496, 0)"
-    return f"({bits} + case when {x} < 0 then cast(-9223372036854775808 as bigint) else 0 end)"
-
-
 DOUBLES = ["open", "high", "low", "close", "turnover"]
 
 
 def _bytes(name: str, prefix: str = "") -> str:
     x = prefix + name
-    text = _hex(_double(x) if name in DOUBLES else f"cast({x} as bigint)")
+    text = bits.little(bits.double(x) if name in DOUBLES else f"cast({x} as bigint)")
     return f"case when {x} is not null then {text} end"
 
 

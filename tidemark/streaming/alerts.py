@@ -1,12 +1,14 @@
-"""Alert delivery per instance: change or hourly reminder, cooldown, caps, recovery.
+"""Alert delivery per instance: what is worth sending, and whether the budget allows it.
 
-One step function serves the stream and its batch twin. Both see the reports of an
-instance in time order and keep a state of a few numbers, never a list of reports.
+Reports are judged in runs. Between two attempts nothing that a decision rests on
+changes, so all reports up to the next attempt are judged at once as arrays; only
+attempts, of which an hour has few, are taken one by one. Stream and batch share this.
 """
 
-import datetime as dt
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,57 +18,92 @@ from tidemark import fixed
 
 INPUT = ["instance", "observed_s", "seq", "severity", "codes", "send_ok"]
 OUTPUT = (
-    "instance BIGINT, observed_s BIGINT, seq BIGINT, severity STRING, codes STRING, "
+    "instance STRING, observed_s BIGINT, seq BIGINT, severity STRING, codes STRING, "
     "delivery STRING, event STRING, notification_failed BOOLEAN"
 )
 NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 STATE = (
-    "observed_s BIGINT, delivered STRING, delivered_ok BOOLEAN, sent_s BIGINT, "
-    "attempted_s BIGINT, day STRING, hour STRING, daily INT, hourly INT, failure BOOLEAN"
+    "latest_s BIGINT, told STRING, told_ok BOOLEAN, told_s BIGINT, tried_s BIGINT, "
+    "in_hour INT, in_day INT, failing BOOLEAN"
 )
-
-
-def fresh(observed_s: int) -> tuple:
-    return (observed_s, None, True, 0, None, "", "", 0, 0, False)
-
-
-def step(state: tuple | None, row) -> tuple[tuple, tuple]:
-    """Next state and output of one report.
-
-    ``send_ok`` is what the receiver answered; NULL means no answer, which counts as
-    failed. The attempt is in the state whatever the answer, so nothing is sent twice.
+HOUR, DAY = 3600, 86400
+NEVER = -(1 << 40)
+AHEAD = 4096  # reports judged at once
+
+
+@dataclass
+class Delivery:
+    """What the next decision of one instance rests on."""
+
+    latest_s: int = NEVER  # newest time seen
+    told: str = ""  # last delivered report
+    told_ok: bool = True
+    told_s: int = 0
+    tried_s: int = NEVER  # last attempt; the counts below are of its hour and day
+    in_hour: int = 0
+    in_day: int = 0
+    failing: bool = False
+
+    def due(self, at: np.ndarray, report: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        """Reports worth an attempt that the budget allows, given this state."""
+        news = (report != self.told) | (at - self.told_s >= fixed.REMINDER_S)
+        matters = ~ok | (not self.told_ok) | self.failing
+        spent_hour = np.where(at // HOUR == self.tried_s // HOUR, self.in_hour, 0)
+        spent_day = np.where(at // DAY == self.tried_s // DAY, self.in_day, 0)
+        allowed = (
+            (at - self.tried_s >= fixed.COOLDOWN_S)
+            & (spent_hour < fixed.HOURLY_CAP)
+            & (spent_day < fixed.DAILY_CAP)
+        )
+        return news & matters & allowed
+
+    def attempt(self, at: int, report: str, ok: bool, answered: bool) -> None:
+        """Count an attempt, whatever the answer, and note what was delivered."""
+        self.in_hour = 1 + (self.in_hour if at // HOUR == self.tried_s // HOUR else 0)
+        self.in_day = 1 + (self.in_day if at // DAY == self.tried_s // DAY else 0)
+        self.tried_s, self.failing = at, not answered
+        if answered:
+            self.told, self.told_ok, self.told_s = report, ok, at
+
+
+def decide(state: Delivery, reports: pd.DataFrame) -> pd.DataFrame:
+    """Decisions on the reports of one instance in order; ``state`` moves on.
+
+    ``send_ok`` is what the receiver answered; NULL counts as failed. A report older than
+    one before it shows a clock that went back: it is flagged and changes nothing.
     """
-    now = int(row.observed_s)
-    seen, delivered, was_ok, sent, tried, day, hour, daily, hourly, failure = (
-        state or fresh(now)
-    )
-    severity, codes = row.severity, row.codes
-    if now < seen:
-        # The clock went back: report that, and leave the budget alone.
-        out = (row.instance, now, row.seq, "critical", fixed.CLOCK_CODE, "suppressed", None, failure)
-        return (seen, delivered, was_ok, sent, tried, day, hour, daily, hourly, failure), out
-    signature = f"{severity}:{codes}"
-    at = dt.datetime.fromtimestamp(now, dt.timezone.utc)
-    if day != f"{at:%Y-%m-%d}":
-        day, daily = f"{at:%Y-%m-%d}", 0
-    if hour != f"{at:%Y-%m-%dT%H}":
-        hour, hourly = f"{at:%Y-%m-%dT%H}", 0
-    changed = signature != delivered or now - sent >= fixed.REMINDER_S
-    worth = severity != "ok" or not was_ok or failure
-    cooled = tried is None or now - tried >= fixed.COOLDOWN_S
-    delivery = event = None
-    if changed and worth and cooled and daily < fixed.DAILY_CAP and hourly < fixed.HOURLY_CAP:
-        tried, daily, hourly, failure = now, daily + 1, hourly + 1, True
-        event = "recovery" if severity == "ok" else "alert"
-        if row.send_ok is True or row.send_ok == 1:
-            delivered, was_ok, sent, failure = signature, severity == "ok", now, False
-        delivery = "failed" if failure else "sent"
-    out = (row.instance, now, row.seq, severity, codes, delivery or "suppressed", event, failure)
-    return (now, delivered, was_ok, sent, tried, day, hour, daily, hourly, failure), out
-
-
-def _ordered(pdf: pd.DataFrame) -> Iterator:
-    return pdf.itertuples(index=False)
+    n = len(reports)
+    at = reports["observed_s"].to_numpy(dtype=np.int64)
+    severity = reports["severity"].to_numpy(dtype=object)
+    codes = reports["codes"].to_numpy(dtype=object)
+    report = np.array([f"{s}:{c}" for s, c in zip(severity, codes)], dtype=object)
+    ok = severity == "ok"
+    answered = np.array([v is not None and v == True for v in reports["send_ok"]], dtype=bool)  # noqa: E712
+    newest = np.maximum.accumulate(np.concatenate([[state.latest_s], at]))
+    back = at < newest[:-1]
+    delivery = np.full(n, "suppressed", dtype=object)
+    event = np.full(n, None, dtype=object)
+    failing = np.empty(n, dtype=bool)
+    start = 0
+    while start < n:
+        stop = min(start + AHEAD, n)
+        run = slice(start, stop)
+        hits = np.flatnonzero(state.due(at[run], report[run], ok[run]) & ~back[run])
+        if not len(hits):
+            failing[run] = state.failing
+            start = stop
+            continue
+        i = start + int(hits[0])
+        failing[start:i] = state.failing
+        state.attempt(int(at[i]), report[i], bool(ok[i]), bool(answered[i]))
+        failing[i] = state.failing
+        delivery[i] = "failed" if state.failing else "sent"
+        event[i] = "recovery" if ok[i] else "alert"
+        start = i + 1
+    state.latest_s = int(newest[-1])
+    shown = np.where(back, "critical", severity), np.where(back, fixed.CLOCK_CODE, codes)
+    columns = [reports["instance"].to_numpy(), at, reports["seq"].to_numpy(), *shown, delivery, event, failing]
+    return pd.DataFrame(dict(zip(NAMES, columns)))
 
 
 class Throttle(StatefulProcessor):
@@ -74,16 +111,10 @@ class Throttle(StatefulProcessor):
         self._state = handle.getValueState("delivery", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self._state.get() if self._state.exists() else None
-        state = None if state is None else tuple(state)
+        state = Delivery(*self._state.get()) if self._state.exists() else Delivery()
         # A micro-batch of one instance: its reports since the last trigger.
-        batch = pd.concat(list(rows)).sort_values(["seq"], kind="stable")
-        out = []
-        for row in _ordered(batch):
-            state, result = step(state, row)
-            out.append(result)
-        self._state.update(state)
-        yield pd.DataFrame(out, columns=NAMES)
+        yield decide(state, pd.concat(list(rows)).sort_values("seq", kind="stable"))
+        self._state.update(astuple(state))
 
     def close(self) -> None:
         pass
@@ -96,7 +127,7 @@ def alert_throttle(stream: DataFrame) -> DataFrame:
     source's trigger limit (``maxFilesPerTrigger``) bounds what a task sorts at once.
     """
     return (
-        stream.select(*INPUT)
+        stream.select(F.col("instance").cast("string"), *INPUT[1:])
         .groupBy("instance")
         .transformWithStateInPandas(Throttle(), OUTPUT, "append", "none")
     )
@@ -112,18 +143,15 @@ def alert_throttle_batch(reports: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        instance, state = None, None
+        current, state = None, Delivery()
         for pdf in batches:
-            out = []
-            for row in _ordered(pdf):
-                if row.instance != instance:
-                    instance, state = row.instance, None
-                state, result = step(state, row)
-                out.append(result)
-            yield pd.DataFrame(out, columns=NAMES)
+            for instance, part in pdf.groupby("instance", sort=False, dropna=False):
+                if instance != current:
+                    current, state = instance, Delivery()
+                yield decide(state, part)
 
     return (
-        reports.select(*INPUT)
+        reports.select(F.col("instance").cast("string"), *INPUT[1:])
         .repartition("instance")
         .sortWithinPartitions("instance", "seq")
         .mapInPandas(run, OUTPUT)

@@ -2,36 +2,48 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = (
-    "namespace BIGINT, obs BIGINT, seq BIGINT, manifest STRING, verdict STRING"
-)
-NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
+OUTPUT = "namespace STRING, obs BIGINT, seq DECIMAL(20,0), manifest STRING, verdict STRING"
+NAMES = ["namespace", "obs", "seq", "manifest", "verdict"]
+
+
+def verdicts(
+    top: int, content: str | None, seq: np.ndarray, manifest: np.ndarray
+) -> tuple[np.ndarray, int, str | None]:
+    """Verdict on each observation in order, and the highest sequence with its content.
+
+    A running maximum finds the highest sequence before each observation, and the content
+    first seen with it.
+    """
+    highest = np.maximum.accumulate(np.concatenate([np.array([top], np.uint64), seq]))
+    newer = seq > highest[:-1]
+    place = np.arange(1, len(seq) + 1)
+    leader = np.maximum.accumulate(np.where(newer, place, 0))
+    contents = np.concatenate([np.array([content], object), manifest])
+    same = contents[leader] == manifest
+    out = np.select(
+        [newer, seq < highest[1:], same], ["newer", "regressed", "unchanged"], "changed_at_same_sequence"
+    )
+    return out, int(highest[-1]), contents[leader[-1]]
 
 
 class Guard(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._top = handle.getValueState("top", "seq BIGINT, manifest STRING")
+        self._top = handle.getValueState("top", "seq STRING, manifest STRING")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seq, manifest = self._top.get() if self._top.exists() else (0, None)
+        top, content = self._top.get() if self._top.exists() else ("0", None)
         # The observations of one micro-batch, in the order they were made.
         pdf = pd.concat(list(rows)).sort_values("obs", kind="stable")
-        verdicts = []
-        for row in pdf.itertuples(index=False):
-            if row.seq > seq:
-                seq, manifest = int(row.seq), row.manifest
-                verdicts.append("newer")
-            elif row.seq < seq:
-                verdicts.append("regressed")
-            else:
-                same = row.manifest == manifest
-                verdicts.append("unchanged" if same else "changed_at_same_sequence")
-        yield pdf.assign(verdict=verdicts)[NAMES]
-        self._top.update((seq, manifest))
+        seq = np.array([int(s) for s in pdf["seq"]], np.uint64)
+        found, top, content = verdicts(int(top), content, seq, pdf["manifest"].to_numpy(dtype=object))
+        yield pdf.assign(verdict=found)[NAMES]
+        self._top.update((str(top), content))
 
     def close(self) -> None:
         pass
@@ -42,10 +54,13 @@ def generation_guard(stream: DataFrame) -> DataFrame:
 
     Pass on the rows whose verdict is ``newer``. Observations of a namespace are
     expected in order between micro-batches; inside one they are sorted, so the
-    source's trigger limit (``maxFilesPerTrigger``) bounds what a task sorts.
+    source's trigger limit (``maxFilesPerTrigger``) bounds what a task sorts. Sequences are
+    unsigned 64-bit numbers.
     """
     return (
-        stream.select("namespace", "obs", "seq", "manifest")
+        stream.select(
+            F.col("namespace").cast("string"), "obs", F.col("seq").cast("decimal(20,0)"), "manifest"
+        )
         .groupBy("namespace")
         .transformWithStateInPandas(Guard(), OUTPUT, "append", "none")
     )

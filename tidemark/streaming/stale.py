@@ -4,9 +4,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "instance BIGINT, last_s BIGINT, stale_at_ms BIGINT"
+OUTPUT = "instance STRING, last_s BIGINT, stale_at_ms BIGINT"
 NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 
 
@@ -41,7 +42,7 @@ class Stale(StatefulProcessor):
 def stale_stream(stream: DataFrame, limit_s: int = 180) -> DataFrame:
     """One row each time an instance has been silent for ``limit_s`` seconds."""
     return (
-        stream.select("instance", "observed_s")
+        stream.select(F.col("instance").cast("string"), "observed_s")
         .groupBy("instance")
         .transformWithStateInPandas(Stale(limit_s * 1000), OUTPUT, "append", "processingTime")
     )
