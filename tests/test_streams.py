@@ -79,6 +79,26 @@ def test_tail_keeps_each_bar_once_over_batches(spark):
     assert spark.read.parquet(f"{out}/late").count() == 4
 
 
+def test_tail_loses_nothing_in_reverse_order_and_after_a_restart(spark):
+    rows = [("d", "SZ", "s", T - i * 4 * 3600000, i, T - i * 4 * 3600000 + 60000) for i in range(6)]
+    rows += [("d", "SZ", "s", T + 60000, 99, T + 9 * 3600000)] * 2
+    schema = "dataset string, market string, symbol string, ts_ms long, volume long, arrived_ms long"
+    path, out = scratch(spark, "in"), scratch(spark, "tail")
+
+    def run():
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        for q in tail.run_intraday_tail(source, out, f"{out}/c"):
+            q.awaitTermination()
+
+    for part in (rows[:3], rows[3:7], rows):
+        for row in part:
+            spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+        run()
+    kept = spark.read.parquet(f"{out}/bars")
+    assert sorted(r.volume for r in kept.collect()) == list(range(6))
+    assert [r.volume for r in spark.read.parquet(f"{out}/late").collect()] == [99]
+
+
 def test_silent_instances_are_noticed(spark):
     df = spark.createDataFrame([("a", 100), ("a", 160), ("b", 130)], "instance string, observed_s long")
     path, out = scratch(spark, "in"), scratch(spark, "stale")

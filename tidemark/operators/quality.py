@@ -64,7 +64,8 @@ def row_violations(
 def project_rows(bars: DataFrame, encoding: str) -> DataFrame:
     """Rows as clients of ``encoding`` read them: float prices, NULL as NaN.
 
-    A column the encoding needs but the source lacks is an error, never filled in.
+    A column the encoding needs but the source lacks is an error, never filled in. A price
+    that single precision cannot hold is NaN too, and named in ``price_problem``.
     """
     extra = {
         fixed.ENCODING_LEGACY: [],
@@ -76,7 +77,9 @@ def project_rows(bars: DataFrame, encoding: str) -> DataFrame:
     if lacking:
         raise ValueError(f"source lacks {', '.join(lacking)} for {encoding}")
     prices = [numbers.client_price(F.col(p)).alias(p) for p in PRICES]
-    return bars.select(*SERIES, "ts_ms", *prices, "volume", *extra)
+    over = F.concat_ws(",", *[F.when(~numbers.fits_float(F.col(p)), p) for p in PRICES])
+    problem = F.when(over != "", over).alias("price_problem")
+    return bars.select(*SERIES, "ts_ms", *prices, "volume", *extra, problem)
 
 
 def validate_symbols(df: DataFrame) -> DataFrame:

@@ -146,7 +146,8 @@ def merge_prefix_tail(prefix: DataFrame, tail: DataFrame, terms: DataFrame) -> D
     """Raw prefix and tail of each request as one sequence, with its problem if any.
 
     ``terms`` has request_id, start_ms, end_ms, split_ms and prefix_rows. Rows are
-    numbered by part and time; a time both parts hold is a break of order.
+    numbered by part and time; a time both parts hold is a break of order. A request
+    that lacks all its rows is one row without a time, with its problem.
     """
     parts = prefix.withColumn("part", F.lit(0)).unionByName(tail.withColumn("part", F.lit(1)))
     df = parts.join(terms, "request_id")
@@ -173,17 +174,19 @@ def merge_prefix_tail(prefix: DataFrame, tail: DataFrame, terms: DataFrame) -> D
         df.join(copies, ["request_id", "ts_ms"])
         .withColumn("_bad", F.coalesce(misplaced, F.when(F.col("_copies") > 1, "order")))
     )
-    verdict = checked.groupBy("request_id").agg(
-        F.min("_bad").alias("problem"),
-        F.sum((F.col("part") == 0).cast("int")).alias("_prefix"),
-        F.first("prefix_rows").alias("_want"),
-    ).select(
-        "request_id",
-        F.coalesce("problem", F.when(F.col("_prefix") != F.col("_want"), "prefix_rows")).alias(
-            "problem"
-        ),
+    found = checked.groupBy("request_id").agg(
+        F.min("_bad").alias("_found"), F.sum((F.col("part") == 0).cast("int")).alias("_prefix")
+    )
+    # From the terms, so that a request without any row still has its verdict.
+    short = F.coalesce("_prefix", F.lit(0)) != F.col("prefix_rows")
+    verdict = terms.join(found, "request_id", "left").select(
+        "request_id", F.coalesce("_found", F.when(short, "prefix_rows")).alias("problem")
+    )
+    merged = checked.drop("_copies", "_bad").join(verdict, "request_id")
+    empty = verdict.where("problem is not null").join(
+        checked.select("request_id").distinct(), "request_id", "left_anti"
     )
-    return checked.drop("_copies", "_bad").join(verdict, "request_id")
+    return merged.unionByName(empty.join(terms, "request_id"), allowMissingColumns=True)
 
 
 def adjust_composite(
@@ -202,11 +205,14 @@ def adjust_composite(
     merged = materialize(merge_prefix_tail(prefix, tail, terms), "merged")
     problems = merged.where("problem is not null").select("request_id", "problem").distinct()
     if "rows_sha256" in terms.columns:
-        found = digest.rows_digest(merged, ["request_id"], fixed.ENCODING_NATIVE)
+        present = merged.where("ts_ms is not null")
+        found = digest.rows_digest(present, ["request_id"], fixed.ENCODING_NATIVE)
+        found = found.select("request_id", F.col("rows_sha256").alias("_found"))
+        nothing = F.sha2(F.lit(""), 256)
         wrong = (
             terms.select("request_id", F.col("rows_sha256").alias("_declared"))
-            .join(found, "request_id")
-            .where("_declared <> rows_sha256")
+            .join(found, "request_id", "left")
+            .where(F.col("_declared") != F.coalesce("_found", nothing))
             .select("request_id", F.lit("digest").alias("problem"))
         )
         problems = problems.unionByName(

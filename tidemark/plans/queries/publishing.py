@@ -367,20 +367,21 @@ def alert_throttle_stream(f):
     """,
 )
 def intraday_tail_stream(f):
-    """Every bar arrives twice; those that come hours late go to the late sink."""
+    """Every bar arrives twice, in files of shuffled times; hours late, it goes to the late sink."""
     lag = F.when(F.col("close_oi") % 17 == 0, 10800000).otherwise(60000)
     arrivals = f.f_bars.select(
         "dataset", "market", "symbol", "ts_ms", "open", "high", "low", "close", "volume",
         "close_oi", (F.col("ts_ms") + lag).alias("arrived_ms"),
     )
     twice = arrivals.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    out = scratch(f.spark, "tail")
-    stream = _stream(f, twice, "arrivals")
+    path, out = scratch(f.spark, "arrivals"), scratch(f.spark, "tail")
+    twice.repartition(3, F.col("ts_ms") % 7).write.parquet(path)
+    stream = f.spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 1).parquet(path)
     for run in tail.run_intraday_tail(stream, out, f"{out}/checkpoint"):
         run.awaitTermination()
     columns = ["symbol", "ts_ms", "volume"]
-    stored = "symbol STRING, ts_ms BIGINT, volume BIGINT"
-    read = f.spark.read.schema(stored).option("recursiveFileLookup", "true")
+    read = f.spark.read.schema("symbol STRING, ts_ms BIGINT, volume BIGINT")
+    read = read.option("recursiveFileLookup", "true")
     kept = read.parquet(f"{out}/bars").select(*columns, F.lit(False).alias("late"))
     late = read.parquet(f"{out}/late").select(*columns, F.lit(True).alias("late"))
-    return kept.unionByName(late.distinct())
+    return kept.unionByName(late)

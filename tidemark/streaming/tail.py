@@ -3,17 +3,20 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidemark.functions import clock
 from tidemark.operators.snapshot import build_catalog
 from tidemark.schemas import SERIES
 
 
+PLACE = ["market", "yyyymmdd"]
+
+
 def run_intraday_tail(
     stream: DataFrame,
     path: str,
     checkpoint: str,
-    delay: str = "2 hours",
     delay_ms: int = 7200000,
     trigger: dict | None = None,
 ) -> list[StreamingQuery]:
@@ -21,41 +24,50 @@ def run_intraday_tail(
 
     A bar is late when it arrives (``arrived_ms``) more than the delay after its own
     minute. Late revisions never reach the tail: like every change of published rows
-    they need a new generation. The watermark bounds only the memory of bars already
-    seen, with the same delay, so no bar that is in time can fall behind it.
+    they need a new generation. Nothing is dropped for its age: a micro-batch is compared
+    with the rows stored for its own (market, day) partitions, so files may come in any
+    order, after a restart or a backfill too. Of several arrivals of one bar
+    in a micro-batch the earliest counts; equal late rows are stored once.
 
     Every micro-batch owns one folder and overwrites it, so a batch that is repeated
     after a failure leaves the same rows.
     """
     trigger = trigger or {"availableNow": True}
-    timed = stream.withColumn("event_time", F.timestamp_millis("ts_ms"))
-    in_time = timed.where(F.col("arrived_ms") - F.col("ts_ms") <= delay_ms)
-    late = timed.where(F.col("arrived_ms") - F.col("ts_ms") > delay_ms)
-    once = in_time.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(
-        [*SERIES, "ts_ms"]
-    )
-    day = F.date_format(
-        clock.day_date(clock.stored_day(F.col("ts_ms"), F.col("market"))), "yyyyMMdd"
-    )
+    spark = stream.sparkSession
+    day = clock.day_date(clock.stored_day(F.col("ts_ms"), F.col("market")))
+    kept = [c for c in stream.columns if c not in PLACE]
+    bar = [*SERIES, "ts_ms"]
+    keys = {"bars": bar, "late": [c for c in stream.columns if c != "arrived_ms"]}
+    stored = StructType([*stream.schema.fields]).add("yyyymmdd", "string").add("batch", "long")
 
-    def start(df: DataFrame, name: str) -> StreamingQuery:
-        def write(batch: DataFrame, batch_id: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        dated = batch.withColumn("yyyymmdd", F.date_format(day, "yyyyMMdd"))
+        late = F.col("arrived_ms") - F.col("ts_ms") > delay_ms
+        for name, rows in (("bars", dated.where(~late)), ("late", dated.where(late))):
+            by = [*keys[name], "yyyymmdd"]
+            rest = [c for c in dated.columns if c not in by]
+            first = F.min(F.struct("arrived_ms", *[c for c in rest if c != "arrived_ms"])).alias("_f")
+            once = rows.groupBy(*by).agg(first).select(*by, *[F.col("_f")[c].alias(c) for c in rest])
+            seen = spark.read.schema(stored).parquet(f"{path}/{name}").where(F.col("batch") != batch_id)
+            same = [once[c].eqNullSafe(seen[c]) for c in by]
             (
-                batch.drop("event_time")
-                .withColumn("yyyymmdd", day)
+                once.join(seen.select(*by), same, "left_anti")
+                .select(*kept, *PLACE)
                 .write.mode("overwrite")
-                .partitionBy("market", "yyyymmdd")
+                .partitionBy(*PLACE)
                 .parquet(f"{path}/{name}/batch={batch_id}")
             )
 
-        return (
-            df.writeStream.foreachBatch(write)
-            .option("checkpointLocation", f"{checkpoint}/{name}")
-            .trigger(**trigger)
-            .start()
-        )
-
-    return [start(once, "bars"), start(late, "late")]
+    for name in keys:
+        empty = spark.createDataFrame([], stored).drop("batch")
+        empty.write.mode("overwrite").partitionBy(*PLACE).parquet(f"{path}/{name}/batch=-1")
+    query = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger)
+        .start()
+    )
+    return [query]
 
 
 def tail_catalog(bars: DataFrame, declared: DataFrame) -> DataFrame:
