@@ -30,6 +30,7 @@ WIDTH = 35
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 6, 8, 18)}
 SETTLE_ROWS = 1 << 20  # candidate places of a task that are matched at once
 RUN_BITS = 24
+COPY_SHARES = 32
 LEADS, FOLLOWS = -1, -2  # marks of a copied text: the first one, the others
 
 def cover_for(width: int) -> tuple[int, tuple[int, ...]]:
@@ -42,11 +43,12 @@ def _span(place: np.ndarray, run: np.ndarray) -> np.ndarray:
     return (place.astype(np.int64) << RUN_BITS) | run
 
 
-def _settled(ids: list[np.ndarray], place, key, more, sure) -> pa.RecordBatch:
+def _settled(ids: list[np.ndarray], place, key, more, sure, gap: int) -> pa.RecordBatch:
     """Rows of a batch of places: one per key, sure if it repeats, and the rest as sure runs.
 
     A row holds the ids of its text, ``key`` and ``more`` (what must meet), ``span`` (place and number
-    of neighbouring candidates) and ``sure``. Runs travel under keys of their own.
+    of neighbouring candidates) and ``sure``. Runs travel under keys of their own; neighbours
+    are at most ``gap`` places apart.
     """
     order = np.lexsort((more, key))
     k, m = key[order], more[order]
@@ -58,14 +60,15 @@ def _settled(ids: list[np.ndarray], place, key, more, sure) -> pa.RecordBatch:
     known[order] |= twice
     rest = np.zeros(len(k), bool)
     rest[order] = again
-    # Runs of the rest: candidates that follow each other in one text.
+    # Runs of the rest: candidates that follow each other in one text, none missing between.
     at = np.flatnonzero(rest)
     new = np.ones(len(at), bool)
     if len(at):
         new[1:] = (np.diff(at) > 1) | (at[1:] % (1 << 20) == 0)
         for i in ids:
             new[1:] |= i[at[1:]] != i[at[:-1]]
-        new[1:] |= place[at[1:]] <= place[at[:-1]]
+        step = place[at[1:]] - place[at[:-1]]
+        new[1:] |= (step <= 0) | (step > gap)
     head, last = at[new], at[np.r_[np.flatnonzero(new)[1:] - 1, len(at) - 1]] if len(at) else at
     one = np.flatnonzero(~rest)
     rows = np.concatenate([one, head])
@@ -87,7 +90,7 @@ def _settled(ids: list[np.ndarray], place, key, more, sure) -> pa.RecordBatch:
 ID_NAMES = ["doc", "tie"]
 
 
-def _places(docs: DataFrame, ids: list[str], find) -> DataFrame:
+def _places(docs: DataFrame, ids: list[str], find, gap: int) -> DataFrame:
     """Run ``find`` on slices of ``docs`` and settle what it finds, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,7 @@ def _places(docs: DataFrame, ids: list[str], find) -> DataFrame:
 
     def _of(held: list[tuple]) -> pa.RecordBatch:
         *own, place, key, more, sure = map(np.concatenate, zip(*held))
-        return _settled(own, place, key, more, sure)
+        return _settled(own, place, key, more, sure, gap)
 
     schema = ", ".join(f"{i} long" for i in ids) + ", key long, more int, span long, sure boolean"
     return docs.mapInArrow(run, schema)
@@ -133,8 +136,11 @@ def _copies(docs: DataFrame, ids: list[str]) -> DataFrame:
     )
     same = ["h", "g", "n_points"]
     groups = hashed.groupBy(*same).agg(F.count("*").alias("n"), F.min("doc").alias("lead")).where("n > 1")
+    # A group may hold a third of all texts: its rows are dealt over shares.
+    shares = F.pmod(F.xxhash64("doc"), F.lit(COPY_SHARES)).cast("int")
+    groups = groups.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(COPY_SHARES - 1))))
     return (
-        hashed.join(groups, same)
+        hashed.withColumn("share", shares).join(groups, [*same, "share"])
         .select(*ids, F.when(F.col("doc") == F.col("lead"), LEADS).otherwise(FOLLOWS).cast("long").alias("span"))
         .distinct()
     )
@@ -153,7 +159,7 @@ def _anchors(docs: DataFrame, ids: list[str], width: int) -> DataFrame:
         key = windows(w.hashes(0), length)[at] if len(at) else np.zeros(0, np.uint64)
         return at, key, np.zeros(len(at), np.uint64), np.zeros(len(at), bool)
 
-    return _places(docs.select(*ids, "text"), ids, find)
+    return _places(docs.select(*ids, "text"), ids, find, period)
 
 
 def _extended(docs: DataFrame, ids: list[str], width: int) -> DataFrame:
@@ -171,7 +177,7 @@ def _extended(docs: DataFrame, ids: list[str], width: int) -> DataFrame:
         key, more = (windows(w.hashes(i), width)[at] for i in (0, 1))
         return at, key, more & np.uint64(0xFFFFFFFF), leads[at]
 
-    return _places(docs, ids, find)
+    return _places(docs, ids, find, 1)
 
 
 def _row_of(w, at: np.ndarray) -> np.ndarray:
