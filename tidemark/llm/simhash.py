@@ -34,6 +34,7 @@ MAX_BITS = 4
 SEED = 42
 HOME_ROWS = 2048  # fingerprints at home at an anchor before it is split
 WIDE_FROM = 1 << 22  # distinct fingerprints from which wider blocks pay
+SHARES = 32  # of the fingerprints of one group
 PAIRS = 1 << 20  # comparisons made at once
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -291,12 +292,15 @@ def near_groups(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGL
     """
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    roots = components(links(distinct, max_bits))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
+    roots = components(links(distinct, max_bits)).withColumnRenamed("node", "fp")
+    # Only fingerprints with a link need their group's smallest id; those of a large group are
+    # dealt over shares.
+    linked = roots.join(distinct, "fp").withColumn("share", F.pmod(F.xxhash64("fp"), F.lit(SHARES)))
+    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id")).withColumn(
+        "share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))
     )
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = named.join(lowest, "root").select("fp", "component_id")
+    named = linked.join(lowest, ["root", "share"]).select("fp", "component_id")
+    by_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     return marked.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
