@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import SPACES, replaced
+from tidemark.llm.tables import SPACES
 from tidemark.session import materialize
 
 SHARE_ROWS = 256
@@ -102,16 +102,16 @@ def drop_copies(docs: DataFrame, share_rows: int = SHARE_ROWS) -> DataFrame:
         dropped = materialize(groups.where("not kept").select(F.col("doc_id").alias("_dropped")), "dropped")
         return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_dropped"]), "left_anti")
     kept = groups.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_digest"))
-    marked = replaced(
-        docs,
-        _of=F.col("doc_id").cast("long"),
-        _content=F.sha2(normalised(F.col("text").cast("string")), 256),
+    row = docs.select(
+        F.struct(*names).alias("row"),
+        F.col("doc_id").cast("long").alias("of"),
+        F.sha2(normalised(F.col("text").cast("string")), 256).alias("content"),
     )
-    left = marked.join(
-        kept, F.col("_of").eqNullSafe(F.col("_kept_id")) & (F.col("_content") == F.col("_digest")), "left_semi"
+    left = row.join(
+        kept, F.col("of").eqNullSafe(F.col("_kept_id")) & (F.col("content") == F.col("_digest")), "left_semi"
     )
-    every = W.partitionBy("_of", "_content").orderBy(*[F.col(n).cast("string") for n in names])
-    return left.withColumn("_nth", F.row_number().over(every)).where("_nth = 1").select(*names)
+    every = W.partitionBy("of", "content").orderBy(*[F.col("row")[c].cast("string") for c in docs.columns])
+    return left.withColumn("nth", F.row_number().over(every)).where("nth = 1").select("row.*")
 
 
 EXACT_SQL = r"""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import replaced
+from tidemark.llm.tables import replaced, unused
 from tidemark.llm.texts import slices, windows, words
 
 REPEAT_WINDOW = 8
@@ -144,11 +144,13 @@ def failures(measurement: Callable[[str], Column] = F.col) -> Column:
 
 
 def _measured(docs: DataFrame, texts: bool) -> DataFrame:
-    """``docs`` with a struct ``_measures``; ``text`` itself is dropped unless ``texts``."""
+    """``docs`` with its measurements as a last, struct column; ``text`` is dropped unless ``texts``."""
     carried = [f for f in docs.schema if texts or f.name != "text"]
     struct = pa.struct([(k, pa.int64()) for k in MEASURES])
     inner = ", ".join(f"{k}: {v}" for k, v in MEASURES.items())
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in carried], f"_measures struct<{inner}>"])
+    added = unused(docs, "_measures")
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in carried]
+    schema = ", ".join([*columns, f"`{added}` struct<{inner}>"])
     names = [f.name for f in carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +159,7 @@ def _measured(docs: DataFrame, texts: bool) -> DataFrame:
                 found = measure(part.column("text"))
                 values = pa.StructArray.from_arrays([pa.array(found[k]) for k in MEASURES], fields=list(struct))
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(n) for n in names], values], [*names, "_measures"]
+                    [*[part.column(n) for n in names], values], [*names, added]
                 )
 
     return docs.mapInArrow(run, schema)
@@ -211,9 +213,11 @@ def judged(docs: DataFrame, policy: int = CURRENT) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: int = CURRENT) -> DataFrame:
     """``docs`` without the rows that a policy or the base rules reject; columns unchanged."""
-    bits = failures(lambda name: F.col("_measures")[name])
+    rows = _measured(docs, texts=True)
+    measured = rows.columns[-1]
+    bits = failures(lambda name: F.col(f"`{measured}`")[name])
     good = bits.bitwiseAND(F.lit(POLICIES[policy] | BASE)) == 0
-    return _measured(docs, texts=True).where(good).drop("_measures")
+    return rows.where(good).drop(measured)
 
 
 # The base columns and the verdict of policy 2, as SQL on the same table.

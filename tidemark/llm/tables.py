@@ -15,6 +15,14 @@ def replaced(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(*keep, *[v.alias(k) for k, v in columns.items()])
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Smallest node reachable from each node that has an edge: columns ``node``, ``root``.
 
