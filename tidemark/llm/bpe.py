@@ -10,6 +10,7 @@ of pieces, whose size is the vocabulary's.
 """
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -30,6 +31,8 @@ TABLE_WORDS = 65_536  # words of the broadcast table
 TABLE_CHARS = 64  # a longer word is never in it, which bounds its bytes
 CACHE_WORDS = 300_000  # encoded words that a worker holds on to
 SLICE = 8 << 20
+# Letters whose lower case and composition depend on no neighbour, then marks.
+PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,!?;:]*)$"
 LINE_WORDS = 2_000
 
 Table = dict[str, bytes]
@@ -81,12 +84,45 @@ def encode_words(path: str, distinct: list[str]) -> list[bytes]:
     return out
 
 
+@lru_cache(maxsize=2)
+def closes(path: str) -> np.ndarray:
+    """True for ids whose piece ends a run of letters, digits or marks."""
+    suffix = json.loads(tokenizer(path).to_str())["model"].get("end_of_word_suffix")
+    return np.array([bool(suffix) and p is not None and p.endswith(suffix) for p in pieces(path).to_pylist()])
+
+
+def encode_runs(path: str, runs: list[str]) -> list[bytes]:
+    """As ``encode_words`` for runs that the tokenizer does not split: the end of each shows in its ids."""
+    lines = [" ".join(runs[i : i + LINE_WORDS]) for i in range(0, len(runs), LINE_WORDS)]
+    found = tokenizer(path).encode_batch_fast(lines, add_special_tokens=False)
+    ids = np.array([i for e in found for i in e.ids], "<i4")
+    edge = 4 * (np.flatnonzero(closes(path)[ids]) + 1)
+    if len(edge) != len(runs):
+        return encode_words(path, runs)
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip([0, *edge[:-1].tolist()], edge.tolist())]
+
+
 class Encoder:
-    """Encodes slices of texts; keeps encoded words up to a bound."""
+    """Encodes slices of texts; keeps encoded words up to a bound.
+
+    A plain word, of ASCII and Latin-1 letters with marks behind them, is the lower-case letters and
+    the marks to the tokenizer: both are looked up apart, so a word costs nothing more
+    when a comma follows it or a sentence starts with it. Other words are looked up whole.
+    """
 
     def __init__(self, path: str, table: Table | None = None):
         self.path, self.table = path, table or {}
-        self.known = dict(self.table)
+        self.known = {"": b""} | self.table
+
+    def ids_of(self, units: list[str], encode: Callable[[str, list[str]], list[bytes]]) -> list[bytes]:
+        known = self.known
+        new = [x for x in units if x not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            known = self.known = {"": b""} | self.table
+            new = [x for x in units if x not in known]
+        known.update(zip(new, encode(self.path, new)))
+        return [known[x] for x in units]
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the first id of each text (one more than texts)."""
@@ -97,21 +133,33 @@ class Encoder:
         chars = w.joined()
         flat = pa.LargeStringArray.from_buffers(len(w.start), pa.py_buffer(spans), pa.py_buffer(chars))
         coded = flat.dictionary_encode()
-        distinct, code = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        known = self.known
-        new = [x for x in distinct if x not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known = self.known = dict(self.table)
-            new = [x for x in distinct if x not in known]
-        known.update(zip(new, encode_words(self.path, new)))
-        ids = [known[x] for x in distinct]
+        code = np.asarray(coded.indices)
+        found = pc.extract_regex(coded.dictionary, PLAIN)
+        plain = np.asarray(found.is_valid())
+        letters = pc.utf8_lower(found.field("letters").filter(pa.array(plain))).dictionary_encode()
+        marks = found.field("marks").filter(pa.array(plain)).dictionary_encode()
+        whole = coded.dictionary.filter(pa.array(~plain))
+        # Units: letters and marks, then whole words; every distinct word is a pair of them.
+        runs = [*letters.dictionary.to_pylist(), *marks.dictionary.to_pylist()]
+        ids = self.ids_of(runs, encode_runs) + self.ids_of(whole.to_pylist(), encode_words) + [b""]
+        pair = np.full((len(plain), 2), len(runs) + len(whole))
+        pair[plain, 0] = np.asarray(letters.indices)
+        pair[plain, 1] = np.asarray(marks.indices) + len(letters.dictionary)
+        pair[~plain, 0] = np.arange(len(whole)) + len(runs)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat_ids = np.frombuffer(b"".join(ids), "<i4")
         first = np.cumsum(size) - size
-        each = size[code]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(first[code] - ends[:-1], each) + np.arange(ends[-1])
-        return flat_ids[at], ends[w.first]
+        flat_ids = np.frombuffer(b"".join(ids), "<i4")
+        # Ids of the distinct words, one after the other, and from there those of all words.
+        flat_ids, ends = _gather(flat_ids, first[pair.ravel()], size[pair.ravel()])
+        ends = ends[::2]
+        flat_ids, ends = _gather(flat_ids, ends[:-1][code], np.diff(ends)[code])
+        return flat_ids, ends[w.first]
+
+
+def _gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` one after the other, and where each begins (one more than runs)."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return values[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
 def word_table(docs: DataFrame, path: str, size: int = TABLE_WORDS) -> Table:
