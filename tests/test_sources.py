@@ -138,7 +138,15 @@ def test_factor_documents(spark):
         factor_doc(rows=[{**row, "code": "X"}]): "row_value",
         factor_doc(rows=[{**row, "ex_date": 40}]): "row_window",
         factor_doc(rows=[{**row, "ex_date": 1}, {**row, "ex_date": 2}]): "row_window",
+        factor_doc(rows=[row, {**row, "ex_date": 9}]): "row_order",
+        factor_doc(rows=[row, row]): "row_order",
+        factor_doc(rows=[row, {**row, "update_time": 2}]): None,
+        factor_doc(rows=[{**row, "ex_date": None}]): "row_value",
         factor_doc(kind="other"): "unsupported",
+        factor_doc(first_day="10"): "wrong_type",
+        factor_doc(observed_at_ms=1000.5): "wrong_type",
+        factor_doc(symbol=7): "wrong_type",
+        factor_doc(rows=[{**row, "cum_factor": "2.0"}]): "wrong_type",
         factor_doc(extra=1): "unknown_field",
         factor_doc().replace('"market"', '"symbol"'): "duplicate_key",
         factor_doc().replace('"update_time": 1', '"update_time": 1, "code": "Y"'): "duplicate_key",
@@ -152,6 +160,14 @@ def test_factor_documents(spark):
     assert (us_event.fa, us_event.fb, us_event.bb, us_event.day) == (0.5, 0.0, -1.0, 20)
 
 
+def test_last_revision_of_a_day_counts(spark):
+    row = {"code": "000001.SZ", "ex_date": 10, "ex_factor": 2.0, "cum_factor": 2.0, "update_time": 1}
+    later = [{**row, "cum_factor": 3.0, "update_time": 2}, {**row, "ex_date": 11}]
+    docs = spark.createDataFrame([(factor_doc(rows=[row, *later]),)], "value string")
+    _, events = factors.read_factors(docs)
+    assert sorted((r.day, r.cum, r.update_ms) for r in events.collect()) == [(10, 3.0, 2), (11, 2.0, 1)]
+
+
 def test_suspension_documents(spark, tmp_path):
     def doc(*intervals, policy="a-share-null-placeholder-v1"):
         return json.dumps({"schema_version": 1, "policy": policy, "intervals": list(intervals)})

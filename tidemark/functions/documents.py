@@ -2,11 +2,34 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    DecimalType,
+    IntegralType,
+    NumericType,
+    StructType,
+)
 
 from tidemark.schemas import as_struct
 
 
+def _of_type(kind: Column, wanted: DataType) -> Column:
+    """Is the type of a JSON value one that ``wanted`` holds without change? NULL is of every type."""
+    if isinstance(wanted, BooleanType):
+        allowed = "BOOLEAN"
+    elif isinstance(wanted, IntegralType):
+        allowed = "BIGINT"
+    elif isinstance(wanted, DecimalType):
+        allowed = r"BIGINT|DECIMAL\([0-9]+,0\)"
+    elif isinstance(wanted, NumericType):
+        allowed = r"BIGINT|DOUBLE|DECIMAL\([0-9]+,[0-9]+\)"
+    else:
+        allowed = "STRING"
+    return F.coalesce(kind.rlike(f"^(VOID|{allowed})$"), F.lit(True))
+
+
 def document_problem(
     text: Column, schema: DataType, optional: frozenset[str] = frozenset()
 ) -> Column:
@@ -30,14 +53,20 @@ def document_problem(
             for f in schema
             if isinstance(f.dataType, (StructType, ArrayType))
         ]
-        # A nested value that is null or absent is judged by the field set alone.
+        # A value that is null or absent is judged by the field set alone.
         nested = [
             F.when(F.get_json_object(text, f"$.{f.name}").isNotNull(), p)
             for f, p in zip(
                 [f for f in schema if isinstance(f.dataType, (StructType, ArrayType))], inner
             )
         ]
-        return F.coalesce(check, *nested) if nested else check
+        value = F.try_parse_json(text)
+        plain = [
+            F.when(~_of_type(F.schema_of_variant(F.try_variant_get(value, f"$.{f.name}", "variant")), f.dataType), "wrong_type")
+            for f in schema
+            if not isinstance(f.dataType, (StructType, ArrayType))
+        ]
+        return F.coalesce(check, *plain, *nested)
     if isinstance(schema, ArrayType) and isinstance(
         schema.elementType, (StructType, ArrayType)
     ):

@@ -1,6 +1,6 @@
 """Factor documents: one set per document, its events as rows."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import fixed
@@ -70,23 +70,48 @@ def read_factors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     model_market = (cumulative & F.col("doc.market").isin(fixed.STOCK_MARKETS)) | (
         (F.col("doc.model") == fixed.MODEL_AFFINE) & (F.col("doc.market") == "US")
     )
-    day = F.transform(
-        F.col("doc.rows"), lambda r: F.coalesce(r["ex_date"], r["ex_div_date"])
-    )
-    carry_days = F.size(F.filter(day, lambda d: d < F.col("doc.first_day")))
     rows = F.col("doc.rows")
+    day = F.transform(rows, lambda r: F.when(cumulative, r["ex_date"]).otherwise(r["ex_div_date"]))
+    carry_days = F.size(F.array_distinct(F.filter(day, lambda d: d < F.col("doc.first_day"))))
+    # Revisions of one day follow each other in time; the last one counts.
+    place = F.sequence(F.lit(1), F.greatest(F.size(rows) - 1, F.lit(1)))
+    disorder = (F.size(rows) > 1) & F.exists(
+        place,
+        lambda i: (F.get(day, i) < F.get(day, i - 1))
+        | (
+            (F.get(day, i) == F.get(day, i - 1))
+            & (F.get(rows, i)["update_time"] <= F.get(rows, i - 1)["update_time"])
+        ),
+    )
+    last = F.filter(
+        rows,
+        lambda r, i: (i == F.size(rows) - 1) | (F.get(day, i) != F.get(day, i + 1)),
+    )
+
+    def positive(x: Column) -> Column:
+        return numbers.finite(x) & (x > 0)
+
+    def offset(x: Column) -> Column:
+        return F.coalesce(numbers.finite(x), F.lit(True))
+
     bad_values = F.exists(
         rows,
         lambda r: ~F.coalesce(
             F.when(
                 cumulative,
-                numbers.finite(r["cum_factor"]) & (r["cum_factor"] > 0) & (r["ex_factor"] > 0),
-            ).otherwise((r["forward_adj_factorA"] > 0) & (r["backward_adj_factorA"] > 0)),
+                r["ex_date"].isNotNull() & positive(r["cum_factor"]) & positive(r["ex_factor"]),
+            ).otherwise(
+                r["ex_div_date"].isNotNull()
+                & positive(r["forward_adj_factorA"])
+                & positive(r["backward_adj_factorA"])
+                & offset(r["forward_adj_factorB"])
+                & offset(r["backward_adj_factorB"])
+            ),
             F.lit(False),
         )
         | (r["code"] != F.col("doc.symbol"))
         | (r["update_time"] < 0),
-    )
+    ) | F.exists(day, lambda d: ~d.between(fixed.FIRST_CIVIL_DAY, fixed.LAST_CIVIL_DAY))
     problem = (
         F.when(
             (F.col("doc.kind") != fixed.KIND_FACTORS)
@@ -111,13 +136,14 @@ def read_factors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(~identity.is_digest(F.col("doc.source_proof_sha256")), "proof")
         .when((F.size(rows) == 0) & ~F.col("doc.allow_empty"), "empty")
         .when(bad_values, "row_value")
+        .when(disorder, "row_order")
         .when(
             cumulative
             & ((carry_days > 1) | F.exists(day, lambda d: d >= F.col("doc.end_day"))),
             "row_window",
         )
     )
-    checked = parsed.withColumn("problem", F.coalesce("problem", problem))
+    checked = parsed.withColumn("problem", F.coalesce("problem", problem)).withColumn("_last", last)
     sets = checked.select(
         "doc.symbol",
         "doc.market",
@@ -133,7 +159,7 @@ def read_factors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     events = (
         checked.where("problem is null")
-        .select("doc.symbol", "doc.market", "doc.model", F.explode("doc.rows").alias("r"))
+        .select("doc.symbol", "doc.market", "doc.model", F.explode("_last").alias("r"))
         .select(
             "symbol",
             "market",
