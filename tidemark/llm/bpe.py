@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.texts import slices, words
+from tidemark.session import materialize
 
 VOCABULARY = "word_bpe_49k.json"
 TABLE_WORDS = 65_536  # words of the broadcast table
@@ -163,21 +164,22 @@ def _gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 def word_table(docs: DataFrame, path: str, size: int = TABLE_WORDS) -> Table:
-    """The most frequent words of all texts with their ids, each encoded once.
+    """The frequent words of all texts with their ids, each encoded once.
 
-    At most ``size`` words of at most ``TABLE_CHARS`` characters, so what reaches the driver
-    and the tasks has a bound that doesn't grow with the corpus. Ties go by the word.
+    A word is frequent if it makes up at least one in ``size`` of the counted words, so
+    there are at most ``size`` of them, of at most ``TABLE_CHARS`` characters; what reaches the
+    driver and the tasks has a bound that doesn't grow with the corpus, and nothing is sorted.
     """
     split = F.explode(F.split(F.col("text").cast("string"), "[ \\t-\\r]+"))
-    counted = (
+    counted = materialize(
         docs.select(split.alias("word"))
         .where(F.char_length("word").between(1, TABLE_CHARS))
         .groupBy("word").count()
-        .where(F.col("count") > 1)
-        .orderBy(F.col("count").desc(), "word")
-        .limit(size)
-        .select("word")
+        .where(F.col("count") > 1),
+        "words",
     )
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    frequent = counted.where(F.col("count") * size >= total).select("word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +187,7 @@ def word_table(docs: DataFrame, path: str, size: int = TABLE_WORDS) -> Table:
             ids = encode_words(path, column.to_pylist())
             yield pa.RecordBatch.from_arrays([column, pa.array(ids, pa.binary())], ["word", "ids"])
 
-    found = counted.mapInArrow(run, "word string, ids binary").toArrow()
+    found = frequent.mapInArrow(run, "word string, ids binary").toArrow()
     return dict(zip(found.column("word").to_pylist(), found.column("ids").to_pylist()))
 
 
