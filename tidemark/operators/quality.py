@@ -107,14 +107,36 @@ def order_violations(bars: DataFrame, row_no: str | None = None) -> DataFrame:
 
 
 def gap_profile(bars: DataFrame) -> DataFrame:
-    """How often each step between neighbouring bars, and each change of step, occurs."""
-    steps = ordered.with_previous(bars.select(*SERIES, "ts_ms"), SERIES, ["ts_ms"], ["ts_ms"])
-    steps = steps.withColumn("delta", F.col("ts_ms") - F.col("prev_ts_ms"))
-    turns = ordered.with_previous(steps, SERIES, ["ts_ms"], ["delta"])
+    """How often each step between neighbouring bars, and each change of step, occurs.
+
+    One window per day lags twice; the last two times of each day are carried over days.
+    """
+    day = ordered.with_slice(bars.select(*SERIES, "ts_ms"), "ts_ms", ordered.DAY)
+    inside = Window.partitionBy(*SERIES, ordered.SLICE).orderBy("ts_ms")
+    local = day.select(
+        "*",
+        F.row_number().over(inside).alias("_rn"),
+        F.lag("ts_ms", 1).over(inside).alias("_one"),
+        F.lag("ts_ms", 2).over(inside).alias("_two"),
+    )
+    over = Window.partitionBy(*SERIES).orderBy(ordered.SLICE)
+    # Largest and second largest time; a day has at most its minutes.
+    two = F.slice(F.sort_array(F.collect_list("ts_ms"), asc=False), 1, 2)
+    tails = day.groupBy(*SERIES, ordered.SLICE).agg(two.alias("_t")).select(
+        *SERIES, ordered.SLICE, F.get("_t", F.lit(0)).alias("_last"), F.get("_t", F.lit(1)).alias("_next")
+    )
+    tails = tails.withColumn("_next", F.coalesce("_next", F.lag("_last").over(over)))
+    carried = tails.select(
+        *SERIES, ordered.SLICE, F.lag("_last").over(over).alias("_p1"), F.lag("_next").over(over).alias("_p2")
+    )
+    first, second = F.col("_rn") == 1, F.col("_rn") == 2
+    one = F.when(first, F.col("_p1")).otherwise(F.col("_one"))
+    two = F.when(first, F.col("_p2")).when(second, F.col("_p1")).otherwise(F.col("_two"))
     return (
-        turns.where(F.col("delta").isNotNull())
-        .withColumn("delta_of_delta", F.col("delta") - F.col("prev_delta"))
-        .groupBy("delta", "delta_of_delta")
+        local.join(carried, [*SERIES, ordered.SLICE])
+        .select((F.col("ts_ms") - one).alias("delta"), (one - two).alias("_before"))
+        .where("delta is not null")
+        .groupBy("delta", (F.col("delta") - F.col("_before")).alias("delta_of_delta"))
         .agg(F.count(F.lit(1)).alias("bars"))
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions import clock
 from tidemark.functions.identity import identity_problem, is_digest
-from tidemark.operators import coverage, requests as asks, scan
+from tidemark.operators import coverage, digest, requests as asks, scan
 from tidemark.schemas import SERIES
 from tidemark.session import materialize
 
@@ -106,6 +106,29 @@ def outcome(refused: DataFrame, judged: DataFrame, rows: DataFrame) -> DataFrame
     return answered.unionByName(early, allowMissingColumns=True)
 
 
+def answer_digests(
+    judged: DataFrame, rows: DataFrame, encoding: str = fixed.ENCODING_NATIVE, payload: bool = False
+) -> DataFrame:
+    """Row count and SHA-256, on request also the packed bytes, of each served answer.
+
+    ``judged`` and ``rows`` are what ``judge`` and ``selected_rows`` return. Records carry
+    instants. An answer without rows has the digest of nothing; one that fails for its rows
+    has none. The row limits of the requests bound each group.
+    """
+    bad = ((F.col("null_class") != "normal") & ~F.col("confirmed")) | F.col("utc_ms").isNull()
+    failed = rows.where(bad).select("request_id").distinct()
+    shown = rows.where("visible = 1").withColumn("ts_ms", F.col("utc_ms"))
+    found = digest.rows_digest(shown, ["request_id"], encoding, payload)
+    served = judged.where("status in ('HIT', 'PARTIAL')").select("request_id")
+    whole = served.join(failed, "request_id", "left_anti").join(found, "request_id", "left")
+    filled = whole.withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn(
+        "rows_sha256", F.coalesce("rows_sha256", F.sha2(F.lit(""), 256))
+    )
+    if payload:
+        filled = filled.withColumn("data", F.coalesce("data", F.lit(b"")))
+    return filled
+
+
 def answer_requests(
     requests: DataFrame,
     catalog: DataFrame,

@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import coverage, scan, visibility
-from tidemark.plans import answer
+from tidemark import fixed
+from tidemark.operators import coverage, digest, scan, visibility
+from tidemark.plans import answer, bits
 from tidemark.plans.queries.rows import ASKS, asks, ranges
 from tidemark.plans.registry import query
+from tidemark.session import materialize
 
 
 @query(
@@ -249,6 +251,24 @@ def visible_rows(f):
     )
 
 
+@query(
+    "answer_digest",
+    f"""
+    with recursive {WALK}, {STATUS}, {SEEN},
+    o_bad as (select distinct request_id from o_seen where visible = 0 and not confirmed),
+    o_packed as (select request_id, ts_ms, {bits.record([n for n, _ in digest.RECORDS[fixed.ENCODING_NATIVE]])} as r from o_seen where visible = 1),
+    o_found as (select request_id, count(*) as rows, sha256(unhex(string_agg(r, '' order by ts_ms))) as d from o_packed group by request_id)
+    select s.request_id, coalesce(f.rows, 0) as rows, coalesce(f.d, sha256('')) as rows_sha256
+    from o_served s left join o_found f on f.request_id = s.request_id
+    where s.request_id not in (select request_id from o_bad)
+    """,
+)
+def answer_digest(f):
+    _, judged = answer.judge(f.f_requests, f.f_catalog_tiers)
+    rows = answer.selected_rows(judged, f.f_bars_tiers, f.f_suspensions)
+    return answer.answer_digests(judged, materialize(rows, "selected"))
+
+
 @query(
     "omitted_rows",
     f"""

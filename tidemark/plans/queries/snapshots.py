@@ -13,24 +13,10 @@ from tidemark.sources import catalog as catalogs
 from tidemark.sources import exports, suspensions, synthetic
 from tidemark.sources import factors as factor_docs
 
-DOUBLES = ["open", "high", "low", "close", "turnover"]
-
-
-def _bytes(name: str, prefix: str = "") -> str:
-    x = prefix + name
-    text = bits.little(bits.double(x) if name in DOUBLES else f"cast({x} as bigint)")
-    return f"case when {x} is not null then {text} end"
-
-
 def _row_text(prefix: str = "") -> str:
     """SQL: what content digests cover of a bar."""
     names = [name for name, _ in digest.CONTENT]
-    return "concat_ws('|', " + ", ".join(f"coalesce({_bytes(n, prefix)}, '-')" for n in names) + ")"
-
-
-def _record(names: list[str]) -> str:
-    """SQL: hexadecimal text of a packed record; NULL prices are the smallest double."""
-    return "concat(" + ", ".join(f"coalesce({_bytes(n)}, 'FFFFFFFFFFFFEFFF')" for n in names) + ")"
+    return "concat_ws('|', " + ", ".join(f"coalesce({bits.column(n, prefix)}, '-')" for n in names) + ")"
 
 
 ROW_TEXT = _row_text()
@@ -146,7 +132,7 @@ def synthetic_bars(f):
     f"""
     select symbol, month_key, count(*) as rows, sha256(unhex(string_agg(r, '' order by ts_ms))) as rows_sha256
     from (select symbol, ts_ms, strftime(make_timestamp((ts_ms + 28800000) * 1000), '%Y%m') as month_key,
-            {_record([n for n, _ in digest.RECORDS[fixed.ENCODING_NATIVE]])} as r from {{f_bars_nullable}}) x
+            {bits.record([n for n, _ in digest.RECORDS[fixed.ENCODING_NATIVE]])} as r from {{f_bars_nullable}}) x
     group by symbol, month_key
     """,
 )
