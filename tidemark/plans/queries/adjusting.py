@@ -195,9 +195,7 @@ ADJUSTED = f"""
 
 def adjusted_parts(f):
     mode = F.when(F.col("uid") % 2 == 0, "forward").otherwise("backward")
-    asked = f.f_requests.withColumn("adjust", mode).where(
-        F.col("row_encoding") == fixed.ENCODING_NATIVE
-    )
+    asked = f.f_requests.withColumn("adjust", mode)
     factors = f.f_factors.select(
         "symbol", "market", "model", "day", "cum",
         *[F.lit(None).cast("double").alias(c) for c in ["fa", "fb", "ba", "bb"]],
@@ -228,7 +226,9 @@ def adjusted_parts(f):
       case when status = 'HIT' and not failed and problem is null and mode = 'forward' then anchor_day end as anchor_day
     from o_state o left join o_days d on d.request_id = o.request_id
     union all
-    select request_id, 'ERROR', 'invalid_request', 'bounds', null, null, null, null from {{f_requests}} where end_ms <= start_ms and row_encoding = 'le-ddb-native64-v1'
+    select request_id, 'ERROR', 'invalid_request', 'bounds', null, null, null, null from {{f_requests}} where end_ms <= start_ms
+    union all
+    select request_id, 'MISS', 'unsupported_series', 'series', null, null, null, null from {{f_requests}} where end_ms > start_ms and row_encoding <> 'le-ddb-native64-v1'
     """,
 )
 def adjusted_query(f):

@@ -103,13 +103,13 @@ def export_ingest(f):
     "snapshot_write",
     """
     select symbol, ts_ms, open, high, low, close, volume, strftime(make_timestamp((ts_ms + 28800000) * 1000), '%Y%m') as yyyymm
-    from {f_bars_nullable} where ts_ms >= 1705276800000 and ts_ms < 1706745600000
+    from {f_bars_nullable}
     """,
 )
 def snapshot_write(f):
     path = scratch(f.spark, "snapshot")
     bar_files.write_snapshot(f.f_bars_nullable.drop("uid"), path)
-    return bar_files.scan_bars(f.spark, path, 1705276800000, 1706745600000).select(
+    return bar_files.scan_bars(f.spark, path).select(
         "symbol", "ts_ms", "open", "high", "low", "close", "volume", "yyyymm"
     )
 
@@ -244,21 +244,28 @@ def lost_timestamps(f):
     return snapshot.lost_timestamps(f.f_bars, f.f_bars_rebuilt).select("symbol", "ts_ms")
 
 
+ROWS = "symbol, ts_ms, open, high, low, close, volume, open_oi, close_oi"
+# Rebuilt bars: some lost, some a cent off, some stored twice.
+REBUILT = f"""
+select {ROWS.replace(", close,", ", case when close_oi % 13 = 0 then close + 0.01 else close end as close,")} from {{f_bars_nullable}}
+where not (uid % 4 = 1 and close_oi % 10 = 0)
+union all select {ROWS} from {{f_bars_nullable}} where close_oi % 19 = 0
+"""
+
+
 @query(
     "exact_rows_diff",
-    """
-    with o_left as (select event_type, user_id % 10 as bucket from events where event_id % 2 = 0),
-    o_right as (select event_type, user_id % 10 as bucket from events where event_id % 2 = 1),
-    o_a as (select *, count(*) as copies, 'left' as side from (select * from o_left except all select * from o_right) x group by event_type, bucket),
-    o_b as (select *, count(*) as copies, 'right' as side from (select * from o_right except all select * from o_left) x group by event_type, bucket)
-    select * from o_a union all select * from o_b
+    f"""
+    with o_left as (select {ROWS} from {{f_bars_nullable}}), o_right as ({REBUILT}),
+    o_a as (select *, 'left' as side from o_left except all select *, 'left' from o_right),
+    o_b as (select *, 'right' as side from o_right except all select *, 'right' from o_left)
+    select {ROWS}, side, count(*) as copies from (select * from o_a union all select * from o_b) x group by {ROWS}, side
     """,
 )
 def exact_rows_diff(f):
-    df = f.events.withColumn("bucket", F.col("user_id") % 10)
-    return snapshot.exact_rows_diff(
-        df.where("event_id % 2 = 0"), df.where("event_id % 2 = 1"), ["event_type", "bucket"]
-    )
+    cols = ROWS.split(", ")
+    left = f.f_bars_nullable.select(*cols)
+    return snapshot.exact_rows_diff(left, f.sql(REBUILT), cols)
 
 
 @query(
