@@ -6,6 +6,8 @@ that wall time back. No candidate means the wall time was skipped, two mean it
 occurred twice; both are reported rather than guessed.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,6 +125,43 @@ def check_deadline(
     )
 
 
+def check_problem(check: Callable[[str], Column], market: Column, observed_ms: Column, until_ms: Column) -> Column:
+    """First reason a factor check does not vouch for its set until ``until_ms``, NULL if it does.
+
+    ``check`` gives the columns policy, exchange, trading_day, next_day, check_minute,
+    source_revision and completed_ms of the check. At the end of a trading day it waits until the
+    market has closed; at the source it follows a fixed minute of the day.
+    """
+    day, next_day, minute = (check(n).cast("bigint") for n in ("trading_day", "next_day", "check_minute"))
+    end_of_day = check("policy") == fixed.POLICY_END_OF_DAY
+    abroad = market == "US"
+    codes = F.create_map(*[F.lit(x) for pair in fixed.EXCHANGES.items() for x in pair])
+
+    def instant(of_day: Column, at: Column) -> Column:
+        wall = of_day * fixed.DAY_MS + at * 60000
+        return F.when(abroad, wall_to_utc(wall)).otherwise(wall - fixed.CN_OFFSET_MS)
+
+    closed = day * fixed.DAY_MS + F.when(abroad, fixed.DAY_MS).otherwise(15 * 3600000)
+    usual_minute = F.when(abroad, 600).otherwise(60)
+    last_minute = F.when(abroad, 239).otherwise(554)
+    deadline = check_deadline(market, check("policy"), next_day, minute)
+    earliest = F.when(end_of_day, closed).otherwise(instant(day, F.lit(0)))
+    rules = {
+        "policy": end_of_day | (check("policy") == fixed.POLICY_SOURCE),
+        "exchange": F.try_element_at(codes, market) == check("exchange"),
+        "calendar": (day >= 0) & (next_day > day) & (next_day - day <= fixed.MAX_CHECK_GAP_DAYS)
+        & (next_day <= fixed.LAST_CIVIL_DAY),
+        "minute": F.when(end_of_day, minute == usual_minute).otherwise(minute.between(0, last_minute)),
+        "revision": check("source_revision") > 0,
+        "deadline": deadline == until_ms,
+        "completion": check("completed_ms").between(earliest, observed_ms)
+        & (end_of_day | (instant(day, minute) <= observed_ms)),
+        "validity": (observed_ms < until_ms)
+        & (until_ms - observed_ms <= fixed.MAX_CHECK_GAP_DAYS * fixed.DAY_MS),
+    }
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()])
+
+
 def check_status(observed_ms: Column, next_check_ms: Column, now_ms: Column) -> Column:
     return (
         F.when(observed_ms > now_ms, "future-dated")

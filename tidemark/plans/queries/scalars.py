@@ -179,26 +179,48 @@ def strict_date(f):
     return f.orders.select("o_orderkey", clock.strict_date(shown).alias("day"))
 
 
+# Factor checks of every kind, some of which break a rule.
+FACTOR_CHECKS = """
+select event_id, policy, market, check_minute, next_day, source_revision,
+       next_day - 1 - case when event_id % 29 = 0 then 20 else 0 end as trading_day,
+       case when event_id % 31 = 0 then 'XTKS' when market = 'US' then 'XNYS' when market = 'SZ' then 'XSHE' else 'XHKG' end as exchange,
+       due + case when event_id % 37 = 0 then 1 else 0 end as until_ms, due - (1 + event_id % 60) * 3600000 as observed_ms,
+       due - (1 + event_id % 60) * 3600000 - (event_id % 300) * 60000 as completed_ms
+from (select *, next_day * 86400000 + check_minute * 60000 + case when policy = 'market-eod-check-v1' then 57600000
+                    when market = 'US' then 18000000 else -28800000 end as due
+      from (select event_id, policy, market, next_day, case when event_id % 41 = 0 then 0 else 1 end as source_revision,
+              case when policy = 'market-eod-check-v1' and event_id % 5 <> 0 then case when market = 'US' then 600 else 60 end
+                   else event_id % 240 end as check_minute
+            from (select event_id, case event_id % 2 when 0 then 'market-eod-check-v1' else 'market-source-check-v1' end as policy,
+                    case event_id % 3 when 0 then 'US' when 1 then 'SZ' else 'HK' end as market,
+                    cast(floor(ms_of(ts) / 86400000) as bigint) as next_day from {events}) a) b) c
+"""
+
+
 @query(
     "next_check_deadline",
-    """
-    select event_id, case when policy = 0 then day * 86400000 + minute * 60000 + 57600000
-                          when market = 'US' then day * 86400000 + minute * 60000 + 18000000
-                          else day * 86400000 + minute * 60000 - 28800000 end as deadline_ms
-    from (select event_id, event_id % 2 as policy, event_id % 240 as minute,
-                 case event_id % 3 when 0 then 'US' when 1 then 'SZ' else 'HK' end as market,
-                 cast(floor(ms_of(ts) / 86400000) as bigint) as day from events) x
+    f"""
+    with o_checks as (select *, policy = 'market-eod-check-v1' as eod, market = 'US' as us,
+        case when market = 'US' then 18000000 else -28800000 end as shift from ({FACTOR_CHECKS}) x),
+    o_times as (select *, next_day * 86400000 + check_minute * 60000 + case when eod then 57600000 else shift end as deadline_ms,
+        trading_day * 86400000 + case when eod and us then 86400000 when eod then 54000000 else shift end as earliest,
+        trading_day * 86400000 + check_minute * 60000 + shift as turn from o_checks)
+    select event_id, deadline_ms, case when exchange = 'XTKS' then 'exchange' when next_day - trading_day > 16 then 'calendar'
+        when eod and check_minute <> (case when us then 600 else 60 end) then 'minute' when source_revision = 0 then 'revision'
+        when deadline_ms <> until_ms then 'deadline'
+        when completed_ms < earliest or completed_ms > observed_ms or (not eod and turn > observed_ms) then 'completion'
+        when observed_ms >= until_ms or until_ms - observed_ms > 1382400000 then 'validity' end as problem
+    from o_times
     """,
 )
 def next_check_deadline(f):
-    df = f.sql(
-        """select event_id, case event_id % 2 when 0 then 'market-eod-check-v1' else 'market-source-check-v1' end as policy,
-           event_id % 240 as check_minute, case event_id % 3 when 0 then 'US' when 1 then 'SZ' else 'HK' end as market,
-           cast(floor(ms_of(ts) / 86400000) as bigint) as next_day from {events}"""
-    )
-    names = ["market", "policy", "next_day", "check_minute"]
+    df = f.sql(FACTOR_CHECKS)
+    market = F.col("market")
+    names = ["policy", "next_day", "check_minute"]
     return df.select(
-        "event_id", clock.check_deadline(*[F.col(c) for c in names]).alias("deadline_ms")
+        "event_id",
+        clock.check_deadline(market, *[F.col(c) for c in names]).alias("deadline_ms"),
+        clock.check_problem(F.col, market, F.col("observed_ms"), F.col("until_ms")).alias("problem"),
     )
 
 
