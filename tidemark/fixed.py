@@ -93,4 +93,7 @@ NULL_PRICE_MARK = "ddb-double-null-v1"
 KIND_FACTORS = "ddb-adjustment-snapshot-v1"
 FACTOR_ALGORITHM = "upcloud-adjustment-v1"
 FACTOR_DATES = "exchange-civil-days-since-1970"
+PROOF_CONTRACT = "ddb-single-chunk-guard-v1"
+DATABASE_SCHEME = "dfs://"
+MAX_PARTITION_PATH = 512
 SUSPENSION_POLICY = "a-share-null-placeholder-v1"

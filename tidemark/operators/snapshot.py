@@ -216,26 +216,36 @@ def proof_match(proofs: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def proof_problem(limit: int = fixed.SNAPSHOT_ROWS, days: int = 7) -> Column:
+def proof_problem(
+    columns: list[str] | None = None, limit: int = fixed.SNAPSHOT_ROWS, days: int = 7
+) -> Column:
     """First reason a source proof does not prove a complete, finished export.
 
-    ``limit`` rows and ``days`` are what one export may hold.
+    ``limit`` rows and ``days`` are what one export may hold. A rule is applied when the
+    proof table has all its ``columns``.
     """
-    span = F.col("requested_end_ms") - F.col("requested_start_ms")
-    return (
-        F.when(F.col("guard_before") != F.col("guard_after"), "source_changed")
-        .when(F.col("source_version") <= 0, "source_version")
-        .when(
-            (F.col("requested_start_ms") < 0) | (span <= 0) | (span > days * fixed.DAY_MS),
-            "interval",
-        )
-        .when(
-            (F.col("max_rows") <= 0)
-            | (F.col("max_rows") > limit)
-            | (F.col("row_count") > F.col("max_rows")),
-            "incomplete",
-        )
-    )
+    c = F.col
+    span = c("requested_end_ms") - c("requested_start_ms")
+    inside = F.concat(F.lit("/"), F.substr(c("database_name"), F.lit(len(fixed.DATABASE_SCHEME) + 1)), F.lit("/"))
+    rules = [
+        ("contract", ["contract"], c("contract") == fixed.PROOF_CONTRACT),
+        ("source_changed", [], c("guard_before") == c("guard_after")),
+        ("source_version", [], c("source_version") > 0),
+        ("chunk_version", ["chunk_version", "tablet_version"],
+         (c("chunk_version") == c("tablet_version")) & (c("chunk_version") == c("source_version"))),
+        ("chunk_state", ["chunk_type", "chunk_flag", "chunk_state"],
+         (c("chunk_type") == 1) & (c("chunk_flag") == 0) & (c("chunk_state") == 0)),
+        ("partition", ["partition_path", "database_name"],
+         c("database_name").startswith(fixed.DATABASE_SCHEME) & F.startswith(c("partition_path"), inside)
+         & ~c("partition_path").contains("..") & (F.length("partition_path") <= fixed.MAX_PARTITION_PATH)),
+        ("interval", [], (c("requested_start_ms") >= 0) & (span > 0) & (span <= days * fixed.DAY_MS)),
+        ("incomplete", [], c("max_rows").between(1, limit) & (c("row_count") <= c("max_rows"))),
+        ("incomplete", ["query_row_limit", "max_partitions"],
+         (c("query_row_limit") == c("max_rows") + 1) & (c("max_partitions") == 1)),
+    ]
+    present = set(columns or [])
+    checks = [F.when(~F.coalesce(ok, F.lit(False)), name) for name, need, ok in rules if present.issuperset(need)]
+    return F.coalesce(*checks)
 
 
 def projection_diff(

@@ -330,17 +330,47 @@ def daily_snapshot(f):
     return entries.select("symbol", "cov_start", "row_count")
 
 
+# Proofs with the state of their source, some of them broken.
+PROOFS = """
+select p.*, case when uid % 18 = 1 then 'other' else 'ddb-single-chunk-guard-v1' end as contract, 'dfs://bars' as database_name,
+       source_version as chunk_version, case when uid % 22 = 3 then source_version + 1 else source_version end as tablet_version,
+       1 as chunk_type, 0 as chunk_flag, case when uid % 26 = 11 then 1 else 0 end as chunk_state,
+       case when uid % 34 = 13 then '/bars/../other/202401' when uid % 34 = 12 then '/other/202401' else '/bars/202401' end as partition_path,
+       cast(max_rows + 1 + case when uid % 38 = 15 then 1 else 0 end as int) as query_row_limit, 1 as max_partitions
+from {f_day_proofs} p
+"""
+# Bars of which some changed after their proof.
+CHANGED = "select * from {f_bars_nullable} where not (uid % 11 = 2 and close_oi % 40 = 7)"
+
+
 @query(
     "daily_problems",
-    """
+    f"""
+    with o_proofs as ({PROOFS}),
+    o_moved as (select distinct p.symbol, p.requested_start_ms from o_proofs p join {{f_bars_nullable}} b
+      on b.symbol = p.symbol and b.ts_ms >= p.requested_start_ms and b.ts_ms < p.requested_end_ms where b.uid % 11 = 3 and b.close_oi % 40 = 9)
     select symbol, cov_start, problem from (
-      select symbol, requested_start_ms as cov_start, case when guard_before <> guard_after then 'source_changed' when row_count > max_rows then 'incomplete'
-        when row_count <> (select count(*) from {f_bars_nullable} b where b.symbol = p.symbol and b.ts_ms >= p.requested_start_ms and b.ts_ms < p.requested_end_ms) then 'row_count' end as problem
-      from {f_day_proofs} p) x where problem is not null
+      select p.symbol, p.requested_start_ms as cov_start, case when contract = 'other' then 'contract' when guard_before <> guard_after then 'source_changed'
+        when chunk_version <> tablet_version then 'chunk_version' when chunk_state <> 0 then 'chunk_state' when partition_path <> '/bars/202401' then 'partition'
+        when row_count > max_rows or query_row_limit <> max_rows + 1 then 'incomplete'
+        when row_count <> (select count(*) from ({CHANGED}) b where b.symbol = p.symbol and b.ts_ms >= p.requested_start_ms and b.ts_ms < p.requested_end_ms) then 'row_count'
+        when m.symbol is not null then 'rows_sha256' end as problem
+      from o_proofs p left join o_moved m on m.symbol = p.symbol and m.requested_start_ms = p.requested_start_ms) x where problem is not null
     """,
 )
 def daily_problems(f):
-    _, problems = compact.daily_snapshot(f.f_day_proofs, f.f_bars_nullable)
+    """Proofs with declared digests against bars of which some are lost and some differ by a bit."""
+    proofs = f.sql(PROOFS)
+    entries = proofs.withColumnsRenamed({"requested_start_ms": "cov_start", "requested_end_ms": "cov_end"})
+    declared = digest.rows_digest(
+        snapshot.rows_by_entry(entries, f.f_bars_nullable), snapshot.ENTRY, fixed.ENCODING_NATIVE
+    ).drop("rows").withColumnsRenamed({"cov_start": "requested_start_ms", "cov_end": "requested_end_ms"})
+    key = snapshot.PROOF_KEY
+    proofs = proofs.join(declared, key, "left").withColumn(
+        "rows_sha256", F.coalesce("rows_sha256", F.sha2(F.lit(""), 256))
+    )
+    moved = F.expr("case when uid % 11 = 3 and close_oi % 40 = 9 then high + 0.0000000001D else high end")
+    _, problems = compact.daily_snapshot(proofs, f.sql(CHANGED).withColumn("high", moved))
     return problems.select("symbol", "cov_start", "problem")
 
 
@@ -374,6 +404,32 @@ def compact_month(f):
     )
 
 
+@query(
+    "compact_rows",
+    f"""
+    with o_days as (select *, strftime(make_timestamp((cov_start + 28800000) * 1000), '%Y%m') as month_key from ({DAYS}) d),
+    o_prev as (select *, lag(cov_end) over (partition by symbol, month_key order by cov_start) as prev_end from o_days),
+    o_lost as (select distinct symbol, strftime(make_timestamp((ts_ms + 28800000) * 1000), '%Y%m') as month_key from {{f_bars_nullable}} where uid % 11 = 2 and close_oi % 40 = 7),
+    o_months as (
+      select p.symbol, p.month_key, case when bool_or(cov_end - cov_start <> 86400000) then 'not_whole_days' when bool_or(prev_end <> cov_start) then 'gap'
+        when min(source_version) <> max(source_version) then 'source_version' when min(guard) <> max(guard) then 'guard' when max(l.symbol) is not null then 'day_rows' end as problem,
+        cast(sum(row_count) as bigint) as n
+      from o_prev p left join o_lost l on l.symbol = p.symbol and l.month_key = p.month_key group by p.symbol, p.month_key)
+    select symbol, month_key, problem, case when problem is null then n end as rows from o_months
+    """,
+)
+def compact_rows(f):
+    """Day entries built from all bars; the months are rewritten from bars that lost some."""
+    whole = snapshot.entry_facts(f.sql(DAYS), f.f_bars_nullable).select(
+        *snapshot.ENTRY, snapshot.content_hash(F.col("found_rows"), F.col("_sum")).alias("content_hash")
+    )
+    days = f.sql(DAYS).drop("content_hash").join(whole, snapshot.ENTRY, "left")
+    months, rows = compact.compact_rows(days, f.sql(CHANGED))
+    month = clock.month_of(F.col("ts_ms"), F.col("market")).alias("month_key")
+    counts = rows.groupBy("symbol", month).agg(F.count(F.lit(1)).alias("rows"))
+    return months.select("symbol", "month_key", "problem").join(counts, ["symbol", "month_key"], "left")
+
+
 @query(
     "observation_samples",
     """
