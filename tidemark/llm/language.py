@@ -25,8 +25,8 @@ UNKNOWN = "und"
 
 # Bounds of the training sample, whatever the size of the corpus.
 TEXTS_PER_LANGUAGE = 500
-TEXTS = 20_000
-LONGEST = 100_000  # characters; longer texts are scored, but not learned from
+TEXTS = 4_000
+LONGEST = 20_000  # characters; longer texts are scored, but not learned from
 SEGMENT_BYTES = 256
 SEGMENTS_PER_TEXT = 6
 ACCEPTED_ACCURACY = 0.99
