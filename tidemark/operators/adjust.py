@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import fixed
 from tidemark.functions import numbers
 from tidemark.operators.quality import PRICES
+from tidemark.session import sized
 
 
 def factor_asof(days: DataFrame, events: DataFrame, values: list[str]) -> DataFrame:
@@ -136,21 +137,16 @@ def adjust(
     """
     forward = F.col(mode) == "forward"
     if model == fixed.MODEL_CUMULATIVE:
-        looked_up = factor_asof(
-            rows.select("symbol", F.col("local_day").alias("day")).unionByName(
-                rows.select("symbol", F.col(last_day).alias("day"))
-            ),
-            factors,
-            ["cum"],
-        )
-        on_day = looked_up.select("symbol", F.col("day").alias("local_day"), "cum")
-        on_end = looked_up.select(
-            "symbol", F.col("day").alias(last_day), F.col("cum").isNotNull().alias("_any")
-        )
+        days = rows.select("symbol", F.col("local_day").alias("day"))
+        on_day = factor_asof(days, factors, ["cum"]).withColumnRenamed("day", "local_day")
+        # Whether any factor is in force by the last day is a fact of the symbol's first one.
+        first = factors.where("cum is not null").groupBy("symbol").agg(F.min("day").alias("_first"))
         df = (
             rows.join(on_day, ["symbol", "local_day"], "left")
-            .join(on_end, ["symbol", last_day], "left")
+            .join(sized(first), "symbol", "left")
+            .withColumn("_any", F.coalesce(F.col("_first") <= F.col(last_day), F.lit(False)))
             .withColumn("factor", F.coalesce("cum", F.lit(1.0)))
+            .drop("_first")
         )
         df = forward_anchor(df, keys).withColumn(
             "_scale", F.when(forward, F.col("factor") / F.col("anchor")).otherwise(F.col("factor"))

@@ -7,6 +7,7 @@ from tidemark import fixed
 from tidemark.functions import clock
 from tidemark.operators.steps import bind
 from tidemark.schemas import SERIES
+from tidemark.session import sized
 
 # Requests span at most 366 days and archive entries a month, so a pair of them
 # shares few buckets and no key of the overlap join is larger than a series-month.
@@ -249,7 +250,14 @@ def stitch_sources(*parts: DataFrame) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    versions = whole.groupBy(*SERIES).agg(
-        (F.min("data_version") == F.max("data_version")).alias("one_version")
+    mixed = (
+        whole.groupBy(*SERIES)
+        .agg((F.min("data_version") != F.max("data_version")).alias("_mixed"))
+        .where("_mixed")
+    )
+    # Only series that disagree are joined: few as a rule, so bars stay where they are.
+    return (
+        whole.join(sized(mixed), SERIES, "left")
+        .withColumn("one_version", F.col("_mixed").isNull())
+        .drop("_mixed")
     )
-    return whole.join(versions, SERIES)

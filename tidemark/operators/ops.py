@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.operators import ordered
+from tidemark.session import sized
 
 
 def transfer_usage(log: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -166,7 +167,8 @@ def stale_monitor(
     last = df.groupBy("instance").agg(
         F.max("observed_s").alias("last_s"), *since("faulty"), *since("send_failed")
     )
-    joined = df.join(last, "instance")
+    # One row per instance: counted, so that reports of a busy instance need not meet in one task.
+    joined = df.join(sized(last), "instance")
     starts = joined.groupBy("instance").agg(
         *[
             F.min(
