@@ -108,13 +108,18 @@ def spaced(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def sample(docs: DataFrame, usable: Column) -> list[tuple[str, str]]:
     """Lower-cased text and language of at most ``TEXTS`` usable rows, the same ones on every run."""
-    rows = docs.where(
-        usable & F.col("lang").isNotNull() & has_letter(F.col("text")) & (F.char_length("text") <= LONGEST)
-    ).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    labelled = docs.where(usable & F.col("lang").isNotNull()).select(
+        F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")
+    )
+    # A place of each row in [0, 1): only about twice the wanted rows of a language are ranked.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    sizes = labelled.groupBy(F.col("lang").alias("_of")).agg(F.count("*").alias("n"))
+    rows = labelled.where(has_letter(F.col("text")) & (F.char_length("text") <= LONGEST))
     ids = (
-        rows.select("doc_id", "lang")
-        .withColumn("nth", F.row_number().over(order))
+        rows.select("doc_id", "lang", place.alias("place"))
+        .join(sizes, F.col("lang") == F.col("_of"))
+        .where(F.col("place") * F.col("n") <= 2 * TEXTS_PER_LANGUAGE)
+        .withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id")))
         .where(F.col("nth") <= TEXTS_PER_LANGUAGE)
         .orderBy("nth", "lang").limit(TEXTS)
         .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "nth")
