@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.texts import slices
-from tidemark.session import materialize
+from tidemark.session import materialize, sized
 
 RARE = 64
 IDS = ["doc", "tie"]
@@ -122,18 +122,17 @@ def without_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     )
     line = ["h", "g"]
     holders = materialize(each.groupBy(*line, *IDS).agg(F.array_sort(F.collect_set("at")).alias("own")), "holders")
-    known = materialize(
+    counted = (
         holders.groupBy(*line)
         .agg(F.count("*").alias("n"), F.min(F.struct(*IDS)).alias("lead"))
-        .where(F.col("n") > 1),
-        "known",
+        .where(F.col("n") > rare)
     )
-    common = holders.join(known.where(F.col("n") > rare), line).where(
-        F.struct(*IDS) != F.col("lead")
-    ).select(*IDS, F.col("own").alias("gone"))
+    # Common lines are few; joined by counted size, their holders need not meet in one task.
+    known = sized(materialize(counted, "common").select(*line, "lead"))
+    common = holders.join(known, line).where(F.struct(*IDS) != F.col("lead")).select(*IDS, F.col("own").alias("gone"))
     order = W.partitionBy(*line).orderBy(*IDS)
     linked = (
-        holders.join(known.where(F.col("n") <= rare).select(*line), line, "left_semi")
+        holders.join(known, line, "left_anti")
         .withColumn("before", F.lag(F.struct(*IDS)).over(order))
         .withColumn("theirs", F.lag("own").over(order))
         .where("before is not null")
