@@ -174,8 +174,8 @@ def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """Links of distinct fingerprints (column ``fp``): ``a``, ``b``, connecting exactly what is near.
 
-    Every returned row joins two fingerprints of one component. Where fewer links are
-    found than there are fingerprints, they are all returned, else a spanning forest of them.
+    Every returned row joins two fingerprints of one component. A batch that finds few links
+    returns them all, one that finds many a spanning forest of them.
     ``blocks`` is 3, or 2 from ``WIDE_FROM`` fingerprints: longer codes have more
     anchors to spread larger inputs over. Both give the same components.
     """
