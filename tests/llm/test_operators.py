@@ -175,6 +175,14 @@ def test_placement(docs):
         assert (r.slot, r.shard) == (slot, sharding.SHARDS[table[slot]])
 
 
+def test_shards_are_written_apart(spark, docs, tmp_path):
+    names = ["a", "b", "c"]
+    sharding.write_shards(docs, str(tmp_path / "out"), names, 101)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    want = {(r.doc_id, r.shard) for r in sharding.placed(docs, names, 101).collect()}
+    assert {(r.doc_id, r.shard) for r in back.collect()} == want and back.count() == docs.count()
+
+
 @pytest.mark.parametrize("rare", [64, 2])
 def test_lines(docs, pairs, rare):
     got = lines.without_lines(docs, rare).select(
@@ -263,6 +271,16 @@ def test_encoding_and_decoding(docs, pairs):
         assert rows[d].decoded_sha256 == brute.sha(back[d])
 
 
+def test_piece_table_decodes_by_a_join(spark, docs):
+    encoded = bpe.encode(docs)
+    each = encoded.select("doc_id", F.posexplode("ids").alias("at", "id"))
+    joined = each.join(F.broadcast(bpe.piece_table(spark)), "id").groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p")
+    )
+    got = {r.doc_id: " ".join(p.piece for p in r.p) for r in joined.collect()}
+    assert got == {r.doc_id: r.text for r in bpe.decode(encoded).where("text <> ''").collect()}
+
+
 def test_encoding_of_odd_characters():
     path = bpe.default_path()
     tokenizer = bpe.tokenizer(path)
