@@ -6,7 +6,7 @@ from tidemark import fixed
 from tidemark.functions import clock
 from tidemark.operators import adjust
 from tidemark.plans import adjusted
-from tidemark.plans.queries.coverage import SEEN, STATUS, WALK
+from tidemark.plans.queries.coverage import SEEN, WALK
 from tidemark.plans.registry import query
 
 DAY_OF = "cast(floor(({0} + 28800000) / 86400000) as integer)"
