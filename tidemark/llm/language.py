@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.texts import slices, string_data
+from tidemark.session import sized
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
@@ -117,7 +118,7 @@ def sample(docs: DataFrame, usable: Column) -> list[tuple[str, str]]:
     rows = labelled.where(has_letter(F.col("text")) & (F.char_length("text") <= LONGEST))
     ids = (
         rows.select("doc_id", "lang", place.alias("place"))
-        .join(sizes, F.col("lang") == F.col("_of"))
+        .join(sized(sizes), F.col("lang") == F.col("_of"))
         .where(F.col("place") * F.col("n") <= 2 * TEXTS_PER_LANGUAGE)
         .withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id")))
         .where(F.col("nth") <= TEXTS_PER_LANGUAGE)
