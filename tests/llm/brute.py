@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -147,3 +147,15 @@ def lines(rows: list[tuple], rare: int, patience) -> list[tuple]:
         rest = [x for n, x in enumerate(each) if n not in gone[d or 0]]
         out.append((d, len(each), len(gone[d or 0]), sha("\n".join(rest))))
     return out
+
+
+def aligned_lines(rows: list[tuple], rare: int, patience) -> dict[int, list[str]]:
+    """Lines left of each document after every overlapping pair is aligned; ids must be distinct."""
+    split = {d: t.split("\n") for d, t in sorted(rows)}
+    count = Counter(line for each in split.values() for line in set(each))
+    gone = defaultdict(set)
+    for b, later in split.items():
+        for a, earlier in split.items():
+            if a < b and any(count[x] <= rare for x in {*earlier} & {*later}):
+                gone[b].update(j for _, j in patience(earlier, later))
+    return {d: [x for j, x in enumerate(each) if j not in gone[d]] for d, each in split.items()}

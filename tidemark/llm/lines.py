@@ -1,11 +1,11 @@
 """Line deduplication by pairwise alignment of overlapping documents.
 
 Documents that hold one rare line (in at most ``RARE`` documents) overlap; ordered by id, each
-is paired with the holder before it, so a line of n holders makes n - 1 pairs. A pair
-carries only the lines that link it. Patience diff aligns these: lines unique on both sides
+is paired with every holder before it, at most ``RARE - 1`` for each of its lines. A pair
+carries all lines that both documents hold. Patience diff aligns these: lines unique on both sides
 anchor the longest run of anchors in equal order, and the gaps between anchors are aligned in
-the same way. Aligned lines are deleted from the later document; a line that stands
-in another order than in the earlier one stays.
+the same way. Lines aligned in any pair are deleted from the later document; a line that stands
+in another order than in each earlier one stays.
 
 Lines in more than ``RARE`` documents are too common to show an overlap; for them the
 exact rule holds that only the first document in order keeps them.
@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.texts import slices
@@ -99,6 +98,34 @@ def _aligned(pairs: DataFrame) -> DataFrame:
     return pairs.select(*IDS, "links").mapInArrow(run, schema)
 
 
+def _rare_links(holders: DataFrame, line: list[str]) -> DataFrame:
+    """Places of every rare line in each of its documents and in each earlier one, ``before``."""
+    listed = (
+        holders.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct(*IDS, "own"))).alias("every"))
+        .where(F.size("every") > 1)
+    )
+    return (
+        listed.select("every", F.posexplode("every").alias("nth", "later"))
+        .where("nth > 0")
+        .select("later", F.explode(F.slice("every", F.lit(1), F.col("nth"))).alias("earlier"))
+        .select(
+            *[F.col("later")[i].alias(i) for i in IDS],
+            F.struct(*[F.col("earlier")[i].alias(i) for i in IDS]).alias("before"),
+            F.col("later")["own"].alias("own"), F.col("earlier")["own"].alias("theirs"),
+        )
+    )
+
+
+def _common_links(pairs: DataFrame, later: DataFrame, earlier: DataFrame, line: list[str]) -> DataFrame:
+    """Places of the common lines that both documents of a pair hold."""
+    theirs = earlier.select(F.struct(*IDS).alias("before"), *line, F.col("own").alias("theirs"))
+    return (
+        pairs.join(later.select(*IDS, *line, "own"), IDS)
+        .join(theirs, ["before", *line])
+        .select(*IDS, "before", "own", "theirs")
+    )
+
+
 def without_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     """``docs`` without the lines that an earlier document has too.
 
@@ -129,15 +156,12 @@ def without_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     )
     # Common lines are few; joined by counted size, their holders need not meet in one task.
     known = sized(materialize(counted, "common").select(*line, "lead"))
-    common = holders.join(known, line).where(F.struct(*IDS) != F.col("lead")).select(*IDS, F.col("own").alias("gone"))
-    order = W.partitionBy(*line).orderBy(*IDS)
-    linked = (
-        holders.join(known, line, "left_anti")
-        .withColumn("before", F.lag(F.struct(*IDS)).over(order))
-        .withColumn("theirs", F.lag("own").over(order))
-        .where("before is not null")
-    )
-    pairs = linked.groupBy(*IDS, "before").agg(F.collect_list(F.struct("own", "theirs")).alias("links"))
+    held = materialize(holders.join(known, line), "held")
+    common = held.where(F.struct(*IDS) != F.col("lead")).select(*IDS, F.col("own").alias("gone"))
+    by_rare = materialize(_rare_links(holders.join(known, line, "left_anti"), line), "links")
+    found = by_rare.select(*IDS, "before").distinct()
+    links = by_rare.unionByName(_common_links(found, held, held, line))
+    pairs = links.groupBy(*IDS, "before").agg(F.collect_list(F.struct("own", "theirs")).alias("links"))
     gone = (
         _aligned(pairs).unionByName(common)
         .groupBy(*IDS).agg(F.flatten(F.collect_list("gone")).alias("gone"))
