@@ -152,10 +152,23 @@ def lines(rows: list[tuple], rare: int, patience) -> list[tuple]:
 def aligned_lines(rows: list[tuple], rare: int, patience) -> dict[int, list[str]]:
     """Lines left of each document after every overlapping pair is aligned; ids must be distinct."""
     split = {d: t.split("\n") for d, t in sorted(rows)}
-    count = Counter(line for each in split.values() for line in set(each))
-    gone = defaultdict(set)
+    first = {}
+    for d, each in split.items():
+        first.setdefault(tuple(each), d)
+    lead, count = {}, Counter()
+    for d in first.values():
+        count.update(set(split[d]))
+        for line in split[d]:
+            lead.setdefault(line, d)
+    left = {}
     for b, later in split.items():
-        for a, earlier in split.items():
-            if a < b and any(count[x] <= rare for x in {*earlier} & {*later}):
-                gone[b].update(j for _, j in patience(earlier, later))
-    return {d: [x for j, x in enumerate(each) if j not in gone[d]] for d, each in split.items()}
+        gone = set()
+        led = Counter(lead[x] for x in set(later) if count[x] > rare)
+        for a in first.values():
+            both = {*split[a]} & {*later}
+            if a >= b or not (any(count[x] <= rare for x in both) or 2 * led[a] > len(set(later)) or split[a] == later):
+                continue
+            here, there = ([j for j, x in enumerate(split[d]) if x in both] for d in (b, a))
+            gone.update(here[j] for _, j in patience([split[a][i] for i in there], [later[j] for j in here]))
+        left[b] = [x for j, x in enumerate(later) if j not in gone]
+    return left

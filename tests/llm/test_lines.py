@@ -29,3 +29,34 @@ def test_every_overlapping_pair_is_aligned(spark, seed):
     names = [f"line {i}" for i in range(60)]
     rows = [(d, "\n".join(rng.sample(names, rng.randint(2, 12)))) for d in range(40)]
     assert left(spark, rows) == brute.aligned_lines(rows, lines.RARE, lines.patience)
+
+
+@pytest.mark.parametrize("holders", [64, 65, 80])
+def test_common_lines_follow_the_same_rule(spark, holders):
+    """A line that only stands in many documents stays; in an aligned pair its repetitions stay."""
+    rows = [(d, f"own {d} a\nshare this\nown {d} b") for d in range(2, holders)]
+    rows += [(1, "share this\nx 1\nx 2"), (holders, "x 1\nx 2\nshare this\nshare this\nshare this")]
+    got = left(spark, rows, 3)
+    assert got[2] == ["own 2 a", "share this", "own 2 b"]
+    assert got[holders] == ["share this"] * 3
+    rows[-1] = (holders, "share this\nx 1\nx 2\nshare this\nshare this")
+    assert left(spark, rows)[holders] == ["share this"] * 2
+
+
+def test_many_copies_and_near_copies(spark):
+    body = [f"line {i}" for i in range(8)]
+    rows = [(d, "\n".join([*body[:4], f"own {d}", *body[4:]])) for d in range(100)]
+    rows += [(d, "\n".join(["head", *body[::-1]])) for d in range(100, 200)]
+    got = left(spark, rows)
+    assert got == brute.aligned_lines(rows, lines.RARE, lines.patience)
+    assert got[99] == ["own 99"] and got[199] == []
+
+
+@pytest.mark.parametrize("rare", [1, 3, 8])
+def test_common_lines_in_aligned_pairs(spark, rare):
+    rng = random.Random(rare)
+    names = [f"line {i}" for i in range(60)]
+    rows = [(d, "\n".join(rng.choices(names, k=rng.randint(2, 12)))) for d in range(40)]
+    rows += [(d + 50, t) for d, t in rows[:5]]
+    rows += [(d + 70, t + "\nlast") for d, t in rows[:9]]
+    assert left(spark, rows, rare) == brute.aligned_lines(rows, rare, lines.patience)

@@ -7,10 +7,13 @@ anchor the longest run of anchors in equal order, and the gaps between anchors a
 the same way. Lines aligned in any pair are deleted from the later document; a line that stands
 in another order than in each earlier one stays.
 
-Lines in more than ``RARE`` documents are too common to show an overlap; for them the
-exact rule holds that only the first document in order keeps them.
+Lines in more than ``RARE`` documents are too common to show an overlap, and go only where they
+are aligned. Two kinds of pairs are found without a rare line: copies of one text, which lose
+all lines, and documents of which over half of the lines are common ones with one first holder; these
+are paired with it.
 """
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -23,6 +26,9 @@ from tidemark.session import materialize, sized
 
 RARE = 64
 IDS = ["doc", "tie"]
+COPY_SHARES = 32
+WHOLE = -1  # in place of line numbers: all lines with a word
+WORD = re.compile(r"[^ \t-\r]")
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -98,6 +104,22 @@ def _aligned(pairs: DataFrame) -> DataFrame:
     return pairs.select(*IDS, "links").mapInArrow(run, schema)
 
 
+def _copies(keyed: DataFrame) -> DataFrame:
+    """Ids of the documents whose text an earlier document has in full."""
+    text = F.col("text")
+    hashed = keyed.where(text.isNotNull()).select(
+        *IDS, F.xxhash64(text, F.lit(1)).alias("more"), F.char_length(text).alias("n_points")
+    )
+    same = ["tie", "more", "n_points"]
+    # A group may hold a third of all texts: its rows are dealt over shares.
+    groups = (
+        hashed.groupBy(*same).agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last")
+        .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(COPY_SHARES - 1))))
+    )
+    shared = hashed.withColumn("share", F.pmod(F.xxhash64("doc"), F.lit(COPY_SHARES)).cast("int"))
+    return shared.join(groups, [*same, "share"]).where(F.col("doc") > F.col("lead")).select(*IDS).distinct()
+
+
 def _rare_links(holders: DataFrame, line: list[str]) -> DataFrame:
     """Places of every rare line in each of its documents and in each earlier one, ``before``."""
     listed = (
@@ -144,10 +166,12 @@ def without_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     )
     each = (
         keyed.select(*IDS, F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .where(F.col("line").rlike(r"[^ \t-\r]"))
+        .where(F.col("line").rlike(WORD.pattern))
         .select(*IDS, "at", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
     )
     line = ["h", "g"]
+    copies = materialize(_copies(keyed), "copies")
+    each = each.join(sized(copies), IDS, "left_anti")
     holders = materialize(each.groupBy(*line, *IDS).agg(F.array_sort(F.collect_set("at")).alias("own")), "holders")
     counted = (
         holders.groupBy(*line)
@@ -157,13 +181,27 @@ def without_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     # Common lines are few; joined by counted size, their holders need not meet in one task.
     known = sized(materialize(counted, "common").select(*line, "lead"))
     held = materialize(holders.join(known, line), "held")
-    common = held.where(F.struct(*IDS) != F.col("lead")).select(*IDS, F.col("own").alias("gone"))
     by_rare = materialize(_rare_links(holders.join(known, line, "left_anti"), line), "links")
     found = by_rare.select(*IDS, "before").distinct()
-    links = by_rare.unionByName(_common_links(found, held, held, line))
+    leading = (
+        held.where(F.struct(*IDS) != F.col("lead"))
+        .groupBy(*IDS, F.col("lead").alias("before")).agg(F.count("*").alias("n"))
+        .join(holders.groupBy(*IDS).agg(F.count("*").alias("total")), IDS)
+        .where(2 * F.col("n") > F.col("total"))
+        .select(*IDS, "before")
+        .join(found, [*IDS, "before"], "left_anti")
+    )
+    # A first holder may lead very many documents; its own lines are few and need no shuffle.
+    leads = held.join(sized(held.select(F.col("lead.*")).distinct()), IDS, "left_semi")
+    leads = sized(materialize(leads, "leads").select(*IDS, *line, "own"))
+    links = (
+        by_rare.unionByName(_common_links(found, held, held, line))
+        .unionByName(_common_links(leading, held, leads, line))
+    )
     pairs = links.groupBy(*IDS, "before").agg(F.collect_list(F.struct("own", "theirs")).alias("links"))
+    whole = copies.select(*IDS, F.array(F.lit(WHOLE)).alias("gone"))
     gone = (
-        _aligned(pairs).unionByName(common)
+        _aligned(pairs).unionByName(whole)
         .groupBy(*IDS).agg(F.flatten(F.collect_list("gone")).alias("gone"))
     )
     joined = keyed.join(gone, IDS, "left").select("rest", "text", "gone")
@@ -176,6 +214,8 @@ def without_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
                 for text, cut in zip(part.column("text").to_pylist(), part.column("gone").to_pylist()):
                     lines = [] if text is None else text.split("\n")
                     out = set(cut or ())
+                    if WHOLE in out:
+                        out = {i for i, x in enumerate(lines) if WORD.search(x)}
                     count.append(len(lines))
                     removed.append(len(out))
                     kept.append("\n".join(x for i, x in enumerate(lines) if i not in out) if out else text)
