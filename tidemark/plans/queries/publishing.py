@@ -292,11 +292,24 @@ def alert_throttle(f):
     )
 
 
-def _stream(f, df, label):
-    """A file stream over rows written to shared scratch."""
-    path = scratch(f.spark, label)
-    df.write.parquet(path)
-    return f.spark.readStream.schema(df.schema).parquet(path)
+TRIGGER_ROWS = 1 << 18  # of one file, and so of one micro-batch
+
+
+def _parts(df):
+    return -(-df.count() // TRIGGER_ROWS) or 1
+
+
+def _stream(f, df, label, order):
+    """A file stream over rows written to shared scratch, one range of ``order`` after the other."""
+    path, ranges = scratch(f.spark, label), scratch(f.spark, f"{label}-ranges")
+    n = _parts(df)
+    part = F.spark_partition_id().alias("_part")
+    df.repartitionByRange(n, order).select("*", part).write.partitionBy("_part").parquet(ranges)
+    found = f.spark.read.schema(f"{df.schema.toDDL()}, _part INT").parquet(ranges)
+    for i in sorted(r["_part"] for r in found.select("_part").distinct().collect()):
+        # The source takes files by their time, so the ranges are written in turn.
+        found.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return f.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _drain(f, stream, label):
@@ -341,11 +354,7 @@ def generation_guard(f):
         F.concat(F.lit("history-"), F.col("uid").cast("string")).alias("namespace"),
         F.col("obs").cast("bigint").alias("obs"), F.col("seq").cast("decimal(20,0)").alias("seq"), "manifest",
     )
-
-    def run():
-        return _drain(f, guard.generation_guard(_stream(f, seen, "generations")), "guarded")
-
-    return _with_rocksdb(f, run).select("namespace", "obs", "verdict")
+    return guard.generation_guard_batch(seen).select("namespace", "obs", "verdict")
 
 
 @query("alert_throttle_stream", THROTTLED)
@@ -353,7 +362,7 @@ def alert_throttle_stream(f):
     reports = f.sql(REPORTS)
 
     def run():
-        return _drain(f, alerts.alert_throttle(_stream(f, reports, "reports")), "alerts")
+        return _drain(f, alerts.alert_throttle(_stream(f, reports, "reports", "seq")), "alerts")
 
     return _with_rocksdb(f, run).select(
         "instance", "seq", "delivery", "notification_failed", "event"
@@ -375,7 +384,7 @@ def intraday_tail_stream(f):
     )
     twice = arrivals.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
     path, out = scratch(f.spark, "arrivals"), scratch(f.spark, "tail")
-    twice.repartition(3, F.col("ts_ms") % 7).write.parquet(path)
+    twice.repartition(max(3, _parts(twice)), "ts_ms").write.parquet(path)
     stream = f.spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 1).parquet(path)
     for run in tail.run_intraday_tail(stream, out, f"{out}/checkpoint"):
         run.awaitTermination()

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.operators import ordered
+
 OUTPUT = "namespace STRING, obs BIGINT, seq DECIMAL(20,0), manifest STRING, verdict STRING"
 NAMES = ["namespace", "obs", "seq", "manifest", "verdict"]
 
@@ -64,3 +66,24 @@ def generation_guard(stream: DataFrame) -> DataFrame:
         .groupBy("namespace")
         .transformWithStateInPandas(Guard(), OUTPUT, "append", "none")
     )
+
+
+def generation_guard_batch(seen: DataFrame, width: int = ordered.RECORDS) -> DataFrame:
+    """The same verdicts for a table of observations, one for each ``obs`` of a namespace.
+
+    The highest earlier sequence and the content first seen with it are a running maximum in
+    slices of ``width`` observations, so no task holds a whole namespace.
+    """
+    rows = seen.select(
+        F.col("namespace").cast("string"), "obs", F.col("seq").cast("decimal(20,0)"), "manifest"
+    )
+    # Of equal sequences the first observation is the largest.
+    leader = F.struct("seq", (-F.col("obs")).alias("first"), "manifest")
+    known = ordered.with_running_max(rows, ["namespace"], ["obs"], leader, width, "leader")
+    top = F.coalesce(F.col("leader")["seq"], F.lit(0).cast("decimal(20,0)"))
+    content = F.col("leader")["manifest"]
+    verdict = (
+        F.when(F.col("seq") > top, "newer").when(F.col("seq") < top, "regressed")
+        .when(F.col("manifest").eqNullSafe(content), "unchanged").otherwise("changed_at_same_sequence")
+    )
+    return known.select("namespace", "obs", "seq", "manifest", verdict.alias("verdict"))
