@@ -111,23 +111,27 @@ def sample(docs: DataFrame, usable: Column) -> list[tuple[str, str]]:
     """Lower-cased text and language of at most ``TEXTS`` usable rows, the same ones on every run."""
     labelled = docs.where(usable & F.col("lang").isNotNull()).select(
         F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")
-    )
-    # A place of each row in [0, 1): only about twice the wanted rows of a language are ranked.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sizes = labelled.groupBy(F.col("lang").alias("_of")).agg(F.count("*").alias("n"))
+    ).withColumn("hash", F.xxhash64("text"))
+    # A place of each content of an id in [0, 1): only about twice the wanted rows of a language are ranked.
+    place = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << 30)) / float(1 << 30)
+    sizes = labelled.groupBy(F.col("lang").alias("_of")).agg(F.approx_count_distinct(F.xxhash64("doc_id", "hash")).alias("n"))
     rows = labelled.where(has_letter(F.col("text")) & (F.char_length("text") <= LONGEST))
     ids = (
-        rows.select("doc_id", "lang", place.alias("place"))
+        rows.select("doc_id", "lang", "hash", place.alias("place"))
         .join(sized(sizes), F.col("lang") == F.col("_of"))
         .where(F.col("place") * F.col("n") <= 2 * TEXTS_PER_LANGUAGE)
-        .withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id")))
+        .groupBy("lang", "doc_id", "hash").agg(F.min("place").alias("place"))
+        .withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", "hash")))
         .where(F.col("nth") <= TEXTS_PER_LANGUAGE)
         .orderBy("nth", "lang").limit(TEXTS)
-        .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "nth")
+        .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("hash").alias("_hash"), "nth")
+    )
+    same = (
+        rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("hash") == F.col("_hash"))
     )
-    same = rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))
-    chosen = rows.join(F.broadcast(ids), same).select(F.lower("text").alias("text"), "lang", "nth", "doc_id")
-    found = chosen.toPandas().sort_values(["nth", "lang", "doc_id", "text"], na_position="last")
+    # Repeated rows of a chosen content come out as one.
+    chosen = rows.join(F.broadcast(ids), same).groupBy("nth", "lang").agg(F.first("text").alias("text"))
+    found = chosen.select(F.lower("text").alias("text"), "lang", "nth").toPandas().sort_values(["nth", "lang"])
     return list(zip(found["text"], found["lang"]))
 
 
