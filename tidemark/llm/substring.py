@@ -213,11 +213,12 @@ def without_passages(docs: DataFrame, width: int = WIDTH, respace: bool = True)
     Other columns are carried; those of the names above are replaced.
     """
     # Plain ids compress better than hashes; a tie-breaker joins them only where ids repeat.
-    tied = docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    tied = docs.groupBy(number.alias("doc")).count().where("count > 1").limit(1).count() > 0
     ids = ID_NAMES if tied else ID_NAMES[:1]
     tie = [F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie")] if tied else []
     keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), *tie,
+        number.alias("doc"), *tie,
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"),
         F.col("text").cast("string").alias("text"),
     )
