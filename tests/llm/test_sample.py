@@ -20,3 +20,12 @@ def test_hot_ids_neither_repeat_nor_crowd_out(spark, monkeypatch, hot):
     assert len(got) == 60 == len(set(got))
     kinds = Counter(text.split()[0] for text, _ in got)
     assert kinds["plain"] > kinds["hot"] > 0
+
+
+def test_long_texts_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(language, "TEXTS_PER_LANGUAGE", 20)
+    long = [(i, f"{i} " + "lange wörter " * 2000, "de") for i in range(60)]
+    rows = long + [(i, f"{i} short words", "en") for i in range(100, 160)] + [(i, "12", "en") for i in range(200, 3000)]
+    got = language.sample(spark.createDataFrame(rows, SCHEMA), F.lit(True))
+    assert Counter(lang for _, lang in got) == {"de": 20, "en": 20}
+    assert {len(text) for text, lang in got if lang == "de"} == {language.LONGEST}

@@ -27,7 +27,7 @@ UNKNOWN = "und"
 # Bounds of the training sample, whatever the size of the corpus.
 TEXTS_PER_LANGUAGE = 500
 TEXTS = 4_000
-LONGEST = 20_000  # characters; longer texts are scored, but not learned from
+LONGEST = 20_000  # characters; longer texts are learned from a stretch of this length
 SEGMENT_BYTES = 256
 SEGMENTS_PER_TEXT = 6
 ACCEPTED_ACCURACY = 0.99
@@ -114,8 +114,8 @@ def sample(docs: DataFrame, usable: Column) -> list[tuple[str, str]]:
     ).withColumn("hash", F.xxhash64("text"))
     # A place of each content of an id in [0, 1): only about twice the wanted rows of a language are ranked.
     place = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << 30)) / float(1 << 30)
-    sizes = labelled.groupBy(F.col("lang").alias("_of")).agg(F.approx_count_distinct(F.xxhash64("doc_id", "hash")).alias("n"))
-    rows = labelled.where(has_letter(F.col("text")) & (F.char_length("text") <= LONGEST))
+    rows = labelled.where(has_letter(F.col("text")))
+    sizes = rows.groupBy(F.col("lang").alias("_of")).agg(F.approx_count_distinct(F.xxhash64("doc_id", "hash")).alias("n"))
     ids = (
         rows.select("doc_id", "lang", "hash", place.alias("place"))
         .join(sized(sizes), F.col("lang") == F.col("_of"))
@@ -130,7 +130,9 @@ def sample(docs: DataFrame, usable: Column) -> list[tuple[str, str]]:
         rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("hash") == F.col("_hash"))
     )
     # Repeated rows of a chosen content come out as one.
-    chosen = rows.join(F.broadcast(ids), same).groupBy("nth", "lang").agg(F.first("text").alias("text"))
+    start = F.pmod(F.col("hash"), F.greatest(F.char_length("text") - LONGEST, F.lit(0)) + 1).cast("int") + 1
+    stretch = F.substring(F.col("text"), start, F.lit(LONGEST))
+    chosen = rows.join(F.broadcast(ids), same).groupBy("nth", "lang").agg(F.first(stretch).alias("text"))
     found = chosen.select(F.lower("text").alias("text"), "lang", "nth").toPandas().sort_values(["nth", "lang"])
     return list(zip(found["text"], found["lang"]))
 
