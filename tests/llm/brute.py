@@ -1,6 +1,7 @@
 """Plain single-process versions of the operators, to compare with."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -119,36 +120,6 @@ def check_packing(rows, capacity: int) -> int:
     return len(sequences)
 
 
-def lines(rows: list[tuple], rare: int, patience) -> list[tuple]:
-    """(doc_id, lines, removed, digest of the rest); ids must be distinct."""
-    docs = sorted((d or 0, t) for d, t in rows)
-    holders = defaultdict(dict)
-    for d, t in docs:
-        for n, line in enumerate((t or "").split("\n") if t is not None else []):
-            if WORD.search(line):
-                holders[line].setdefault(d, []).append(n)
-    gone, pairs = defaultdict(set), defaultdict(list)
-    for by in holders.values():
-        ids = sorted(by)
-        if len(ids) > rare:
-            for d in ids[1:]:
-                gone[d].update(by[d])
-        else:
-            for a, b in zip(ids, ids[1:]):
-                pairs[b, a].append((by[b], by[a]))
-    for (b, _), links in pairs.items():
-        earlier = sorted((i, k) for k, (_, there) in enumerate(links) for i in there)
-        later = sorted((i, k) for k, (here, _) in enumerate(links) for i in here)
-        for _, j in patience([k for _, k in earlier], [k for _, k in later]):
-            gone[b].add(later[j][0])
-    out = []
-    for d, t in rows:
-        each = (t or "").split("\n") if t is not None else []
-        rest = [x for n, x in enumerate(each) if n not in gone[d or 0]]
-        out.append((d, len(each), len(gone[d or 0]), sha("\n".join(rest))))
-    return out
-
-
 def aligned_lines(rows: list[tuple], rare: int, patience) -> dict[int, list[str]]:
     """Lines left of each document after every overlapping pair is aligned; ids must be distinct."""
     split = {d: t.split("\n") for d, t in sorted(rows)}
@@ -163,12 +134,63 @@ def aligned_lines(rows: list[tuple], rare: int, patience) -> dict[int, list[str]
     left = {}
     for b, later in split.items():
         gone = set()
-        led = Counter(lead[x] for x in set(later) if count[x] > rare)
+        worded = {x for x in later if WORD.search(x)}
+        led = Counter(lead[x] for x in worded if count[x] > rare)
         for a in first.values():
-            both = {*split[a]} & {*later}
-            if a >= b or not (any(count[x] <= rare for x in both) or 2 * led[a] > len(set(later)) or split[a] == later):
+            both = {*split[a]} & worded
+            if a >= b or not (any(count[x] <= rare for x in both) or 2 * led[a] > len(worded) or split[a] == later):
                 continue
             here, there = ([j for j, x in enumerate(split[d]) if x in both] for d in (b, a))
             gone.update(here[j] for _, j in patience([split[a][i] for i in there], [later[j] for j in here]))
         left[b] = [x for j, x in enumerate(later) if j not in gone]
     return left
+
+
+def language(model, text: str) -> tuple[str, float]:
+    """Best language of one lower-case text, by a mean over its subwords, one after the other."""
+    raw = f" {text} ".encode()
+    chars = [b if b > 127 or 97 <= b <= 122 else 32 for b in raw]
+    total, n = [0.0] * len(model.languages), 0
+    for size in (2, 3, 4):
+        for i in range(len(chars) - size + 1):
+            part = chars[i : i + size]
+            if part == [32, 32] or 32 in part[1:-1]:
+                continue
+            code = sum(b << 8 * k for k, b in enumerate(part))
+            mixed = (code + size) * 2654435761 % 2**32
+            mixed ^= mixed >> 15
+            row = model.scores[(mixed * 2246822519 % 2**32) >> 16]
+            total, n = [t + float(x) for t, x in zip(total, row)], n + 1
+    z = [(t / max(n, 1) + float(b)) / model.temperature for t, b in zip(total, model.bias)]
+    e = [math.exp(x - max(z)) for x in z]
+    best = max(range(len(e)), key=lambda k: e[k])
+    return model.languages[best], e[best] / sum(e)
+
+
+def quality_features(text: str | None) -> list[float]:
+    raw, m = (text or "").encode(), measures(text)
+    each = raw.split()
+    n, size = max(len(each), 1), max(len(raw), 1)
+    lengths = [len(w) for w in each]
+    mean = sum(lengths) / n
+    upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    digits, foreign = sum(48 <= b <= 57 for b in raw), sum(b > 127 for b in raw)
+    marks = sum(32 < b < 127 for b in raw) - upper - lower - digits
+    lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+    return [
+        math.log1p(len(each)), m["word_chars"] / n, math.sqrt(max(sum(x * x for x in lengths) / n - mean**2, 0)),
+        math.log1p(max(lengths, default=0)), m["n_symbols"] / n, m["n_dup_lines"] / max(lines, 1),
+        m["n_repeat_words"] / n, upper / max(upper + lower, 1), sum(w.endswith(b"!") for w in each) / n,
+        digits / size, marks / size, foreign / size, len(set(each)) / n,
+        sum(a == b for a, b in zip(each, each[1:])) / n, len(each) / max(lines, 1),
+        sum(x == 1 for x in lengths) / n, sum(w[-1:] in b".!?" for w in each) / n, raw.count(b"|") / n,
+    ]
+
+
+def quality(model, text: str | None) -> float:
+    """Score of one text: its table entries, one feature and one pair after the other."""
+    at = [sum(float(cut) <= x for cut in cuts) for cuts, x in zip(model.edges, quality_features(text))]
+    odds = model.base + sum(float(table[b]) for table, b in zip(model.tables, at))
+    for (i, j), grid in zip(model.pairs, model.grids):
+        odds += float(grid[at[i] * 8 // 32 * 8 + at[j] * 8 // 32])
+    return 1 / (1 + math.exp(-min(max(odds, -30), 30)))

@@ -36,6 +36,24 @@ def test_words_are_runs_between_spaces(pairs):
     assert len({(x, int(h)) for x, h in zip(flat, w.hashes())}) == len(set(flat)) == len(set(w.hashes().tolist()))
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_hashes_of_very_long_words(seed):
+    a, b, c = "a" * 4096, "b" * 4096, "c" * 100
+    drawn = [a + b, b + a, a + b + c, b + a + c, c + a + b, a + a, a, b, a + a + b, a + b + a, b + a + a]
+    assert len(set(texts.words(pa.array(drawn)).hashes(seed).tolist())) == len(drawn)
+
+
+def test_very_long_words_are_told_apart(spark):
+    a, b = "a" * 4096, "b" * 4096
+    filler = [f"w{i}" for i in range(40)]
+    one = " ".join([*filler[:7], a + b, *filler[:7], b + a])
+    rows = [(1, one), (2, " ".join([*filler[:34], a + b])), (3, " ".join([*filler[:34], b + a]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.judged(df).collect()}
+    assert got[1].n_repeat_words == brute.measures(one)["n_repeat_words"] == 0
+    assert {r.n_removed for r in substring.passage_digests(df).collect()} == {0}
+
+
 @pytest.mark.parametrize("width", [1, 2, 7, 15, 35])
 def test_windows_tell_sequences_apart(width):
     values = np.random.default_rng(1).integers(0, 3, 3000).astype(np.uint64)
@@ -185,10 +203,13 @@ def test_shards_are_written_apart(spark, docs, tmp_path):
 
 @pytest.mark.parametrize("rare", [64, 2])
 def test_lines(docs, pairs, rare):
-    got = lines.without_lines(docs, rare).select(
-        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("d")
-    )
-    assert as_set(got, "doc_id", "n_lines", "n_removed", "d") == sorted(brute.lines(pairs, rare, lines.patience), key=str)
+    got = {r.doc_id: r for r in lines.without_lines(docs, rare).collect()}
+    left = brute.aligned_lines([p for p in pairs if p[1] is not None], rare, lines.patience)
+    for d, t in pairs:
+        each = [] if t is None else t.split("\n")
+        assert got[d].n_lines == len(each)
+        assert got[d].n_removed == len(each) - len(left.get(d, [])), d
+        assert got[d].kept_text == (None if t is None else "\n".join(left[d]) if got[d].n_removed else t)
 
 
 def test_patience_alignment():
@@ -358,3 +379,28 @@ def test_quality_of_held_out_rows(spark):
     assert len(got) == 602 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
     held = [(got[i].predicted, q) for i, q, _ in labels if got[i].held_out]
     assert held and all(p == q for p, q in held)
+
+
+def test_language_scores_match_a_plain_scorer(spark, docs, pairs):
+    model = language.train(language.sample(docs, F.lit(True)))
+    got = {r.doc_id: r for r in language.identified(docs, model).collect()}
+    checked = 0
+    for d, t in pairs:
+        if not t or not any(c.isalpha() for c in t) or not t.replace("\u0130", "").isascii() and len(t) > 3000:
+            continue
+        best, score = brute.language(model, t.lower())
+        assert abs(got[d].score - score) < 1e-5, d
+        assert got[d].best == best or abs(score - 0.5) < 1e-5, d
+        checked += 1
+    assert checked > 60
+
+
+def test_quality_scores_match_a_plain_scorer(spark, docs, pairs):
+    labels = docs.select("doc_id", (F.length("text") % 3 > 0).cast("int").alias("quality"))
+    x, y = quality_model.sample(docs, labels, F.lit(True))
+    model = quality_model.train(x, y)
+    assert model.pairs
+    got = {r.doc_id: r.score for r in quality_model.scored(docs, model).collect()}
+    for d, t in pairs:
+        assert np.allclose(quality_model.features(pa.array([t], pa.string()))[0], brute.quality_features(t)), d
+        assert abs(got[d] - brute.quality(model, t)) < 1e-9, d

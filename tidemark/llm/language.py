@@ -2,7 +2,8 @@
 
 A text is lower-cased; its subwords are the byte sequences of two to four bytes inside words, a
 space marking either end, each hashed to one of ``BUCKETS`` embeddings. The mean embedding
-feeds a linear softmax, trained by stochastic gradient descent in numpy on a bounded sample.
+feeds a linear softmax, trained by stochastic gradient descent in numpy on a bounded sample of rows. Executors
+count the subwords of their whole texts; training draws bags of subwords from these counts.
 As mean and softmax weights are both linear, scoring needs one table of scores per
 bucket. A temperature and a rejection threshold are fitted on sampled texts held back.
 """
@@ -24,12 +25,11 @@ SIZES = (2, 3, 4)
 DIMENSIONS = 16
 UNKNOWN = "und"
 
-# Bounds of the training sample, whatever the size of the corpus.
-TEXTS_PER_LANGUAGE = 500
-TEXTS = 4_000
-LONGEST = 20_000  # characters; longer texts are learned from a stretch of this length
-SEGMENT_BYTES = 256
-SEGMENTS_PER_TEXT = 6
+# Bounds of the training sample in rows, whatever the size of the corpus and the length of its texts.
+TEXTS_PER_LANGUAGE = 400
+TEXTS = 1_600
+BAG_WORDS = (4, 250)  # smallest and largest number of subwords of a bag
+BAGS_PER_TEXT = 8
 ACCEPTED_ACCURACY = 0.99
 
 _LETTERS = np.arange(256, dtype=np.uint8)
@@ -77,7 +77,7 @@ class Model:
         total = np.zeros((n, len(self.languages)))
         count = np.zeros(n)
         for at, bucket in subwords(raw):
-            # Subwords that reach into the next text see its first letters: drop them.
+            # The space between texts ends every subword, so that none reaches into the next text.
             edge = np.searchsorted(at, offsets)
             size = np.diff(edge)
             some = np.flatnonzero(size)
@@ -107,8 +107,40 @@ def spaced(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, offs + np.arange(n + 1)
 
 
-def sample(docs: DataFrame, usable: Column) -> list[tuple[str, str]]:
-    """Lower-cased text and language of at most ``TEXTS`` usable rows, the same ones on every run."""
+def counted(texts: DataFrame, *carried: str) -> DataFrame:
+    """``carried`` columns, ``buckets`` (distinct, increasing) and ``counts`` of the subwords of every whole ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                raw, offs = spaced(part.column("text"))
+                keys = []
+                for at, bucket in subwords(raw):
+                    text = np.searchsorted(offs, at, side="right") - 1
+                    keys.append(text * BUCKETS + bucket.astype(np.int64))
+                key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+                at = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1) * BUCKETS), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[part.column(c) for c in carried],
+                        pa.ListArray.from_arrays(at, pa.array((key % BUCKETS).astype(np.int32))),
+                        pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32))),
+                    ],
+                    [*carried, "buckets", "counts"],
+                )
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*carried).schema)
+    return texts.select(*carried, "text").mapInArrow(run, f"{kept}, buckets array<int>, counts array<int>")
+
+
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def sample(docs: DataFrame, usable: Column) -> list[tuple[Counts, str]]:
+    """Subword counts and language of at most ``TEXTS`` usable rows, the same ones on every run.
+
+    Texts of any length are counted whole, on executors.
+    """
     labelled = docs.where(usable & F.col("lang").isNotNull()).select(
         F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")
     ).withColumn("hash", F.xxhash64("text"))
@@ -129,15 +161,30 @@ def sample(docs: DataFrame, usable: Column) -> list[tuple[str, str]]:
     same = (
         rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.col("hash") == F.col("_hash"))
     )
-    # Repeated rows of a chosen content come out as one.
-    start = F.pmod(F.col("hash"), F.greatest(F.char_length("text") - LONGEST, F.lit(0)) + 1).cast("int") + 1
-    stretch = F.substring(F.col("text"), start, F.lit(LONGEST))
-    chosen = rows.join(F.broadcast(ids), same).groupBy("nth", "lang").agg(F.first(stretch).alias("text"))
-    found = chosen.select(F.lower("text").alias("text"), "lang", "nth").toPandas().sort_values(["nth", "lang"])
-    return list(zip(found["text"], found["lang"]))
+    chosen = rows.join(F.broadcast(ids), same).select("nth", "lang", F.lower("text").alias("text"))
+    # Repeated rows of a chosen content have equal counts and come out as one.
+    found = (
+        counted(chosen, "nth", "lang").groupBy("nth", "lang")
+        .agg(F.first(F.struct("buckets", "counts")).alias("of"))
+        .select("nth", "lang", "of.*").orderBy("nth", "lang").toArrow()
+    )
+    lists = [found.column(c).combine_chunks() for c in ("buckets", "counts")]
+    each = [[np.asarray(x.values) for x in column] for column in lists]
+    return [((b, n), lang) for b, n, lang in zip(*each, found.column("lang").to_pylist())]
 
 
-def train(texts: list[tuple[str, str]], epochs: int = 2, batch: int = 32, seed: int = 7) -> Model | None:
+def bags(counts: Counts, rng: np.random.Generator) -> list[np.ndarray]:
+    """Bags of subwords drawn from the counts of a whole text; none without subwords."""
+    buckets, n = counts
+    if not len(buckets):
+        return []
+    ends = np.cumsum(n)
+    most = int(min(ends[-1], BAG_WORDS[1]))
+    sizes = np.geomspace(min(BAG_WORDS[0], most), most, BAGS_PER_TEXT).astype(int)
+    return [buckets[np.searchsorted(ends, rng.integers(0, ends[-1], size), side="right")].astype(np.int64) for size in sizes]
+
+
+def train(texts: list[tuple[Counts, str]], epochs: int = 2, batch: int = 32, seed: int = 7) -> Model | None:
     """Fit the model; every fifth text is held back for calibration. No texts give no model."""
     languages = sorted({lang for _, lang in texts})
     if not languages:
@@ -147,17 +194,10 @@ def train(texts: list[tuple[str, str]], epochs: int = 2, batch: int = 32, seed:
     held = [t for i, t in enumerate(texts) if not i % 5]
     rng = np.random.default_rng(seed)
     segments, labels = [], []
-    for text, lang in fit:
-        raw = np.frombuffer(f" {text} ".encode(), np.uint8)
-        starts = np.arange(0, len(raw), SEGMENT_BYTES)
-        if len(starts) > SEGMENTS_PER_TEXT:
-            starts = rng.choice(starts, SEGMENTS_PER_TEXT, replace=False)
-        for a in starts.tolist():
-            buckets = [b for _, b in subwords(raw[a : a + SEGMENT_BYTES])]
-            buckets = np.concatenate(buckets) if buckets else np.zeros(0, np.uint32)
-            if len(buckets):
-                segments.append(buckets.astype(np.int64))
-                labels.append(number[lang])
+    for counts, lang in fit:
+        drawn = bags(counts, rng)
+        segments += drawn
+        labels += [number[lang]] * len(drawn)
     labels = np.array(labels)
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weight = rng.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
@@ -189,12 +229,13 @@ def train(texts: list[tuple[str, str]], epochs: int = 2, batch: int = 32, seed:
     return calibrated(model, held, number)
 
 
-def calibrated(model: Model, held: list[tuple[str, str]], number: dict[str, int]) -> Model:
+def calibrated(model: Model, held: list[tuple[Counts, str]], number: dict[str, int]) -> Model:
     """Set the temperature of least log loss and the lowest threshold of the wanted accuracy."""
     if not held:
         return model
-    raw, offs = spaced(pa.array([t for t, _ in held]))
-    logits = model.logits(raw, offs)
+    logits = np.array([
+        n @ model.scores[b] / max(n.sum(), 1) + model.bias for (b, n), _ in held
+    ])
     truth = np.array([number[lang] for _, lang in held])
     losses = {}
     for t in np.geomspace(0.05, 20, 61):
@@ -256,7 +297,11 @@ def bucket_of(doc_id: Column, parts: int) -> Column:
 
 
 def predictions(docs: DataFrame) -> DataFrame:
-    """Contract of the registered query: best languages, learned from the rows not held out."""
+    """Contract of the registered query: best languages, learned from the rows not held out.
+
+    One row per row of ``docs``, repeated ones alike; a null ``doc_id`` is not held out. ``lang_pred`` is ``und`` with
+    score 0 for null texts and texts without a letter, and everywhere if no row has a language to learn.
+    """
     held = F.coalesce(bucket_of(F.col("doc_id"), 3) == 1, F.lit(False))
     found = identified(docs, train(sample(docs, ~held)))
     return found.select(

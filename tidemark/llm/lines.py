@@ -108,7 +108,7 @@ def _copies(keyed: DataFrame) -> DataFrame:
     """Ids of the documents whose text an earlier document has in full."""
     text = F.col("text")
     hashed = keyed.where(text.isNotNull()).select(
-        *IDS, F.xxhash64(text, F.lit(1)).alias("more"), F.char_length(text).alias("n_points")
+        *IDS, F.xxhash64(F.lit(1), text).alias("more"), F.char_length(text).alias("n_points")
     )
     same = ["tie", "more", "n_points"]
     # A group may hold a third of all texts: its rows are dealt over shares.
@@ -167,7 +167,7 @@ def without_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     each = (
         keyed.select(*IDS, F.posexplode(F.split("text", "\n")).alias("at", "line"))
         .where(F.col("line").rlike(WORD.pattern))
-        .select(*IDS, "at", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
+        .select(*IDS, "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
     )
     line = ["h", "g"]
     copies = materialize(_copies(keyed), "copies")

@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.language import bucket_of
 from tidemark.llm.quality_rules import measure
 from tidemark.llm.texts import slices, words
+from tidemark.session import materialize
 
-# Bounds of the training sample, whatever the size of the corpus.
-ROWS = 20_000
-LONGEST = 100_000  # characters; longer texts are scored, but not learned from
+ROWS = 20_000  # bound of the training sample, whatever the size of the corpus
 
 BINS = 32
 COARSE = 8
@@ -85,8 +84,8 @@ def features(column: pa.Array) -> np.ndarray:
     return out.astype(np.float64)
 
 
-def score_columns(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``values`` (the features in the order of ``FEATURES``) of every row."""
+def score_columns(docs: DataFrame, *carried: str) -> DataFrame:
+    """``doc_id``, the ``carried`` columns and ``values`` (the features in the order of ``FEATURES``) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,12 +93,14 @@ def score_columns(docs: DataFrame) -> DataFrame:
                 x = features(part.column("text"))
                 at = pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(x.ravel()))],
-                    ["doc_id", "values"],
+                    [*[part.column(n) for n in names], pa.ListArray.from_arrays(at, pa.array(x.ravel()))],
+                    [*names, "values"],
                 )
 
-    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return read.mapInArrow(run, "doc_id long, values array<double>")
+    read = docs.select(F.col("doc_id").cast("long"), *carried, F.col("text").cast("string"))
+    names = ["doc_id", *carried]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name in names)
+    return read.mapInArrow(run, f"{kept}, values array<double>")
 
 
 @dataclass
@@ -251,9 +252,11 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 5) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``ROWS`` usable labelled rows, the same ones on every run.
+    """Features and labels of at most ``ROWS`` usable labelled contents, the same ones on every run.
 
-    A document with several labels takes the smallest; texts over ``LONGEST`` are left out.
+    A document with several labels takes the smallest. Rows of one labelled id with equal texts count
+    as one, and those with different texts as one each, within the same bound; texts of any length
+    are read whole, and only their features reach the driver. Null texts count as empty.
     """
     marked = (
         labels.where(usable & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -261,14 +264,27 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[np.ndarr
         .agg(F.min("quality").cast("int").alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(ROWS)
     )
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(
-        F.char_length(F.coalesce("text", F.lit(""))) <= LONGEST
+    rows = docs.select(
+        F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
+    digest = F.sha2("text", 256)
+    keys = (
+        rows.join(F.broadcast(marked), F.col("doc_id") == F.col("_id"))
+        .select("_id", "_label", digest.alias("_digest")).distinct()
+        .orderBy(F.xxhash64("_id", "_digest"), "_id", "_digest").limit(ROWS)
+    )
+    keys = materialize(keys, "sample")
+    chosen = rows.join(F.broadcast(keys.select("_id").distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
+    each = (
+        chosen.withColumn("digest", digest)
+        .join(F.broadcast(keys), (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_digest")))
     )
-    chosen = rows.join(F.broadcast(marked), F.col("doc_id") == F.col("_id"), "left_semi")
-    found = score_columns(chosen).join(F.broadcast(marked), F.col("doc_id") == F.col("_id"))
-    table = found.select("doc_id", "_label", "values").toPandas().sort_values("doc_id", kind="stable")
+    found = score_columns(each, "_label", "digest").groupBy("doc_id", "digest").agg(
+        F.first("_label").alias("label"), F.first("values").alias("values")
+    )
+    table = found.toPandas().sort_values(["doc_id", "digest"])
     x = np.array(table["values"].tolist(), float).reshape(-1, len(FEATURES))
-    return x, table["_label"].to_numpy(dtype=int)
+    return x, table["label"].to_numpy(dtype=int)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -286,7 +302,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Contract of the registered query: scores learned from the labelled rows not held out."""
+    """Contract of the registered query: scores learned from the labelled rows not held out.
+
+    One row per row of ``docs``, repeated ones alike. Null and empty texts score as texts without words, and a null
+    ``doc_id`` is not held out. Without labels, or with labels of one kind, all scores are equal.
+    """
     held = F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(False))
     model = train(*sample(docs, labels, ~held))
     return scored(docs, model).select(

@@ -131,7 +131,7 @@ def _copies(docs: DataFrame, ids: list[str]) -> DataFrame:
     """Texts that occur in full more than once: their ids and ``LEADS`` or ``FOLLOWS`` as ``span``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     hashed = docs.where(F.length(text) > 0).select(
-        *ids, F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("g"),
+        *ids, F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"),
         F.char_length(text).alias("n_points"),
     )
     same = ["h", "g", "n_points"]

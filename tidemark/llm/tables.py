@@ -23,14 +23,15 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node reachable from each node that has an edge: columns ``node``, ``root``.
 
     Alternates large-star and small-star steps: every node tells its larger
     neighbours, then its smaller ones, of the smallest node it knows. Each step groups
     edges by node with partial aggregation, so a node of very high degree costs one
     row per task, and joins the result back; the number of edges never grows beyond
-    the input. Every round is written to shared scratch, so lost executors cost one round.
+    the input. Every round is written to shared scratch, so lost executors cost one round;
+    rounds go on until nothing changes, about the logarithm of the longest path.
     """
     links = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -38,7 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         .distinct()
     )
     links = materialize(links, "links")
-    for _ in range(rounds):
+    settled = False
+    while not settled:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = (
@@ -64,11 +66,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         open_ends = small.join(heads.select(F.col("u").alias("v")), "v", "left_semi")
         many = heads.where("n > 1")
         links = small
-        if not (many.limit(1).count() or open_ends.limit(1).count()):
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        settled = not (many.limit(1).count() or open_ends.limit(1).count())
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
-
-

@@ -81,14 +81,21 @@ class Words:
         return self.raw[~_SPACE[self.raw]]
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """64-bit hash of each word: a sum of byte values times factors of their places."""
+        """64-bit hash of each word: a sum of byte values times factors of their places.
+
+        Beyond 4 096 bytes, the factors are multiplied by another one for each further 4 096, so
+        that no place shares its factor with another.
+        """
         if not len(self.start):
             return np.zeros(0, np.uint64)
         length = self.stop - self.start
         chars = self.joined()
         begin = np.cumsum(length) - length
-        place = (np.arange(len(chars)) - np.repeat(begin, length)) & 4095
-        value = _MIX[seed][chars] * _MIX[seed][256 + place]
+        place = np.arange(len(chars)) - np.repeat(begin, length)
+        value = _MIX[seed][chars] * _MIX[seed][256 + (place & 4095)]
+        if length.max() > 4096:
+            far = np.flatnonzero(place > 4095)
+            value[far] *= stir((place[far] >> 12).astype(np.uint64)) | np.uint64(1)
         return stir(np.add.reduceat(value, begin) + length.astype(np.uint64))
 
 
