@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidemark.llm import (
     bpe,
+    divergence,
     exact,
     language,
     lines,
+    mixing,
     packing,
     quality_model,
     quality_rules,
@@ -37,6 +39,7 @@ ODD = [
 CLASHES = [
     "doc", "tie", "rest", "spans", "places", "fp", "root", "component_id", "share", "digest", "content", "kept", "n_words",
     "n_removed", "kept_text", "n_lines", "slot", "shard", "ids", "length", "offset", "score", "_id", "_measures",
+    "size", "source_size", "target", "taken", "term", "part", "item", "value", "rank", "n",
 ]
 
 OPERATORS = {
@@ -50,6 +53,8 @@ OPERATORS = {
     "substring": (substring.passage_digests, "doc_id n_words n_removed kept_sha256"),
     "packing": (packing.pack_documents, None),
     "bpe": (bpe.digests, "doc_id n_tokens ids_sha256 decoded_sha256"),
+    "mixing": (mixing.mixture, "doc_id size source_size target taken"),
+    "divergence": (divergence.audit, "lang source part item value rank"),
 }
 
 
@@ -70,7 +75,9 @@ def test_odd_rows(odd, clashing, name):
     if columns:
         assert got.columns == columns.split()
     rows = sorted(map(str, got.collect()))
-    if name != "packing":
+    if name == "divergence":
+        assert sorted(map(str, operator(clashing).select(got.columns).collect())) == rows
+    elif name != "packing":
         assert len(rows) == len(ODD)
         assert sorted(map(str, operator(clashing).select(got.columns).collect())) == rows
     else:

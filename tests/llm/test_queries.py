@@ -19,7 +19,8 @@ def test_query_matches_sql(spark, small, name):
 def test_names():
     assert sorted(queries.queries()) == sorted(
         ["op1_language", "op2_simhash", "op3_exact", "op4_quality_rules", "op5_sharding", "op6_lines",
-         "op7_quality_model", "op8_substring", "op9_packing", "op10_bpe", "pipeline"]
+         "op7_quality_model", "op8_substring", "op9_packing", "op10_bpe", "op11_mixing", "op12_negatives",
+         "op13_divergence", "pipeline"]
     )
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
 

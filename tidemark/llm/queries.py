@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
     bpe,
+    divergence,
     exact,
     language,
     lines,
+    mixing,
+    negatives,
     packing,
     quality_model,
     quality_rules,
@@ -43,6 +46,9 @@ def queries() -> dict[str, Query]:
         "op8_substring": _documents(substring.passage_digests),
         "op9_packing": _documents(packing.pack_documents),
         "op10_bpe": _documents(bpe.digests),
+        "op11_mixing": _documents(mixing.mixture),
+        "op12_negatives": lambda spark, folder: negatives.mined(table(spark, folder, "embeddings")),
+        "op13_divergence": _documents(divergence.audit),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -52,4 +58,7 @@ def checks() -> dict[str, str]:
         "op3_exact": exact.EXACT_SQL,
         "op4_quality_rules": quality_rules.RULES_SQL,
         "op8_substring": substring.PASSAGES_SQL,
+        "op11_mixing": mixing.MIX_SQL,
+        "op12_negatives": negatives.NEGATIVES_SQL,
+        "op13_divergence": divergence.AUDIT_SQL,
     }
