@@ -16,6 +16,7 @@ from tidemark.llm import (
     quality_model,
     quality_rules,
     sharding,
+    similar,
     simhash,
     substring,
 )
@@ -116,11 +117,24 @@ def test_defined_results_of_odd_rows(odd):
     cut = {(r.doc_id, r.n_words): r.n_removed for r in substring.passage_digests(odd).collect()}
     assert cut[9, 50] == 50 and cut[10, 50] == 50 and cut[9, 56] == 50
     assert cut[11, 60_000] == 60_000  # its words come in cycles
-    first = simhash.keep_first(odd).collect()
-    assert not [r for r in first if r.doc_id == 10]
+    for module in (simhash, similar):
+        assert not [r for r in module.keep_first(odd).collect() if r.doc_id == 10]
 
 
 def test_sharding_keeps_other_columns(odd):
     placed = sharding.placed(odd.withColumn("slot", F.lit("old")))
     assert placed.columns == [*odd.columns, "slot", "shard"] and placed.count() == len(ODD)
     assert placed.where("doc_id is null").select("shard").distinct().count() == 1
+
+
+def test_hot_repeated_rows(spark, monkeypatch):
+    """Rows equal in id and text are dealt over shares too, and one of them stays."""
+    monkeypatch.setattr(exact, "SHARE_ROWS", 16)
+    rows = [(None, SAME, "en", "s", 1)] * 900 + [(i, f"{SAME} {i}", "en", "s", 1) for i in range(50)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    groups = exact.content_groups(df, 16).collect()
+    assert sum(r.kept for r in groups) == 51 and {r.group_size for r in groups if r.doc_id is None} == {900}
+    left = exact.drop_copies(df, 16)
+    assert left.count() == 51 and left.where("doc_id is null").count() == 1
+    near = {r.doc_id: r.component_id for r in simhash.near_groups(df).collect()}
+    assert near[None] is None or near[None] >= 0

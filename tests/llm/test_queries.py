@@ -5,7 +5,7 @@ import compare
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import bpe, queries, quality_rules
+from tidemark.llm import bpe, queries, quality_rules, similar
 
 CHECKS = queries.checks()
 
@@ -32,7 +32,8 @@ def test_pipeline_matches_plain_version(spark, small):
     rows = [r for r in rows if r[0] in good]
     keep = {d: k for d, k, _, _ in brute.content_groups(rows)}
     rows = [r for r in rows if keep[r[0]] == r[0]]
-    first = {d: c for d, _, c in brute.near_groups(rows)}
+    near = similar.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))  # compared in test_similar
+    first = {r.doc_id: r.component_id for r in near.collect()}
     rows = [r for r in rows if first[r[0]] == r[0]]
     assert 0 < len(rows) < len(good)
     texts = dict(rows)

@@ -6,8 +6,8 @@ content with its neighbour in full. The sort order is that of the first ``HEAD``
 the digest, so that samples and splitters stay small however long texts are, and many texts
 with one beginning can still be parted. Large groups of copies are split first: contents are
 counted by digest with partial aggregation, and each group of more than ``SHARE_ROWS``
-rows is dealt over shares, which the splitters may part. Each share elects its own row,
-and the few elected rows of a group are compared again.
+rows is dealt over at most ``SHARES`` shares, which the splitters may part. Neighbours of a share are compared
+in full and elect a row; the few elected rows of a group are matched by their SHA-256.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -15,9 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import SPACES
-from tidemark.session import materialize
+from tidemark.session import materialize, sized
 
 SHARE_ROWS = 256
+SHARES = 1024  # of one group, so that its elected rows are few
 HEAD = 64  # leading characters that place a content in the sort order
 
 
@@ -41,15 +42,14 @@ def content_groups(docs: DataFrame, share_rows: int = SHARE_ROWS) -> DataFrame:
     ).withColumn("digest", F.sha2("content", 256))
     large = (
         rows.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > share_rows)
-        .select("digest", F.ceil(F.col("n") / share_rows).cast("int").alias("shares"))
+        .select("digest", F.least(F.ceil(F.col("n") / share_rows), F.lit(SHARES)).cast("int").alias("shares"))
     )
     large = materialize(large, "large")
     if large.limit(1).count():
-        # The table of large groups has one row per share_rows documents at most; it is
-        # joined by size: broadcast when small, else by digest with skewed keys split.
-        rows = rows.join(large, "digest", "left").withColumn(
-            "share",
-            F.when(F.col("shares").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("shares"))).cast("int"),
+        # Ids may repeat too, so rows of one id are dealt by the task that reads them.
+        dealt = F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.col("shares"))
+        rows = rows.join(sized(large), "digest", "left").withColumn(
+            "share", F.when(F.col("shares").isNull(), 0).otherwise(dealt).cast("int")
         )
     else:
         rows = rows.withColumn("share", F.lit(0))
@@ -82,7 +82,7 @@ def content_groups(docs: DataFrame, share_rows: int = SHARE_ROWS) -> DataFrame:
         )
     )
     return sorted_rows.join(
-        elected, (F.col("digest") == F.col("of")) & (F.col("share") == F.col("part"))
+        elected.hint("merge"), (F.col("digest") == F.col("of")) & (F.col("share") == F.col("part"))
     ).select(
         "doc_id", "keep_id", "group_size",
         ((F.col("place") == 1) & F.col("wins")).alias("kept"),
@@ -100,7 +100,7 @@ def drop_copies(docs: DataFrame, share_rows: int = SHARE_ROWS) -> DataFrame:
     names = [f"`{c}`" for c in docs.columns]
     if not docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         dropped = materialize(groups.where("not kept").select(F.col("doc_id").alias("_dropped")), "dropped")
-        return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_dropped"]), "left_anti")
+        return docs.join(sized(dropped), docs["doc_id"].cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
     kept = groups.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_digest"))
     row = docs.select(
         F.struct(*names).alias("row"),
@@ -108,10 +108,11 @@ def drop_copies(docs: DataFrame, share_rows: int = SHARE_ROWS) -> DataFrame:
         F.sha2(normalised(F.col("text").cast("string")), 256).alias("content"),
     )
     left = row.join(
-        kept, F.col("of").eqNullSafe(F.col("_kept_id")) & (F.col("content") == F.col("_digest")), "left_semi"
+        kept.hint("merge"), F.col("of").eqNullSafe(F.col("_kept_id")) & (F.col("content") == F.col("_digest")), "left_semi"
     )
-    every = W.partitionBy("of", "content").orderBy(*[F.col("row")[c].cast("string") for c in docs.columns])
-    return left.withColumn("nth", F.row_number().over(every)).where("nth = 1").select("row.*")
+    # Combined before its shuffle, so that a row that repeats very often is one row of each task.
+    order = F.struct(*[F.col("row")[c].cast("string") for c in docs.columns])
+    return left.groupBy("of", "content").agg(F.min_by("row", order).alias("row")).select("row.*")
 
 
 EXACT_SQL = r"""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tables import components, replaced
 from tidemark.llm.texts import slices
-from tidemark.session import materialize
+from tidemark.session import materialize, sized
 
 BITS = 64
 SHINGLE = 4
@@ -295,13 +295,16 @@ def near_groups(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGL
     roots = components(links(distinct, max_bits)).withColumnRenamed("node", "fp")
     # Only fingerprints with a link need their group's smallest id; those of a large group are
     # dealt over shares.
-    linked = roots.join(distinct, "fp").withColumn("share", F.pmod(F.xxhash64("fp"), F.lit(SHARES)))
+    linked = roots.hint("merge").join(distinct, "fp").withColumn("share", F.pmod(F.xxhash64("fp"), F.lit(SHARES)))
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id")).withColumn(
         "share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))
     )
-    named = linked.join(lowest, ["root", "share"]).select("fp", "component_id")
-    by_fp = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return marked.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    named = linked.join(lowest.hint("merge"), ["root", "share"]).select("fp", "component_id")
+    by_fp = distinct.join(named.hint("merge"), "fp", "left").select(
+        "fp", F.coalesce("component_id", "low").alias("component_id")
+    )
+    # Copies of one text may be a third of all rows: written first, so that this join is free to split them.
+    return marked.join(materialize(by_fp, "named").hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -313,11 +316,15 @@ def keep_first(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     judged = near_groups(docs, max_bits, shingle).groupBy("doc_id").agg(F.max(first).alias("first"))
     dropped = materialize(judged.where("not first").select(F.col("doc_id").alias("_dropped")), "dropped")
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_dropped"]), "left_anti")
+    return docs.join(sized(dropped), docs["doc_id"].cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Contract of the registered query: ``doc_id``, ``fingerprint`` (hex), ``component_id``."""
+    """Contract of the registered query: ``doc_id``, ``fingerprint`` (hex), ``component_id``.
+
+    One row per row of ``docs``, repeated ones alike. Null and empty texts have fingerprint zero and link like any
+    other; a null ``doc_id`` names a group only if all its ids are null. Empty input gives no rows.
+    """
     return replaced(
         near_groups(docs).select("doc_id", "fp", "component_id"),
         fingerprint=F.lower(F.lpad(F.hex("fp"), 16, "0")),

@@ -45,13 +45,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = (
             both.where(F.col("v") > F.col("u"))
-            .join(low, "u")
+            .join(low.hint("merge"), "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            large.join(low.hint("merge"), "u")
             .select(F.explode(F.array(
                 F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")),
                 F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
