@@ -8,34 +8,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact, packing, quality_rules, simhash, substring
+from tidemark.llm import exact, packing, quality_rules, similar, substring
 from tidemark.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects. Null and empty texts have too few words and go; repeated rows are judged alike."""
     return quality_rules.keep_good(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal contents."""
+    """One document of each group of equal contents: that of the longest original text, then of the smallest id.
+
+    Null, empty and blank texts are equal. Of a row that repeats, one stays.
+    """
     return exact.drop_copies(docs)
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates."""
-    return simhash.keep_first(docs)
+    """The document of the smallest id of each group of near duplicates.
+
+    Near are texts of a similarity of about 0.8 or more over shingles of five words. Texts without words are near
+    each other; rows that share an id, or have none, stay or go together.
+    """
+    return similar.keep_first(docs)
 
 
 def fresh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur elsewhere too."""
+    """Texts without the passages that occur elsewhere too, also in a row that repeats; null and short texts stay as they are."""
     return substring.cut_passages(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all tokenised pieces in sequences of fixed length."""
+    """Places of all tokenised pieces in sequences of fixed length. A null or empty text is its end mark alone."""
     return packing.pack_documents(docs)
 
 
