@@ -1,5 +1,6 @@
 """Sources and sinks: layout, pruning, strict documents, binary exports."""
 
+import hashlib
 import json
 import struct
 
@@ -215,3 +216,65 @@ def test_readers_stay_on_their_generation(spark):
     assert [int(r.generation) for r in catalog.scan_catalog(spark, path).collect()] == [2]
     pinned = catalog.scan_catalog(spark, path, generation=1, min_seq=2).collect()
     assert [(int(r.generation), r.refused) for r in pinned] == [(1, True)]
+
+
+def two_parts(**changes):
+    """(reference, data document) of one set; ``changes`` alter the reference."""
+    row = {"code": "000001.SZ", "ex_date": 10, "ex_factor": 2.0, "cum_factor": 2.0, "update_time": 1}
+    shared = {"algorithm": "upcloud-adjustment-v1", "symbol": "000001.SZ", "market": "SZ", "model": "cumulative", "first_day": 5,
+              "end_day": 30, "coverage_complete": True, "allow_empty": False, "source_epoch": "e",
+              "date_encoding": "exchange-civil-days-since-1970"}
+    data = json.dumps({"schema_version": 2, "kind": "ddb-adjustment-data-v2", **shared, "rows": [row]})
+    reference = {"schema_version": 2, "kind": "ddb-adjustment-reference-v2", **shared, "observed_at_ms": 1000, "valid_until_ms": 2000,
+                 "source_proof_sha256": "a" * 64, "factor_data_sha256": hashlib.sha256(data.encode()).hexdigest(),
+                 "factor_data_bytes": len(data.encode())}
+    return reference | changes, data
+
+
+def test_factor_documents_in_two_parts(spark):
+    good, data = two_parts()
+    day = 86400000
+    check = {"policy": "market-eod-check-v1", "exchange": "XSHE", "calendar_sha256": "b" * 64, "trading_day": 19722,
+             "next_trading_day": 19723, "check_minute": 60, "source_revision": 3, "source_completed_at_ms": 19723 * day,
+             "next_check_ms": 19724 * day + 3600000 - 28800000, "config_sha256": "c" * 64, "workload_sha256": "d" * 64,
+             "source_receipt_sha256": "e" * 64}
+    scheduled = {"schema_version": 3, "kind": "ddb-adjustment-reference-v3", "observed_at_ms": 19723 * day + 1,
+                 "valid_until_ms": check["next_check_ms"], "verification": check}
+    other, other_data = two_parts(end_day=31)
+    cases = {
+        json.dumps(good): None,
+        json.dumps(good | {"observed_at_ms": 1500}): None,
+        json.dumps(good | scheduled): None,
+        json.dumps(good | {"factor_data_sha256": "f" * 64}): "data_missing",
+        json.dumps(good | {"factor_data_bytes": 7}): "data_length",
+        json.dumps(good | {"factor_data_bytes": 0}): "data_reference",
+        json.dumps(other): "data_differs_end_day",
+        json.dumps(good | {"source_epoch": "f"}): "data_differs_source_epoch",
+        json.dumps(good)[:-1] + ', "symbol": "X"}': "duplicate_key",
+        json.dumps(good | {"rows": []}): "unknown_field",
+        json.dumps(good | {"verification": check}): "check",
+        json.dumps(good | scheduled | {"valid_until_ms": 19724 * day}): "check_deadline",
+        json.dumps(good | scheduled | {"verification": check | {"exchange": "XNYS"}}): "check_exchange",
+        json.dumps(good | scheduled | {"verification": check | {"config_sha256": "0"}}): "check_digest",
+        json.dumps({k: v for k, v in (good | scheduled).items() if k != "verification"}): "check",
+        json.dumps(good | {"schema_version": 3}): "unsupported",
+        json.dumps(good | {"kind": "ddb-adjustment-snapshot-v1"}): "unsupported",
+        json.dumps(good | {"observed_at_ms": 19725 * day, "valid_until_ms": 19725 * day + 1}): "future-dated",
+    }
+    docs = spark.createDataFrame([(t, hashlib.sha256(t.encode()).hexdigest()) for t in cases], "value string, sha256 string")
+    stored = spark.createDataFrame([(data,), (data,), (other_data.replace("30", "32"),)], "value string")
+    sets, events = factors.resolve_factors(docs, stored, 19725 * day - 1)
+    got = {r.reference: r for r in sets.collect()}
+    assert {t: got[hashlib.sha256(t.encode()).hexdigest()].problem for t in cases} == cases
+    assert [(r.symbol, r.day, r.cum) for r in events.where(f"data_hash = '{good['factor_data_sha256']}'").collect()] == [("000001.SZ", 10, 2.0)]
+    hashes = [hashlib.sha256(json.dumps(d).encode()).hexdigest() for d in (good, good | scheduled)]
+    assert got[hashes[0]].version == hashes[0] and got[hashes[1]].version == good["factor_data_sha256"]
+    assert got[hashes[1]].source_revision == 3
+    listed = spark.createDataFrame([(json.dumps(good), "0" * 64)], "value string, sha256 string")
+    assert [r.problem for r in factors.resolve_factors(listed, stored)[0].collect()] == ["digest"]
+    late = factors.resolve_factors(docs.limit(1), stored, 5000, fresh=True)[0]
+    assert [r.problem for r in late.collect()] == ["expired"]
+    whole = json.dumps({k: v for k, v in (good | scheduled).items() if not k.startswith("factor_data")}
+                       | {"kind": "ddb-adjustment-snapshot-v3", "rows": json.loads(data)["rows"]})
+    sets, events = factors.read_factors(spark.createDataFrame([(whole,)], "value string"))
+    assert [r.problem for r in sets.collect()] == [None] and events.count() == 1

@@ -91,6 +91,13 @@ CLOCK_CODE = "monitor_clock_regressed"
 KIND_MANIFEST = "complete-interval-snapshot"
 NULL_PRICE_MARK = "ddb-double-null-v1"
 KIND_FACTORS = "ddb-adjustment-snapshot-v1"
+KIND_FACTORS_CHECKED = "ddb-adjustment-snapshot-v3"
+KIND_FACTOR_REFERENCE = "ddb-adjustment-reference-v2"
+KIND_FACTOR_REFERENCE_CHECKED = "ddb-adjustment-reference-v3"
+KIND_FACTOR_DATA = "ddb-adjustment-data-v2"
+MAX_FACTOR_EVENTS = 20000
+MAX_FACTOR_BYTES = 524288
+MAX_EPOCH = 128
 FACTOR_ALGORITHM = "upcloud-adjustment-v1"
 FACTOR_DATES = "exchange-civil-days-since-1970"
 PROOF_CONTRACT = "ddb-single-chunk-guard-v1"

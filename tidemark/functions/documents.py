@@ -90,3 +90,8 @@ def strict_json_doc(
         df.withColumn("problem", document_problem(F.col(col), schema, optional))
         .withColumn("doc", F.when(F.col("problem").isNull(), parsed))
     )
+
+
+def differing_field(left: Column, right: Column, names: list[str]) -> Column:
+    """First of the named fields in which two documents differ, NULL when they agree in all; NULL equals NULL."""
+    return F.coalesce(*[F.when(~left[n].eqNullSafe(right[n]), F.lit(n)) for n in names], F.lit(None).cast("string"))

@@ -33,15 +33,30 @@ MANIFEST_DOC = (
     "object: STRUCT<bytes: BIGINT, index_sha256: STRING, key: STRING, sha256: STRING>>>"
 )
 
-FACTOR_DOC = (
+_FACTOR_SET = (
     "schema_version INT, kind STRING, algorithm STRING, symbol STRING, market STRING, "
-    "model STRING, first_day INT, end_day INT, coverage_complete BOOLEAN, "
-    "allow_empty BOOLEAN, observed_at_ms BIGINT, valid_until_ms BIGINT, "
-    "source_epoch STRING, source_proof_sha256 STRING, date_encoding STRING, "
+    "model STRING, first_day INT, end_day INT, coverage_complete BOOLEAN, allow_empty BOOLEAN, "
+    "source_epoch STRING, date_encoding STRING"
+)
+_FACTOR_ROWS = (
     "rows ARRAY<STRUCT<code: STRING, ex_date: INT, ex_factor: DOUBLE, cum_factor: DOUBLE, "
     "ex_div_date: INT, forward_adj_factorA: DOUBLE, forward_adj_factorB: DOUBLE, "
     "backward_adj_factorA: DOUBLE, backward_adj_factorB: DOUBLE, update_time: BIGINT>>"
 )
+_FACTOR_CHECK = (
+    "verification STRUCT<policy: STRING, exchange: STRING, calendar_sha256: STRING, trading_day: INT, "
+    "next_trading_day: INT, check_minute: INT, source_revision: BIGINT, source_completed_at_ms: BIGINT, "
+    "next_check_ms: BIGINT, config_sha256: STRING, workload_sha256: STRING, source_receipt_sha256: STRING>"
+)
+_FACTOR_OBSERVED = "observed_at_ms BIGINT, valid_until_ms BIGINT, source_proof_sha256 STRING"
+
+# A factor set with its rows; or a reference that names its data document, and that document. Only
+# documents of a scheduled check have a verification.
+FACTOR_DOC = f"{_FACTOR_SET}, {_FACTOR_OBSERVED}, {_FACTOR_CHECK}, {_FACTOR_ROWS}"
+FACTOR_REFERENCE_DOC = (
+    f"{_FACTOR_SET}, {_FACTOR_OBSERVED}, {_FACTOR_CHECK}, factor_data_sha256 STRING, factor_data_bytes BIGINT"
+)
+FACTOR_DATA_DOC = f"{_FACTOR_SET}, {_FACTOR_ROWS}"
 
 SUSPENSION_DOC = (
     "schema_version INT, policy STRING, intervals ARRAY<STRUCT<"
