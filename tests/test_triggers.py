@@ -12,7 +12,7 @@ from tidemark.streaming import alerts, guard
 
 
 def test_stream_query_takes_ranges_in_turn(spark, monkeypatch):
-    monkeypatch.setattr(publishing, "TRIGGER_ROWS", 60, raising=False)
+    monkeypatch.setattr(publishing, "FILE_ROWS", 20)
     batches = []
     drain = publishing._drain
 
@@ -31,7 +31,8 @@ def test_stream_query_takes_ranges_in_turn(spark, monkeypatch):
     got = publishing.alert_throttle_stream(SimpleNamespace(spark=spark, sql=lambda _: reports))
     want = alerts.alert_throttle_batch(reports).select(got.columns)
     assert snapshot.exact_rows_diff(want, got, got.columns).count() == 0
-    assert len(batches[0]) == 5 and {r["count"] for r in batches[0]} == {1}
+    counts = sorted(r["count"] for r in batches[0])
+    assert len(counts) >= 2 and sum(counts) >= 12 and counts[-1] == spark.sparkContext.defaultParallelism
 
 
 @pytest.mark.parametrize("width", [1, 3, 1000])

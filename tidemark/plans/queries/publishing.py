@@ -6,7 +6,7 @@ from tidemark.operators import generations, ops
 from tidemark.plans import bits
 from tidemark.plans.registry import query
 from tidemark.session import scratch
-from tidemark.streaming import alerts, guard, tail
+from tidemark.streaming import alerts, guard, stale, tail
 
 
 @query(
@@ -292,24 +292,29 @@ def alert_throttle(f):
     )
 
 
-TRIGGER_ROWS = 1 << 18  # of one file, and so of one micro-batch
+FILE_ROWS = 1 << 16  # of one file of a stream
 
 
 def _parts(df):
-    return -(-df.count() // TRIGGER_ROWS) or 1
+    return -(-df.count() // FILE_ROWS) or 1
 
 
-def _stream(f, df, label, order):
-    """A file stream over rows written to shared scratch, one range of ``order`` after the other."""
-    path, ranges = scratch(f.spark, label), scratch(f.spark, f"{label}-ranges")
-    n = _parts(df)
-    part = F.spark_partition_id().alias("_part")
-    df.repartitionByRange(n, order).select("*", part).write.partitionBy("_part").parquet(ranges)
-    found = f.spark.read.schema(f"{df.schema.toDDL()}, _part INT").parquet(ranges)
-    for i in sorted(r["_part"] for r in found.select("_part").distinct().collect()):
-        # The source takes files by their time, so the ranges are written in turn.
-        found.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return f.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _stream(f, df, label, order, files=None, at_once=None):
+    """A file stream over rows in shared scratch, in ranges of ``order``, as many files a trigger as there are cores.
+
+    All ranges are written by one job. The source takes files by their time, so the names, which follow the ranges,
+    give the times.
+    """
+    path = scratch(f.spark, label)
+    df.repartitionByRange(files or _parts(df), order).write.parquet(path)
+    hadoop = f.spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(f.spark._jsc.hadoopConfiguration())
+    names = sorted((s.getPath().toString(), s.getPath()) for s in store.listStatus(hadoop) if s.getPath().getName().startswith("part-"))
+    base = max(s.getModificationTime() for s in store.listStatus(hadoop)) - 1000 * len(names)
+    for i, (_, name) in enumerate(names):
+        store.setTimes(name, base + 1000 * i, -1)
+    taken = at_once or f.spark.sparkContext.defaultParallelism
+    return f.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", taken).parquet(path)
 
 
 def _drain(f, stream, label):
@@ -357,6 +362,99 @@ def generation_guard(f):
     return guard.generation_guard_batch(seen).select("namespace", "obs", "verdict")
 
 
+@query(
+    "generation_guard_stream",
+    """
+    with o_top as (select *, max(seq) over (partition by uid order by obs rows between unbounded preceding and 1 preceding) as top from {f_generations})
+    select concat('history-', cast(t.uid as varchar(20))) as namespace, t.obs, case when t.top is null or t.seq > t.top then 'newer' when t.seq < t.top then 'regressed'
+      when t.manifest <> (select arg_min(g.manifest, g.obs) from {f_generations} g where g.uid = t.uid and g.seq = t.top) then 'changed_at_same_sequence' else 'unchanged' end as verdict
+    from o_top t
+    """,
+)
+def generation_guard_stream(f):
+    seen = f.f_generations.select(
+        F.concat(F.lit("history-"), F.col("uid").cast("string")).alias("namespace"),
+        F.col("obs").cast("bigint").alias("obs"), F.col("seq").cast("decimal(20,0)").alias("seq"), "manifest",
+    )
+
+    def run():
+        return _drain(f, guard.generation_guard(_stream(f, seen, "generations", "obs", 3, 1)), "verdicts")
+
+    return _with_rocksdb(f, run).select("namespace", "obs", "verdict")
+
+
+# Answers of the receiver to every report that might be sent; some come too late, some never.
+OUTCOMES = """
+select concat('host-', cast(instance as varchar(20))) as instance, observed_s + event_id % 13 as answered_s, event_id as seq, send_ok as accepted
+from {f_health} where event_id % 6 <> 1
+"""
+DELIVERED = THROTTLED.replace(
+    f"from ({REPORTS}) r)",
+    f"from (select p.* exclude (send_ok), coalesce(o.answered_s <= p.observed_s + 10 and o.accepted, false) as send_ok"
+    f" from ({REPORTS}) p left join ({OUTCOMES}) o on o.instance = p.instance and o.seq = p.seq) r)",
+)
+DELIVERED = DELIVERED[: DELIVERED.rindex("select instance, seq, delivery")] + f"""
+    , o_ends as (select r.*, o.answered_s, o.accepted, case when severity = 'ok' then 'recovery' else 'alert' end as kind
+      from o_run r left join ({OUTCOMES}) o on o.instance = r.instance and o.seq = r.seq and o.answered_s <= r.now + 10 where r.n > 0)
+    select instance, seq, now as at_s, case when delivery = 'suppressed' then 'suppressed' else 'attempt' end as step,
+      case when delivery <> 'suppressed' then kind end as event from o_ends
+    union all
+    select instance, seq, coalesce(answered_s, now + 10), case when answered_s is null then 'expired' when accepted then 'sent' else 'failed' end, kind
+    from o_ends where delivery <> 'suppressed'
+"""
+END_S = 1708000000  # after every report; a last row with this time lets the watermark pass them all
+CLOSING = "closing"
+
+
+@query("alert_delivery_stream", DELIVERED)
+def alert_delivery_stream(f):
+    """Two streams, cut into files at other places, and a last row of each that closes it."""
+    reports, outcomes = f.sql(REPORTS).drop("send_ok"), f.sql(OUTCOMES)
+    reports = reports.unionByName(f.spark.sql(
+        f"select '{CLOSING}' as instance, {END_S}L as observed_s, 0L as seq, '' as codes, 'ok' as severity"
+    ).select(*reports.columns))
+    outcomes = outcomes.unionByName(f.spark.sql(
+        f"select '{CLOSING}' as instance, {END_S}L as answered_s, 0L as seq, true as accepted"
+    ).select(*outcomes.columns))
+
+    def run():
+        streams = _stream(f, reports, "reports", "observed_s", 4, 1), _stream(f, outcomes, "outcomes", "answered_s", 3, 1)
+        return _drain(f, alerts.alert_delivery(*streams), "deliveries")
+
+    return _with_rocksdb(f, run).where(F.col("instance") != CLOSING)
+
+
+HELD = f"""
+    with o_state as (select instance, observed_s as at_s, bool_or(coalesce(code in ('agent_missing', 'agent_unhealthy'), false)) as faulty, bool_or(not send_ok) as failed from {{f_health}} group by instance, observed_s),
+    o_flags as (
+      select instance, 'operational_fault' as rule, 120 as hold, at_s, faulty as bad, lag(faulty) over (partition by instance order by at_s) as was from o_state
+      union all select instance, 'notification_failed', 300, at_s, failed, lag(failed) over (partition by instance order by at_s) from o_state),
+    o_turns as (select * from o_flags where bad <> coalesce(was, false)),
+    o_spans as (select *, lead(at_s) over (partition by instance, rule order by at_s) as until_s from o_turns),
+    o_silence as (select instance, at_s, lead(at_s) over (partition by instance order by at_s) as next_s from o_state)
+    select cast(instance as varchar) as instance, rule, case when bad then 'started' else 'cleared' end as state, at_s from o_spans
+    union all select cast(instance as varchar), rule, 'firing', at_s + hold from o_spans where bad and at_s + hold < coalesce(until_s, {END_S})
+    union all select cast(instance as varchar), 'stale', 'started', at_s + 181 from o_silence where at_s + 181 < coalesce(next_s, {END_S})
+    union all select cast(instance as varchar), 'stale', 'firing', at_s + 241 from o_silence where at_s + 241 < coalesce(next_s, {END_S})
+    union all select cast(instance as varchar), 'stale', 'cleared', next_s from o_silence where at_s + 181 < next_s
+"""
+
+
+@query("stale_monitor_stream", HELD)
+def stale_monitor_stream(f):
+    bad = F.coalesce(F.col("code").isin("agent_missing", "agent_unhealthy"), F.lit(False))
+    reports = f.f_health.select(
+        F.col("instance").cast("string").alias("instance"), "observed_s", bad.alias("faulty"), (~F.col("send_ok")).alias("send_failed")
+    )
+    closing = f.spark.sql(f"select '{CLOSING}' as instance, {END_S}L as observed_s, false as faulty, false as send_failed")
+
+    def run():
+        stream = _stream(f, reports.unionByName(closing), "reports", "observed_s", 4, 1)
+        return _drain(f, stale.hold_stream(stream), "holds")
+
+    return _with_rocksdb(f, run).where(F.col("instance") != CLOSING)
+
+
 @query("alert_throttle_stream", THROTTLED)
 def alert_throttle_stream(f):
     reports = f.sql(REPORTS)
@@ -384,8 +482,10 @@ def intraday_tail_stream(f):
     )
     twice = arrivals.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
     path, out = scratch(f.spark, "arrivals"), scratch(f.spark, "tail")
-    twice.repartition(max(3, _parts(twice)), "ts_ms").write.parquet(path)
-    stream = f.spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = max(3, _parts(twice))
+    twice.repartition(files, "ts_ms").write.parquet(path)
+    # A third of the files a trigger, in any order.
+    stream = f.spark.readStream.schema(twice.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(path)
     for run in tail.run_intraday_tail(stream, out, f"{out}/checkpoint"):
         run.awaitTermination()
     columns = ["symbol", "ts_ms", "volume"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark import fixed
+from tidemark.streaming.inorder import InOrder
 
 INPUT = ["instance", "observed_s", "seq", "severity", "codes", "send_ok"]
 OUTPUT = (
@@ -106,6 +107,94 @@ def decide(state: Delivery, reports: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(NAMES, columns)))
 
 
+class Deliveries(InOrder):
+    """Attempts with a reservation and an outcome: an attempt counts as failed until its answer puts it right."""
+
+    ROW = "at_s BIGINT, seq BIGINT, severity STRING, codes STRING, accepted BOOLEAN"  # severity NULL: an outcome
+    STATE = f"{STATE}, attempt BIGINT, until_s BIGINT, news STRING, news_ok BOOLEAN"
+    OUTPUT = "instance STRING, seq BIGINT, at_s BIGINT, step STRING, event STRING"
+    NONE = (None, None, None, None)
+
+    def __init__(self, wait_s: int):
+        if wait_s >= fixed.COOLDOWN_S:
+            raise ValueError("an attempt must be settled before the next one may follow")
+        self._wait_s = wait_s
+
+    def start(self) -> tuple:
+        return (*astuple(Delivery()), *self.NONE)
+
+    def advance(self, key, state, rows, now_s):
+        known, pending = Delivery(*state[: -len(self.NONE)]), tuple(state[-len(self.NONE) :])
+        answers: dict[int, list[tuple[int, bool]]] = {}
+        for at, seq, severity, _, accepted in rows:
+            if severity is None:
+                answers.setdefault(seq, []).append((at, bool(accepted)))
+        reports = [r for r in rows if r[2] is not None]
+        out: list[tuple] = []
+
+        def settle() -> None:
+            """Put the open attempt right by its first answer in time; without one it stays failed."""
+            nonlocal pending
+            seq, until, report, ok = pending
+            event = "recovery" if ok else "alert"
+            found = min((a for a in answers.get(seq, []) if a[0] <= until), default=None, key=lambda a: a[0])
+            if found is not None:
+                if found[1]:
+                    known.told, known.told_ok, known.told_s, known.failing = report, ok, until - self._wait_s, False
+                out.append((key, seq, found[0], "sent" if found[1] else "failed", event))
+            elif until < now_s:
+                out.append((key, seq, until, "expired", event))
+            else:
+                return
+            pending = self.NONE
+
+        if pending[0] is not None:
+            settle()
+        at = np.array([r[0] for r in reports], np.int64)
+        signs = np.array([f"{r[2]}:{r[3]}" for r in reports], object)
+        ok = np.array([r[2] == "ok" for r in reports], bool)
+        start = 0
+        while start < len(reports):
+            run = slice(start, start + AHEAD)
+            # While an attempt is open none can follow: it is settled long before its cooldown ends.
+            hits = np.flatnonzero(known.due(at[run], signs[run], ok[run])) if pending[0] is None else ()
+            stop = start + int(hits[0]) if len(hits) else min(start + AHEAD, len(reports))
+            out += [(key, reports[i][1], reports[i][0], "suppressed", None) for i in range(start, stop)]
+            if len(hits):
+                known.attempt(int(at[stop]), signs[stop], bool(ok[stop]), False)
+                pending = (reports[stop][1], int(at[stop]) + self._wait_s, signs[stop], bool(ok[stop]))
+                out.append((key, reports[stop][1], reports[stop][0], "attempt", "recovery" if ok[stop] else "alert"))
+                settle()
+                stop += 1
+            start = stop
+        known.latest_s = max(known.latest_s, int(at[-1])) if len(at) else known.latest_s
+        deadline = pending[1] + 1 if pending[0] is not None else None
+        return (*astuple(known), *pending), out, [], deadline
+
+
+def alert_delivery(reports: DataFrame, outcomes: DataFrame, wait_s: int = 10, delay: str = "10 minutes") -> DataFrame:
+    """Every report's decision, and how every attempt ended: the stream of reports and that of their answers.
+
+    ``reports`` has instance, observed_s, seq, severity and codes; ``outcomes`` has instance, answered_s, seq (of the report that was
+    sent) and accepted. A report that is worth an attempt, and that the budget allows, is an ``attempt``: it is counted, and
+    failed, before it is sent. Its first answer within ``wait_s`` seconds makes it ``sent`` or ``failed``; without one it
+    is ``expired``, and a later answer changes nothing. Other reports are ``suppressed``. Both streams are taken in order of time, so
+    that the result is the same for any micro-batches within ``delay``. Needs the RocksDB state store provider.
+    """
+    timed = [
+        df.select(F.col("instance").cast("string"), F.timestamp_seconds(at).alias("time"), F.col(at).cast("long").alias("at_s"), "seq", *rest)
+        .withWatermark("time", delay)
+        for df, at, rest in (
+            (reports, "observed_s", ["severity", "codes", F.lit(None).cast("boolean").alias("accepted")]),
+            (outcomes, "answered_s", [F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("codes"), "accepted"]),
+        )
+    ]
+    return (
+        timed[0].unionByName(timed[1]).groupBy("instance")
+        .transformWithStateInPandas(Deliveries(wait_s), Deliveries.OUTPUT, "append", "eventTime")
+    )
+
+
 class Throttle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("delivery", STATE)

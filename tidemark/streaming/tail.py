@@ -1,6 +1,6 @@
 """The intraday tail: bars arrive during the day and are appended once each."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -8,11 +8,17 @@ from pyspark.sql.types import StructType
 from tidemark.functions import clock
 from tidemark.operators.snapshot import build_catalog
 from tidemark.schemas import SERIES
+from tidemark.session import materialize
 
 
 PLACE = ["market", "yyyymmdd"]
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def run_intraday_tail(
     stream: DataFrame,
     path: str,
@@ -25,11 +31,11 @@ def run_intraday_tail(
     A bar is late when it arrives (``arrived_ms``) more than the delay after its own
     minute. Late revisions never reach the tail: like every change of published rows
     they need a new generation. Nothing is dropped for its age: a micro-batch is compared
-    with the rows stored for its own (market, day) partitions, so files may come in any
-    order, after a restart or a backfill too. Of several arrivals of one bar
+    with the rows stored for its own (market, day) folders, and lists and reads only these, so files may come in any
+    order, after a restart or a backfill too, and a month of stored days costs a micro-batch nothing. Of several arrivals of one bar
     in a micro-batch the earliest counts; equal late rows are stored once.
 
-    Every micro-batch owns one folder and overwrites it, so a batch that is repeated
+    A micro-batch owns one folder ``batch=`` in each of its days and overwrites it, so a batch that is repeated
     after a failure leaves the same rows.
     """
     trigger = trigger or {"availableNow": True}
@@ -48,19 +54,22 @@ def run_intraday_tail(
             rest = [c for c in dated.columns if c not in by]
             first = F.min(F.struct("arrived_ms", *[c for c in rest if c != "arrived_ms"])).alias("_f")
             once = rows.groupBy(*by).agg(first).select(*by, *[F.col("_f")[c].alias(c) for c in rest])
-            seen = spark.read.schema(stored).parquet(f"{path}/{name}").where(F.col("batch") != batch_id)
-            same = [once[c].eqNullSafe(seen[c]) for c in by]
+            once = materialize(once, "arrived")
+            days = [(r.market, r.yyyymmdd) for r in once.select(*PLACE).distinct().collect()]
+            folders = [f"{path}/{name}/market={m}/yyyymmdd={d}" for m, d in days]
+            held = [folder for folder in folders if _exists(spark, folder)]
+            if held:
+                read = spark.read.schema(stored).option("basePath", f"{path}/{name}")
+                seen = read.parquet(*held).where(F.col("batch") != batch_id)
+                same = [once[c].eqNullSafe(seen[c]) for c in by]
+                once = once.join(seen.select(*by), same, "left_anti")
             (
-                once.join(seen.select(*by), same, "left_anti")
-                .select(*kept, *PLACE)
-                .write.mode("overwrite")
-                .partitionBy(*PLACE)
-                .parquet(f"{path}/{name}/batch={batch_id}")
+                once.select(*kept, *PLACE, F.lit(batch_id).cast("long").alias("batch"))
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy(*PLACE, "batch")
+                .parquet(f"{path}/{name}")
             )
 
-    for name in keys:
-        empty = spark.createDataFrame([], stored).drop("batch")
-        empty.write.mode("overwrite").partitionBy(*PLACE).parquet(f"{path}/{name}/batch=-1")
     query = (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
