@@ -8,9 +8,12 @@ answer, or one month of one series. ``rows_digest_tree`` has no such limit; it h
 rows, blocks of 1 024 rows, and so on up, and never gathers more than one block.
 """
 
+import hashlib
 import math
 import struct
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,6 +132,50 @@ def rows_digest(
     return out.select(*keys, "rows", "rows_sha256", *(["data"] if payload else []))
 
 
+def series_digest(rows: DataFrame, keys: list[str], encoding: str) -> DataFrame:
+    """SHA-256 and row count of each group, of any length: equal to ``rows_digest``, but never gathered.
+
+    Rows are sorted by group and time and pass through one hash state, batch by batch, so memory does not depend on
+    a group's length. One hash over one sequence cannot be split: a group is read by one task,
+    as the format wants it; ``rows_digest_tree`` is the digest that spreads.
+    """
+    layout = RECORDS[encoding]
+    names = [name for name, _ in layout]
+    packed = with_bits(rows.select(*keys, *names), layout).select(*keys, "ts_ms", F.unhex(record_hex(layout)).alias("_r"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.select(*keys).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, count = None, hashlib.sha256(), 0
+
+        def told() -> pa.RecordBatch:
+            values = [pa.array([v], t) for v, t in zip(current, kinds)]
+            return pa.RecordBatch.from_arrays([*values, pa.array([count]), pa.array([state.hexdigest()])], [*keys, "rows", "rows_sha256"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            bounds = pa.table(batch.select(keys)).append_column("_at", pa.array(range(batch.num_rows)))
+            starts = bounds.group_by(keys, use_threads=False).aggregate([("_at", "min")]).sort_by("_at_min")
+            ends = [*starts.column("_at_min").to_pylist()[1:], batch.num_rows]
+            records = batch.column("_r")
+            for *key, at, end in zip(*[starts.column(k).to_pylist() for k in keys], starts.column("_at_min").to_pylist(), ends):
+                if tuple(key) != current:
+                    if current is not None:
+                        yield told()
+                    current, state, count = tuple(key), hashlib.sha256(), 0
+                _, offsets, data = records.buffers()
+                first = struct.unpack_from("<i", offsets, 4 * (records.offset + at))[0]
+                last = struct.unpack_from("<i", offsets, 4 * (records.offset + end))[0]
+                state.update(memoryview(data)[first:last])
+                count += end - at
+        if current is not None:
+            yield told()
+
+    return (
+        packed.repartition(*keys).sortWithinPartitions(*keys, "ts_ms").select(*keys, "_r")
+        .mapInArrow(run, f"{schema}, rows long, rows_sha256 string")
+    )
+
+
 def rows_digest_tree(
     rows: DataFrame, keys: list[str] | None = None, fanout: int = fixed.BLOCK_ROWS, levels: int | None = None
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import clock, identity
-from tidemark.operators import digest, snapshot
+from tidemark.operators import digest, snapshot, tree
 from tidemark.plans import bits, compact
 from tidemark.plans.registry import query
 from tidemark.session import scratch
@@ -177,6 +177,18 @@ def snapshot_write(f):
     )
 
 
+@query(
+    "series_digest",
+    f"""
+    select symbol, count(*) as rows, sha256(unhex(string_agg(r, '' order by ts_ms))) as rows_sha256
+    from (select symbol, ts_ms, {bits.record([n for n, _ in digest.RECORDS[fixed.ENCODING_NATIVE]])} as r from {{f_bars_nullable}}) x
+    group by symbol
+    """,
+)
+def series_digest(f):
+    return digest.series_digest(f.f_bars_nullable, ["symbol"], fixed.ENCODING_NATIVE)
+
+
 @query(
     "synthetic_bars",
     """
@@ -272,6 +284,29 @@ def build_catalog(f):
     )
 
 
+@query(
+    "snapshot_catalog",
+    f"""
+    with {FACTS}
+    select c.symbol, c.cov_start, coalesce(o.n, 0) as row_count, case when o.n > 0 then sha256(concat(cast(o.n as varchar), ':', o.total)) end as content_hash,
+      0 as problems, true as within from {{f_catalog}} c join o_facts o on o.symbol = c.symbol and o.cov_start = c.cov_start
+    """,
+)
+def snapshot_catalog(f):
+    """The catalog that comes out of writing a snapshot, with what verifying both finds, and whether files keep to their rows."""
+    path = scratch(f.spark, "snapshot")
+    bars = f.f_bars_nullable.drop("uid")
+    catalog = bar_files.write_exact(bars, path, f.sql(DECLARED), 1000)
+    schema = bars.schema.toDDL()
+    covered = snapshot.rows_by_entry(catalog, bar_files.scan_bars(f.spark, path, schema=schema)).select(*bars.columns)
+    problems = snapshot.verify_snapshot(covered, catalog).groupBy("symbol").agg(F.count("*").alias("n"))
+    largest = bar_files.stored_files(f.spark, path, schema).agg(F.max("rows")).first()[0]
+    return catalog.join(problems, "symbol", "left").select(
+        "symbol", "cov_start", "row_count", "content_hash", F.coalesce("n", F.lit(0)).cast("int").alias("problems"),
+        F.lit(largest <= 1000).alias("within"),
+    )
+
+
 @query(
     "snapshot_verify",
     f"""
@@ -331,6 +366,28 @@ def exact_rows_diff(f):
     return snapshot.exact_rows_diff(left, f.sql(REBUILT), cols)
 
 
+@query(
+    "snapshot_tree_diff",
+    f"""
+    with o_left as (select {ROWS} from {{f_bars_nullable}}), o_right as ({REBUILT}),
+    o_a as (select *, 'left' as side from o_left except all select *, 'left' from o_right),
+    o_b as (select *, 'right' as side from o_right except all select *, 'right' from o_left)
+    select {ROWS}, side, count(*) as copies from (select * from o_a union all select * from o_b) x group by {ROWS}, side
+    """,
+)
+def snapshot_tree_diff(f):
+    """Both snapshots and their trees are stored; the trees say which days to read."""
+    cols, path = ROWS.split(", "), scratch(f.spark, "trees")
+    sides = {"left": f.f_bars_nullable.select("dataset", "market", *cols)}
+    sides["right"] = f.sql(REBUILT.replace("select symbol", "select dataset, market, symbol"))
+    stored = {}
+    for name, bars in sides.items():
+        bars.write.parquet(f"{path}/{name}")
+        stored[name] = f.spark.read.schema(bars.schema).parquet(f"{path}/{name}")
+        tree.build_tree(stored[name], f"{path}/{name}-tree")
+    return tree.snapshot_tree_diff(stored["left"], stored["right"], f"{path}/left-tree", f"{path}/right-tree", cols)
+
+
 @query(
     "proof_match",
     """
