@@ -42,14 +42,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     settled = False
     while not settled:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # Written first, so that the join is free to split a node of very many links.
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
         large = (
             both.where(F.col("v") > F.col("u"))
             .join(low.hint("merge"), "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (
             large.join(low.hint("merge"), "u")
             .select(F.explode(F.array(
