@@ -7,7 +7,7 @@ from tidemark import fixed
 from tidemark.functions import clock
 from tidemark.operators.steps import bind
 from tidemark.schemas import SERIES
-from tidemark.session import sized
+from tidemark.session import materialize, sized
 
 # Requests span at most 366 days and archive entries a month, so a pair of them
 # shares few buckets and no key of the overlap join is larger than a series-month.
@@ -108,6 +108,39 @@ def with_chain(catalog: DataFrame) -> DataFrame:
     )
 
 
+CHAIN = [*SERIES, "cov_start", "cov_end"]
+
+
+def coverage_chains(entries: DataFrame) -> DataFrame:
+    """Disjoint intervals that the entries of each series cover without a gap; entries that only touch are one interval."""
+    whole = with_chain(entries.where("cov_end > cov_start").select(*CHAIN))
+    return whole.groupBy(*SERIES, "chain").agg(
+        F.min("cov_start").alias("cov_start"), F.max("cov_end").alias("cov_end")
+    ).select(*CHAIN)
+
+
+def extend_chains(stored: DataFrame, published: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(intervals of ``stored`` that go, intervals that take their place) after entries are published.
+
+    ``stored`` holds the disjoint intervals of ``coverage_chains``. Only those that a new entry meets are read again and merged with it; as
+    stored intervals never touch each other, what is merged touches no other one.
+    """
+    fresh = materialize(coverage_chains(published), "fresh")
+    # One millisecond more on either side: intervals that only touch meet too.
+    asked = fresh.select(
+        F.concat_ws("/", *CHAIN).alias("request_id"), *SERIES,
+        (F.col("cov_start") - 1).alias("start_stored"), (F.col("cov_end") + 1).alias("end_stored"),
+    )
+    met = materialize(overlap(asked, stored.select(*CHAIN)).select(*CHAIN).distinct(), "met")
+    return met, coverage_chains(met.unionByName(fresh))
+
+
+def with_chains(stored: DataFrame, published: DataFrame) -> DataFrame:
+    """``stored`` after entries are published: equal to ``coverage_chains`` of all entries ever published."""
+    gone, new = extend_chains(stored, published)
+    return stored.select(*CHAIN).join(sized(gone), CHAIN, "left_anti").unionByName(new)
+
+
 def with_chain_end(catalog: DataFrame) -> DataFrame:
     """Add the end of the gap-free chain of archive entries each entry belongs to."""
     last = F.max("cov_end").over(Window.partitionBy(*SERIES, "chain"))

@@ -1,11 +1,16 @@
 """Operational logs: usage, health, publication attempts, hash chains, retention."""
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.operators import ordered
-from tidemark.session import sized
+from tidemark.session import materialize, sized
+
+
+FEW = 200  # logs whose heads are told to a scan one by one
 
 
 def transfer_usage(log: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -115,6 +120,51 @@ def hash_chain_breaks(
     )
 
 
+def hash_chain_heads(events: DataFrame, key: str, order: str) -> DataFrame:
+    """Last record of each log, to verify on from there: ``key``, ``head``, ``head_place`` (records up to it), ``head_hash``."""
+    return events.groupBy(key).agg(
+        F.max(order).alias("head"), F.count(F.lit(1)).alias("head_place"), F.max_by("hash", order).alias("head_hash")
+    )
+
+
+def hash_chain_suffix(
+    events: DataFrame, heads: DataFrame, key: str, order: str, payload: list[str], seed: Column, all_known: bool = False
+) -> DataFrame:
+    """Breaks behind the verified heads: with those found up to the heads, all of ``hash_chain_breaks``.
+
+    Verifies each log from its head on, and one without a head in full; where ``all_known`` says that none is without, only
+    records from the heads on are read. The head itself is read again: its hash vouches for all
+    records before it, so a head that is gone, or has another hash than was verified, is the problem ``prefix``, and its
+    log has to be verified from the start.
+    """
+    heads = materialize(heads.select(key, "head", "head_place", "head_hash"), "heads")
+    if all_known:
+        # Heads of few logs reach the scan one by one, of many by the earliest.
+        few = heads.limit(FEW + 1).collect()
+        if len(few) <= FEW:
+            behind = [(F.col(key) == F.lit(r[key])) & (F.col(order) >= F.lit(r["head"])) for r in few]
+            events = events.where(functools.reduce(Column.__or__, behind, F.lit(False)))
+        else:
+            events = events.where(F.col(order) >= F.lit(heads.agg(F.min("head")).first()[0]))
+    rest = events.join(sized(heads), key, "left").where(F.col("head").isNull() | (F.col(order) >= F.col("head")))
+    numbered = ordered.with_row_number(rest, [key], [order], ordered.RECORDS, "_place")
+    place = F.col("_place") + F.coalesce(F.col("head_place") - 1, F.lit(0))
+    linked = ordered.with_previous(numbered, [key], [order], ["hash"], ordered.RECORDS, "_prev_")
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in payload])
+    is_head = F.coalesce(F.col(order) == F.col("head"), F.lit(False))
+    problem = (
+        F.when(is_head, F.when(F.col("hash") != F.col("head_hash"), "prefix"))
+        .when(F.col("idx") != place, "index")
+        .when(F.sha2(text, 256) != F.col("hash"), "hash")
+        .when(F.col("prev_hash") != F.coalesce("_prev_hash", seed), "link")
+    )
+    found = linked.withColumn("problem", problem).where("problem is not null")
+    found = found.drop("_place", "_prev_hash", "head", "head_place", "head_hash")
+    there = rest.where(F.col(order) == F.col("head")).select(key)
+    lost = heads.join(there.hint("merge"), key, "left_anti").select(key, F.col("head").alias(order), F.lit("prefix").alias("problem"))
+    return found.unionByName(lost, allowMissingColumns=True)
+
+
 def retention_select(
     results: DataFrame, keys: list[str], keep: int, age_s: int, now_s: Column,
     active: DataFrame | None = None, at_most: int = 8,

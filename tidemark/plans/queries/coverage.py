@@ -79,6 +79,25 @@ def coverage_frontier(f):
     )
 
 
+@query(
+    "coverage_chains",
+    """
+    with o_rows as (select *, case when cov_start > coalesce(max(cov_end) over (partition by symbol order by cov_start, cov_end rows between unbounded preceding and 1 preceding), -1) then 1 else 0 end as fresh
+      from (select symbol, cov_start, cov_end from {f_catalog_tiers}) c),
+    o_chain as (select *, sum(fresh) over (partition by symbol order by cov_start, cov_end rows unbounded preceding) as chain from o_rows)
+    select symbol, min(cov_start) as cov_start, max(cov_end) as cov_end from o_chain group by symbol, chain
+    """,
+)
+def coverage_chains(f):
+    """Entries are published in three parts, out of order; each part extends the stored intervals."""
+    entries = f.f_catalog_tiers.select(*coverage.CHAIN)
+    part = F.pmod(F.xxhash64("symbol", "cov_start"), F.lit(3))
+    stored = materialize(coverage.coverage_chains(entries.where(part == 0)), "chains")
+    for k in (1, 2):
+        stored = materialize(coverage.with_chains(stored, entries.where(part == k)), "chains")
+    return stored.select("symbol", "cov_start", "cov_end")
+
+
 # The greedy walk of one request over both tiers, one piece per step.
 WALK = """
 o_asks as (""" + ASKS + """),
