@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
-from tidemark.functions import numbers
+from tidemark.functions import clock, numbers
 from tidemark.operators.quality import PRICES
 from tidemark.session import sized
 
@@ -92,6 +92,9 @@ def affine_maps(factors: DataFrame) -> DataFrame:
     )
 
 
+WINDOW_DAYS = 256  # of one slice of a window
+
+
 def factor_window(factors: DataFrame, windows: DataFrame, model: str) -> DataFrame:
     """Events each (request_id, symbol, first_day, end_day) window works with.
 
@@ -99,17 +102,24 @@ def factor_window(factors: DataFrame, windows: DataFrame, model: str) -> DataFra
     """
     if model == fixed.MODEL_AFFINE:
         return windows.join(factors, "symbol")
-    before = windows.select("symbol", (F.col("first_day") - 1).alias("day"))
+    before = windows.select("symbol", (F.col("first_day") - 1).alias("day")).distinct()
     carry = factor_asof(
         before, factors.withColumn("carry_day", F.col("day")), ["carry_day"]
     ).select("symbol", (F.col("day") + 1).alias("first_day"), "carry_day")
-    from_day = F.coalesce("carry_day", "first_day")
-    return (
-        windows.join(carry, ["symbol", "first_day"], "left")
-        .join(factors, "symbol")
-        .where((F.col("day") >= from_day) & (F.col("day") < F.col("end_day")))
-        .drop("carry_day")
+    known = windows.join(carry, ["symbol", "first_day"], "left")
+    slice_of = lambda day: clock.floor_div(day.cast("bigint"), WINDOW_DAYS)
+    cut = known.where(F.col("end_day") > F.col("first_day")).withColumn(
+        "_slice", F.explode(F.sequence(slice_of(F.col("first_day")), slice_of(F.col("end_day") - 1)))
+    )
+    # Windows meet events by symbol and slice of days; the event carried in has a day of its own.
+    within = (
+        cut.join(factors.withColumn("_slice", slice_of(F.col("day"))), ["symbol", "_slice"])
+        .where((F.col("day") >= F.col("first_day")) & (F.col("day") < F.col("end_day")))
+        .drop("_slice", "carry_day")
     )
+    early = F.col("carry_day").isNotNull() & (F.col("carry_day") < F.col("first_day")) & (F.col("carry_day") < F.col("end_day"))
+    carried = known.where(early).withColumn("day", F.col("carry_day")).join(factors, ["symbol", "day"])
+    return within.unionByName(carried.select(within.columns))
 
 
 def forward_anchor(rows: DataFrame, keys: list[str], factor: str = "factor") -> DataFrame:

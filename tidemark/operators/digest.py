@@ -76,16 +76,19 @@ def _bits(x: Column, exponent: Column, kind: str) -> Column:
     return F.when(x.isNotNull(), F.when(negative, plain + sign).otherwise(plain))
 
 
-def _little(bits: Column, digits: int) -> Column:
-    """Hexadecimal text of a BIGINT's last bytes, the lowest first."""
-    text = F.lpad(F.hex(bits), digits, "0")
-    return F.concat(*[F.substring(text, i, 2) for i in range(digits - 1, 0, -2)])
+# Steps that turn the order of the bytes of a BIGINT around: neighbours change places, then pairs, then halves.
+_SWAPS = [(8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)]
+
+
+def _swapped(x: Column, bits: int, mask: int) -> Column:
+    low = F.shiftleft(x.bitwiseAND(F.lit(mask)), bits)
+    return low.bitwiseOR(F.shiftrightunsigned(x, bits).bitwiseAND(F.lit(mask)))
 
 
 def with_bits(df: DataFrame, layout: list[tuple[str, str]] = CONTENT) -> DataFrame:
     """Add the hexadecimal bytes of the layout's columns that ``df`` has, as ``_x_<name>``; NULL stays.
 
-    Exponents are a step of their own, so that they are computed once.
+    Exponents, bits and swaps are steps of their own, so that each is computed once.
     """
     present = [(n, k) for n, k in layout if n in df.columns]
     real = [(n, k) for n, k in present if k in FLOATS]
@@ -93,11 +96,15 @@ def with_bits(df: DataFrame, layout: list[tuple[str, str]] = CONTENT) -> DataFra
         n: (F.col(n).cast("float") if k == "<f4" else F.col(n)).cast("double") for n, k in real
     }
     df = df.withColumns({f"_e_{n}": _exponent(number[n], FLOATS[k][1]) for n, k in real})
-    texts = {
-        f"_x_{n}": _little(_bits(number[n], F.col(f"_e_{n}"), k), FLOATS[k][2]) for n, k in real
-    }
-    texts |= {f"_x_{n}": _little(F.col(n).cast("bigint"), 16) for n, k in present if k not in FLOATS}
-    return df.withColumns(texts).drop(*[f"_e_{n}" for n, _ in real])
+    bits = {f"_x_{n}": _bits(number[n], F.col(f"_e_{n}"), k) for n, k in real}
+    bits |= {f"_x_{n}": F.col(n).cast("bigint") for n, k in present if k not in FLOATS}
+    df = df.withColumns(bits).drop(*[f"_e_{n}" for n, _ in real])
+    for swap in _SWAPS:
+        df = df.withColumns({f"_x_{n}": _swapped(F.col(f"_x_{n}"), *swap) for n, _ in present})
+    # The lowest byte comes first now; a narrow number stands in the first digits.
+    digits = {n: FLOATS[k][2] if k in FLOATS else 16 for n, k in present}
+    texts = {n: F.lpad(F.hex(f"_x_{n}"), 16, "0") for n, _ in present}
+    return df.withColumns({f"_x_{n}": t if digits[n] == 16 else F.substring(t, 1, digits[n]) for n, t in texts.items()})
 
 
 def content_text(columns: list[str]) -> Column:

@@ -1,13 +1,13 @@
 """Building, comparing and verifying snapshots against their catalog."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import clock, identity
 from tidemark.operators import coverage, digest, ordered, quality
 from tidemark.schemas import SERIES
-from tidemark.session import sized
+from tidemark.session import materialize, sized
 
 ENTRY = [*SERIES, "cov_start", "cov_end"]
 
@@ -172,12 +172,19 @@ def bounded_export(bars: DataFrame, ranges: DataFrame, limit: int) -> DataFrame:
     from tidemark.operators import scan
 
     keep = ["request_id", *SERIES, "ts_ms", *quality.PRICES, "volume", "open_oi", "close_oi"]
-    rows = scan.range_scan(bars, ranges).select(*keep)
     order = ["ts_ms", *quality.PRICES, "volume", "open_oi", "close_oi"]
-    numbered = ordered.with_row_number(rows, ["request_id"], order)
-    top = numbered.where(F.col("rn") <= limit + 1)
-    over = top.groupBy("request_id").agg((F.max("rn") > limit).alias("incomplete"))
-    return top.join(over, "request_id")
+    slices = scan.piece_slices(ranges.select("request_id", *SERIES, "lo", "hi"))
+    # Days are counted first; only those that the limit reaches are read again and numbered.
+    counted = scan.rows_of_slices(slices, bars, SERIES).groupBy("request_id", ordered.SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    days = Window.partitionBy("request_id").orderBy(ordered.SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    all_rows = F.sum("_n").over(Window.partitionBy("request_id"))
+    reach = counted.select(
+        "request_id", ordered.SLICE, F.coalesce(F.sum("_n").over(days), F.lit(0)).alias("_off"), (all_rows > limit).alias("incomplete")
+    )
+    needed = materialize(slices.join(reach, ["request_id", ordered.SLICE]).where(F.col("_off") <= limit), "slices")
+    inside = Window.partitionBy("request_id", ordered.SLICE).orderBy(*order)
+    numbered = scan.rows_of_slices(needed, bars, SERIES).withColumn("rn", F.row_number().over(inside) + F.col("_off"))
+    return numbered.where(F.col("rn") <= limit + 1).select(*keep, "rn", "incomplete")
 
 
 PROOF_KEY = [*SERIES, "requested_start_ms", "requested_end_ms"]
