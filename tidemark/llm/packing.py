@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import SLICE, Encoder, default_path
+from tidemark.llm.bpe import Encoder, default_path
 from tidemark.llm.texts import slices
 from tidemark.session import materialize
 
 CAPACITY = 2048
+SLICE_BYTES = 2 << 20  # of texts that are encoded at once: smaller ones cost no more time, and less memory
 END_ID = 0
 PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -43,7 +44,7 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> D
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", SLICE_BYTES):
                 ids, first = encoder(part.column("text"))
                 n = part.num_rows
                 ends = first[1:] + np.arange(1, n + 1)  # each text's ids and its end id
