@@ -4,10 +4,11 @@ import hashlib
 import json
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import fixed
-from tidemark.operators import snapshot
+from tidemark.operators import digest, snapshot
 from tidemark.plans.fixtures import Shapes
 from tidemark.session import materialize, scratch
 from tidemark.sources import bars as bar_files
@@ -100,15 +101,65 @@ def test_binary_export_files(spark, tmp_path):
         [(fixed.DATASET_NATIVE, "SZ", f"{n}.SZ", T, T + 10**8, 300, f"{n}.bin") for n in "abcd"],
         "dataset string, market string, symbol string, cov_start long, cov_end long, row_count long, file string",
     )
-    files = exports.binary_files(spark, str(tmp_path))
+    files = exports.export_files(spark, str(tmp_path))
     problems = {r.file: r.problem for r in exports.export_problems(files, entries).collect()}
     assert problems == {"b.bin": "length", "c.bin": "row_count", "d.bin": "no_file"}
-    rows = exports.ingest_exports(files, entries).orderBy("row_no").collect()
+    rows = exports.ingest_exports(spark, str(tmp_path), entries, fixed.DATASET_NATIVE).orderBy("row_no").collect()
     assert len(rows) == 300 and {r.symbol for r in rows} == {"a.SZ"}
     assert rows[3].open is None and rows[3].close is None and rows[3].high == 0.0
     assert rows[7].volume == 2**53 + 7 and rows[7].open == 8.0 and rows[7].row_no == 7
 
 
+def bars_to_export(spark, n):
+    rows = [(f"{'ab'[i % 2]}.bin", i // 2, T + i * 30000, -0.0 if i == 4 else 1.5 * i, None if i % 7 == 3 else 2.0, 0.5, 1.25, i, 2**53 + i, 0) for i in range(n)]
+    schema = "file string, row_no long, ts_ms long, open double, high double, low double, close double, volume long, open_oi long, close_oi long"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_written_exports_hold_the_exact_records(spark, tmp_path):
+    """One file per name, byte for byte the payload that digests cover."""
+    rows = bars_to_export(spark, 1001)
+    exports.write_exports(rows.orderBy(F.rand(1)), str(tmp_path / "x"), fixed.ENCODING_NATIVE)
+    want = digest.rows_digest(rows, ["file"], fixed.ENCODING_NATIVE, payload=True).collect()
+    assert {p.name: p.read_bytes() for p in (tmp_path / "x").iterdir() if not p.name.startswith(".")} == {r.file: bytes(r.data) for r in want}
+    exports.write_exports(rows.where("row_no < 0"), str(tmp_path / "none"), fixed.ENCODING_NATIVE)
+
+
+@pytest.mark.parametrize("pushed", ["true", "false"])
+def test_exports_are_read_in_ranges(spark, tmp_path, pushed, monkeypatch):
+    """One file over many tasks, columns and times chosen, nothing shuffled."""
+    rows = bars_to_export(spark, 1001)
+    folder = str(tmp_path / "x")
+    exports.write_exports(rows, folder, fixed.ENCODING_NATIVE)
+    spark.conf.set(exports.PUSHDOWN, pushed)
+    try:
+        found = exports.scan_exports(spark, folder, fixed.ENCODING_NATIVE, split=64 * 100 + 7)
+        assert found.rdd.getNumPartitions() == 11 and "Exchange" not in plan_of(spark, found)
+        assert snapshot.exact_rows_diff(found, rows, rows.columns).count() == 0
+        some = exports.scan_exports(spark, folder, fixed.ENCODING_NATIVE, ["file", "ts_ms"], split=6400)
+        low, high = T + 90000, T + 9000000
+        cut = some.where((F.col("ts_ms") >= low) & (F.col("ts_ms") < high))
+        assert some.columns == ["file", "ts_ms"]
+        assert sorted(cut.collect()) == sorted(rows.where(f"ts_ms >= {low} and ts_ms < {high}").select("file", "ts_ms").collect())
+        assert some.where(F.col("ts_ms") == low).count() == 1 and some.where("ts_ms > 5 and ts_ms < 5").count() == 0
+        (tmp_path / "empty").mkdir()
+        assert exports.scan_exports(spark, str(tmp_path / "empty"), fixed.ENCODING_NATIVE).count() == 0
+    finally:
+        spark.conf.unset(exports.PUSHDOWN)
+
+
+def test_arriving_exports_are_read_once(spark, tmp_path):
+    """Files that come between runs of a stream: each row once, long files cut."""
+    folder, stored, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = bars_to_export(spark, 1001)
+    for name in ("a.bin", "b.bin"):
+        exports.write_exports(rows.where(F.col("file") == name), folder, fixed.ENCODING_NATIVE)
+        arriving = exports.stream_exports(spark, folder, fixed.ENCODING_NATIVE, split=6400, maxFilesPerTrigger=1)
+        query = arriving.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True)
+        query.start(stored).awaitTermination()
+    assert snapshot.exact_rows_diff(spark.read.parquet(stored), rows, rows.columns).count() == 0
+
+
 def factor_doc(**changes):
     doc = {
         "schema_version": 1, "kind": "ddb-adjustment-snapshot-v1", "algorithm": "upcloud-adjustment-v1",

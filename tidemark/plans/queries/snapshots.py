@@ -143,6 +143,16 @@ def suspension_scan(f):
     )
 
 
+def _export_name():
+    return F.concat_ws("-", "symbol", F.col("cov_start").cast("string"))
+
+
+def _export(f, folder: str) -> None:
+    rows = snapshot.rows_by_entry(f.f_catalog, f.f_bars_nullable)
+    numbered = rows.select("*", _export_name().alias("file"), F.col("ts_ms").alias("row_no"))
+    exports.write_exports(numbered, folder, fixed.ENCODING_NATIVE)
+
+
 @query(
     "export_ingest",
     """
@@ -151,15 +161,36 @@ def suspension_scan(f):
     """,
 )
 def export_ingest(f):
-    """Bars packed to binary exports, one per entry, and ingested again."""
-    rows = snapshot.rows_by_entry(f.f_catalog, f.f_bars_nullable)
-    packed = digest.rows_digest(rows, snapshot.ENTRY, fixed.ENCODING_NATIVE, payload=True)
-    name = F.concat_ws("-", "symbol", F.col("cov_start").cast("string"))
-    files = packed.select(name.alias("file"), F.col("data").alias("content"))
-    entries = f.f_catalog.where("row_count > 0").withColumn("file", name)
-    return exports.ingest_exports(files, entries).select(
-        "symbol", "cov_start", "row_no", "ts_ms", "open", "high", "close", "volume", "open_oi", "close_oi"
-    )
+    """Bars written to binary export files, one per entry, and read again in ranges of records."""
+    folder, columns = scratch(f.spark, "exports"), ["row_no", "ts_ms", "open", "high", "close", "volume", "open_oi", "close_oi"]
+    _export(f, folder)
+    entries = f.f_catalog.where("row_count > 0").withColumn("file", _export_name())
+    return exports.ingest_exports(f.spark, folder, entries, fixed.DATASET_NATIVE, columns).select("symbol", "cov_start", *columns)
+
+
+@query(
+    "export_arrivals",
+    """
+    select concat(symbol, '-', cast(cov_start as varchar)) as file, count(*) as rows, min(ts_ms) as first_ms, max(ts_ms) as last_ms,
+      cast(sum(volume) as bigint) as volume, count(close) as closes
+    from (select b.*, c.cov_start from {f_bars_nullable} b join {f_catalog} c on c.symbol = b.symbol and b.ts_ms >= c.cov_start and b.ts_ms < c.cov_end) x
+    group by symbol, cov_start
+    """,
+)
+def export_arrivals(f):
+    """Export files taken up as they arrive, each once, and summed up by file."""
+    folder, stored = scratch(f.spark, "exports"), scratch(f.spark, "arrived")
+    _export(f, folder)
+    columns = ["file", "ts_ms", "close", "volume"]
+    # As many files in a micro-batch as keep all tasks busy.
+    files = f.spark.sparkContext.defaultParallelism * 64
+    rows = exports.stream_exports(f.spark, folder, fixed.ENCODING_NATIVE, columns, maxFilesPerTrigger=files)
+    out = rows.writeStream.format("parquet").option("checkpointLocation", scratch(f.spark, "state"))
+    out.trigger(availableNow=True).start(stored).awaitTermination()
+    return f.spark.read.schema(rows.schema).parquet(stored).groupBy("file").agg(
+        F.count("*").alias("rows"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"),
+        F.sum("volume").alias("volume"), F.count("close").alias("closes"),
+    )
 
 
 @query(
