@@ -325,6 +325,19 @@ def test_cache_and_table_change_nothing(monkeypatch, pairs):
         assert np.array_equal(plain[0], again[0]) and np.array_equal(plain[1], again[1])
 
 
+def test_table_holds_words_as_they_are_looked_up(spark):
+    """Every entry of the table is hit: no word of it is encoded again."""
+    path = bpe.default_path()
+    texts = ["Over, over OVER; the well-known É. É, Well-known", "over! é the the well-known well-known , ,", None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    table = bpe.word_table(docs, path)
+    assert set(table) == {"over", "the", "é", "well-known", ","}
+    encoder = bpe.Encoder(path, table)
+    encoder(pa.array(texts))
+    assert set(encoder.known) - set(table) == {"", ",", ";", "!", ".", "Well-known"} - set(table)
+    assert all(encoder.known[w] == bpe.encode_words(path, [w])[0] for w in table)
+
+
 def test_languages_are_learned(spark):
     rng = random.Random(8)
     stems = {"aa": ["tion", "the", "ing", "ent"], "bb": ["ung", "sch", "ein", "keit"], "cc": ["ñar", "ción", "los", "que"]}

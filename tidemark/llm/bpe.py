@@ -33,7 +33,8 @@ TABLE_CHARS = 64  # a longer word is never in it, which bounds its bytes
 CACHE_WORDS = 300_000  # encoded words that a worker holds on to
 SLICE = 8 << 20
 # Letters whose lower case and composition depend on no neighbour, then marks.
-PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,!?;:]*)$"
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", ".,!?;:"
+PLAIN = f"^(?P<letters>{LETTERS})(?P<marks>[{MARKS}]*)$"
 LINE_WORDS = 2_000
 
 Table = dict[str, bytes]
@@ -166,14 +167,16 @@ def _gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np
 def word_table(docs: DataFrame, path: str, size: int = TABLE_WORDS) -> Table:
     """The frequent words of all texts with their ids, each encoded once.
 
-    A word is frequent if it makes up at least one in ``size`` of the counted words, so
+    Words are counted as ``Encoder`` looks them up: plain ones in lower case without the marks behind them, others
+    whole. A word is frequent if it makes up at least one in ``size`` of the counted words, so
     there are at most ``size`` of them, of at most ``TABLE_CHARS`` characters; what reaches the
     driver and the tasks has a bound that doesn't grow with the corpus, and nothing is sorted.
     """
-    split = F.explode(F.split(F.col("text").cast("string"), "[ \\t-\\r]+"))
+    split = docs.select(F.explode(F.split(F.col("text").cast("string"), "[ \\t-\\r]+")).alias("raw"))
+    plain = F.col("raw").rlike(f"^{LETTERS}[{MARKS}]*\\z")
     counted = materialize(
-        docs.select(split.alias("word"))
-        .where(F.char_length("word").between(1, TABLE_CHARS))
+        split.where(F.char_length("raw").between(1, TABLE_CHARS))
+        .select(F.when(plain, F.lower(F.rtrim("raw", F.lit(MARKS)))).otherwise(F.col("raw")).alias("word"))
         .groupBy("word").count()
         .where(F.col("count") > 1),
         "words",
