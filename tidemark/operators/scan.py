@@ -48,6 +48,15 @@ def range_scan(bars: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows_of_slices(piece_slices(wanted), bars, SERIES).drop(SLICE, "lo", "hi")
 
 
+def with_reach(slices: DataFrame, reach: DataFrame) -> DataFrame:
+    """Day slices with what was counted for them; neither side is ever broadcast.
+
+    Slices were exploded from pieces, so the optimizer, which sees the size of the
+    pieces, would gather them on the driver.
+    """
+    return slices.hint("merge").join(reach, ["request_id", SLICE])
+
+
 def first_n(
     pieces: DataFrame,
     bars: DataFrame,
@@ -92,9 +101,7 @@ def first_n(
         "request_id", SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
     )
     # Request days within reach: written once, so that they can be counted for the join.
-    needed = materialize(
-        slices.join(reach, ["request_id", SLICE]).where("_off < max_rows"), "slices"
-    )
+    needed = materialize(with_reach(slices, reach).where("_off < max_rows"), "slices")
     inside = (
         Window.partitionBy("request_id", SLICE)
         .orderBy("ts_ms")

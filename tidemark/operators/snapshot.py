@@ -181,7 +181,7 @@ def bounded_export(bars: DataFrame, ranges: DataFrame, limit: int) -> DataFrame:
     reach = counted.select(
         "request_id", ordered.SLICE, F.coalesce(F.sum("_n").over(days), F.lit(0)).alias("_off"), (all_rows > limit).alias("incomplete")
     )
-    needed = materialize(slices.join(reach, ["request_id", ordered.SLICE]).where(F.col("_off") <= limit), "slices")
+    needed = materialize(scan.with_reach(slices, reach).where(F.col("_off") <= limit), "slices")
     inside = Window.partitionBy("request_id", ordered.SLICE).orderBy(*order)
     numbered = scan.rows_of_slices(needed, bars, SERIES).withColumn("rn", F.row_number().over(inside) + F.col("_off"))
     return numbered.where(F.col("rn") <= limit + 1).select(*keep, "rn", "incomplete")
