@@ -43,3 +43,11 @@ def test_exploded_slices_are_not_broadcast(spark, written, operator):
     first = rows.groupBy("request_id").agg(F.sort_array(F.collect_list("ts_ms")).alias("at"))
     step = DAY // 4
     assert {r.request_id: r["at"] for r in first.collect()} == {"r0": [0, step, 2 * step], "r1": [DAY, DAY + step, DAY + 2 * step]}
+
+
+def test_factor_documents_are_parsed_once(spark):
+    from tidemark.sources import factors
+
+    sets, events = factors.read_factors(spark.createDataFrame([("{}",), ("no document",)], "value string"))
+    assert "from_json" not in plan(sets) and "from_json" not in plan(events)
+    assert sets.where("problem is not null").count() == 2 and events.count() == 0

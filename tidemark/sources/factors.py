@@ -223,10 +223,11 @@ def _events(checked: DataFrame, *keys: str) -> DataFrame:
 
 def read_factors(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(factor sets with ``problem``, events) of documents that hold their rows, as text in ``value``."""
-    parsed = strict_json_doc(docs, "value", FACTOR_DOC, ROW_FIELDS | CHECK_FIELDS)
+    # Parsed and judged documents are written: rules, sets and events would each parse and judge them again.
+    parsed = materialize(strict_json_doc(docs.select("value"), "value", FACTOR_DOC, ROW_FIELDS | CHECK_FIELDS), "documents")
     kinds = {fixed.KIND_FACTORS: 1, fixed.KIND_FACTORS_CHECKED: 3}
     problem = F.coalesce(_size_problem(), "problem", _set_problem(kinds), _observation_problem(), _rows_problem())
-    checked = parsed.withColumn("problem", problem)
+    checked = materialize(parsed.withColumn("problem", problem), "judged")
     sets = checked.select(
         "doc.symbol",
         "doc.market",
