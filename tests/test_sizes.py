@@ -51,3 +51,20 @@ def test_factor_documents_are_parsed_once(spark):
     sets, events = factors.read_factors(spark.createDataFrame([("{}",), ("no document",)], "value string"))
     assert "from_json" not in plan(sets) and "from_json" not in plan(events)
     assert sets.where("problem is not null").count() == 2 and events.count() == 0
+
+
+def test_short_exports_share_a_batch(tmp_path):
+    import numpy as np
+
+    from tidemark import fixed
+    from tidemark.operators.digest import RECORDS
+    from tidemark.sources.exports import ExportReader
+
+    for k in range(20):
+        records = np.zeros(3, RECORDS[fixed.ENCODING_NATIVE])
+        records["ts_ms"] = range(3 * k, 3 * k + 3)
+        (tmp_path / f"f{k:02}").write_bytes(records.tobytes())
+    reader = ExportReader({"path": str(tmp_path), "encoding": fixed.ENCODING_NATIVE}, ["file", "ts_ms"])
+    found = [b for span in reader.partitions() for b in reader.read(span)]
+    assert len(found) == 1
+    assert found[0].to_pylist() == [{"file": f"f{n // 3:02}", "ts_ms": n} for n in range(60)]

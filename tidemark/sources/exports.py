@@ -4,6 +4,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,19 @@ def records_of(path: str, first: int, end: int, encoding: str, columns: list[str
             yield pa.RecordBatch.from_arrays(values, schema=schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``BLOCK``: many short files do not make as many batches."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BLOCK:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class ExportReader(DataSourceReader):
     def __init__(self, options: dict, columns: list[str]):
         self.path, self.encoding = options["path"], options["encoding"]
@@ -138,8 +152,8 @@ class ExportReader(DataSourceReader):
         return cut or [Span([])]
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        for part in partition.parts:
-            yield from records_of(*part, self.encoding, self.columns, self.low, self.high)
+        parts = (records_of(*part, self.encoding, self.columns, self.low, self.high) for part in partition.parts)
+        yield from gathered(chain.from_iterable(parts))
 
 
 class PushingReader(ExportReader):
@@ -274,9 +288,9 @@ def stream_exports(spark: SparkSession, path: str, encoding: str, columns: list[
     dealt = cut.select("path", "first", F.least("n", F.col("first") + step).alias("end")).repartition("path", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from records_of(row["path"], row["first"], row["end"], encoding, columns, None, None)
+        found = (row for batch in batches for row in batch.to_pylist())
+        parts = (records_of(row["path"], row["first"], row["end"], encoding, columns, None, None) for row in found)
+        yield from gathered(chain.from_iterable(parts))
 
     return dealt.mapInArrow(run, ddl(encoding, columns))
 
