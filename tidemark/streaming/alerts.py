@@ -1,20 +1,20 @@
 """Alert delivery per instance: what is worth sending, and whether the budget allows it.
 
-Reports are judged in runs. Between two attempts nothing that a decision rests on
-changes, so all reports up to the next attempt are judged at once as arrays; only
-attempts, of which an hour has few, are taken one by one. Stream and batch share this.
+Every decision rests on a state of a few numbers, so reports are judged one by one in order, many instances in one
+call. Stream and batch share this.
 """
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from tidemark import fixed
+from tidemark.streaming import buckets
 from tidemark.streaming.inorder import InOrder
 
 INPUT = ["instance", "observed_s", "seq", "severity", "codes", "send_ok"]
@@ -23,13 +23,8 @@ OUTPUT = (
     "delivery STRING, event STRING, notification_failed BOOLEAN"
 )
 NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
-STATE = (
-    "latest_s BIGINT, told STRING, told_ok BOOLEAN, told_s BIGINT, tried_s BIGINT, "
-    "in_hour INT, in_day INT, failing BOOLEAN"
-)
 HOUR, DAY = 3600, 86400
 NEVER = -(1 << 40)
-AHEAD = 4096  # reports judged at once
 
 
 @dataclass
@@ -45,18 +40,15 @@ class Delivery:
     in_day: int = 0
     failing: bool = False
 
-    def due(self, at: np.ndarray, report: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        """Reports worth an attempt that the budget allows, given this state."""
-        news = (report != self.told) | (at - self.told_s >= fixed.REMINDER_S)
-        matters = ~ok | (not self.told_ok) | self.failing
-        spent_hour = np.where(at // HOUR == self.tried_s // HOUR, self.in_hour, 0)
-        spent_day = np.where(at // DAY == self.tried_s // DAY, self.in_day, 0)
-        allowed = (
-            (at - self.tried_s >= fixed.COOLDOWN_S)
-            & (spent_hour < fixed.HOURLY_CAP)
-            & (spent_day < fixed.DAILY_CAP)
+    def due(self, at: int, report: str, ok: bool) -> bool:
+        """Whether a report is worth an attempt that the budget allows, given this state."""
+        return (
+            (not ok or not self.told_ok or self.failing)
+            and (report != self.told or at - self.told_s >= fixed.REMINDER_S)
+            and at - self.tried_s >= fixed.COOLDOWN_S
+            and (at // HOUR != self.tried_s // HOUR or self.in_hour < fixed.HOURLY_CAP)
+            and (at // DAY != self.tried_s // DAY or self.in_day < fixed.DAILY_CAP)
         )
-        return news & matters & allowed
 
     def attempt(self, at: int, report: str, ok: bool, answered: bool) -> None:
         """Count an attempt, whatever the answer, and note what was delivered."""
@@ -67,53 +59,38 @@ class Delivery:
             self.told, self.told_ok, self.told_s = report, ok, at
 
 
-def decide(state: Delivery, reports: pd.DataFrame) -> pd.DataFrame:
-    """Decisions on the reports of one instance in order; ``state`` moves on.
+def judge(known: dict[str | None, Delivery], reports: pd.DataFrame) -> pd.DataFrame:
+    """Decisions on reports that are in order for each instance; the states in ``known``, which makes new ones, move on.
 
     ``send_ok`` is what the receiver answered; NULL counts as failed. A report older than
     one before it shows a clock that went back: it is flagged and changes nothing.
     """
-    n = len(reports)
-    at = reports["observed_s"].to_numpy(dtype=np.int64)
-    severity = reports["severity"].to_numpy(dtype=object)
-    codes = reports["codes"].to_numpy(dtype=object)
-    report = np.array([f"{s}:{c}" for s, c in zip(severity, codes)], dtype=object)
-    ok = severity == "ok"
-    answered = np.array([v is not None and v == True for v in reports["send_ok"]], dtype=bool)  # noqa: E712
-    newest = np.maximum.accumulate(np.concatenate([[state.latest_s], at]))
-    back = at < newest[:-1]
-    delivery = np.full(n, "suppressed", dtype=object)
-    event = np.full(n, None, dtype=object)
-    failing = np.empty(n, dtype=bool)
-    start = 0
-    while start < n:
-        stop = min(start + AHEAD, n)
-        run = slice(start, stop)
-        hits = np.flatnonzero(state.due(at[run], report[run], ok[run]) & ~back[run])
-        if not len(hits):
-            failing[run] = state.failing
-            start = stop
-            continue
-        i = start + int(hits[0])
-        failing[start:i] = state.failing
-        state.attempt(int(at[i]), report[i], bool(ok[i]), bool(answered[i]))
-        failing[i] = state.failing
-        delivery[i] = "failed" if state.failing else "sent"
-        event[i] = "recovery" if ok[i] else "alert"
-        start = i + 1
-    state.latest_s = int(newest[-1])
-    shown = np.where(back, "critical", severity), np.where(back, fixed.CLOCK_CODE, codes)
-    columns = [reports["instance"].to_numpy(), at, reports["seq"].to_numpy(), *shown, delivery, event, failing]
-    return pd.DataFrame(dict(zip(NAMES, columns)))
+    out = []
+    for instance, at, seq, severity, codes, answered in zip(*[reports[c].astype(object).tolist() for c in INPUT]):
+        state, delivery, event = known[instance], "suppressed", None
+        if at < state.latest_s:
+            severity, codes = "critical", fixed.CLOCK_CODE
+        else:
+            state.latest_s = at
+            report, ok = f"{severity}:{codes}", severity == "ok"
+            if state.due(at, report, ok):
+                state.attempt(at, report, ok, not pd.isna(answered) and bool(answered))
+                delivery, event = "failed" if state.failing else "sent", "recovery" if ok else "alert"
+        out.append((instance, at, seq, severity, codes, delivery, event, state.failing))
+    return pd.DataFrame(out, columns=NAMES)
+
+
+def decide(state: Delivery, reports: pd.DataFrame) -> pd.DataFrame:
+    """Decisions on the reports of one instance in order; ``state`` moves on."""
+    return judge(defaultdict(lambda: state), reports)
 
 
 class Deliveries(InOrder):
     """Attempts with a reservation and an outcome: an attempt counts as failed until its answer puts it right."""
 
     ROW = "at_s BIGINT, seq BIGINT, severity STRING, codes STRING, accepted BOOLEAN"  # severity NULL: an outcome
-    STATE = f"{STATE}, attempt BIGINT, until_s BIGINT, news STRING, news_ok BOOLEAN"
     OUTPUT = "instance STRING, seq BIGINT, at_s BIGINT, step STRING, event STRING"
-    NONE = (None, None, None, None)
+    NONE = (None, None, None, None)  # of an open attempt: seq, end of waiting, report, whether it is ok
 
     def __init__(self, wait_s: int):
         if wait_s >= fixed.COOLDOWN_S:
@@ -150,24 +127,18 @@ class Deliveries(InOrder):
 
         if pending[0] is not None:
             settle()
-        at = np.array([r[0] for r in reports], np.int64)
-        signs = np.array([f"{r[2]}:{r[3]}" for r in reports], object)
-        ok = np.array([r[2] == "ok" for r in reports], bool)
-        start = 0
-        while start < len(reports):
-            run = slice(start, start + AHEAD)
+        for at, seq, severity, codes, _ in reports:
+            report, ok = f"{severity}:{codes}", severity == "ok"
             # While an attempt is open none can follow: it is settled long before its cooldown ends.
-            hits = np.flatnonzero(known.due(at[run], signs[run], ok[run])) if pending[0] is None else ()
-            stop = start + int(hits[0]) if len(hits) else min(start + AHEAD, len(reports))
-            out += [(key, reports[i][1], reports[i][0], "suppressed", None) for i in range(start, stop)]
-            if len(hits):
-                known.attempt(int(at[stop]), signs[stop], bool(ok[stop]), False)
-                pending = (reports[stop][1], int(at[stop]) + self._wait_s, signs[stop], bool(ok[stop]))
-                out.append((key, reports[stop][1], reports[stop][0], "attempt", "recovery" if ok[stop] else "alert"))
-                settle()
-                stop += 1
-            start = stop
-        known.latest_s = max(known.latest_s, int(at[-1])) if len(at) else known.latest_s
+            if pending[0] is not None or not known.due(at, report, ok):
+                out.append((key, seq, at, "suppressed", None))
+                continue
+            known.attempt(at, report, ok, False)
+            pending = (seq, at + self._wait_s, report, ok)
+            out.append((key, seq, at, "attempt", "recovery" if ok else "alert"))
+            settle()
+        if reports:
+            known.latest_s = max(known.latest_s, reports[-1][0])
         deadline = pending[1] + 1 if pending[0] is not None else None
         return (*astuple(known), *pending), out, [], deadline
 
@@ -179,7 +150,7 @@ def alert_delivery(reports: DataFrame, outcomes: DataFrame, wait_s: int = 10, de
     sent) and accepted. A report that is worth an attempt, and that the budget allows, is an ``attempt``: it is counted, and
     failed, before it is sent. Its first answer within ``wait_s`` seconds makes it ``sent`` or ``failed``; without one it
     is ``expired``, and a later answer changes nothing. Other reports are ``suppressed``. Both streams are taken in order of time, so
-    that the result is the same for any micro-batches within ``delay``. Needs the RocksDB state store provider.
+    that the result is the same for any micro-batches within ``delay``.
     """
     timed = [
         df.select(F.col("instance").cast("string"), F.timestamp_seconds(at).alias("time"), F.col(at).cast("long").alias("at_s"), "seq", *rest)
@@ -189,37 +160,24 @@ def alert_delivery(reports: DataFrame, outcomes: DataFrame, wait_s: int = 10, de
             (outcomes, "answered_s", [F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("codes"), "accepted"]),
         )
     ]
-    return (
-        timed[0].unionByName(timed[1]).groupBy("instance")
-        .transformWithStateInPandas(Deliveries(wait_s), Deliveries.OUTPUT, "append", "eventTime")
-    )
-
+    return Deliveries(wait_s).over(timed[0].unionByName(timed[1]))
 
-class Throttle(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("delivery", STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = Delivery(*self._state.get()) if self._state.exists() else Delivery()
-        # A micro-batch of one instance: its reports since the last trigger.
-        yield decide(state, pd.concat(list(rows)).sort_values("seq", kind="stable"))
-        self._state.update(astuple(state))
+def throttle(key: tuple, reports: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A micro-batch of one bucket: the reports of its instances since the last trigger."""
+    known = defaultdict(Delivery, {instance: Delivery(*kept) for instance, kept in buckets.load(state)})
+    yield judge(known, pd.concat(list(reports)).sort_values("seq", kind="stable"))
+    buckets.store(state, [(instance, astuple(kept)) for instance, kept in known.items()])
 
-    def close(self) -> None:
-        pass
 
-
-def alert_throttle(stream: DataFrame) -> DataFrame:
-    """Decisions of a stream of reports; needs the RocksDB state store provider.
+def alert_throttle(stream: DataFrame, count: int = buckets.COUNT) -> DataFrame:
+    """Decisions of a stream of reports.
 
     Reports are taken in ``seq`` order, the order in which the monitor made them. The
     source's trigger limit (``maxFilesPerTrigger``) bounds what a task sorts at once.
     """
-    return (
-        stream.select(F.col("instance").cast("string"), *INPUT[1:])
-        .groupBy("instance")
-        .transformWithStateInPandas(Throttle(), OUTPUT, "append", "none")
-    )
+    rows = stream.select(F.col("instance").cast("string"), *INPUT[1:])
+    return buckets.grouped(rows, count).applyInPandasWithState(throttle, OUTPUT, buckets.STATE, "append", "NoTimeout")
 
 
 def alert_throttle_batch(reports: DataFrame) -> DataFrame:
@@ -232,12 +190,13 @@ def alert_throttle_batch(reports: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, Delivery()
+        known = defaultdict(Delivery)
         for pdf in batches:
-            for instance, part in pdf.groupby("instance", sort=False, dropna=False):
-                if instance != current:
-                    current, state = instance, Delivery()
-                yield decide(state, part)
+            if not len(pdf):
+                continue
+            yield judge(known, pdf)
+            last = pdf["instance"].iloc[-1]
+            known = defaultdict(Delivery, {last: known[last]})
 
     return (
         reports.select(F.col("instance").cast("string"), *INPUT[1:])

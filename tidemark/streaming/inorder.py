@@ -1,25 +1,27 @@
 """Keyed streams whose rows count in event-time order, whatever the order and the cut of their arrival.
 
-A row waits in the state of its key until the watermark has passed its time; then it is taken, in
+A row waits in the state of its instance until the watermark has passed its time; then it is taken, in
 order, with everything else that is due. So results do not depend on micro-batches. Waiting rows are those of the
-watermark's delay, and what was derived from older ones is a small state.
+watermark's delay, and what was derived from older ones is a small state. Instances share state rows (``buckets``).
 """
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState
 
+from tidemark.streaming import buckets
 
-class InOrder(StatefulProcessor):
+
+class InOrder:
     """Subclasses name their schemas and say what rows that are complete up to a second lead to."""
 
     ROW: str  # of waiting rows; the first field is at_s BIGINT
-    STATE: str
     OUTPUT: str
 
     def start(self) -> tuple:
-        """State of a key without rows."""
+        """State of an instance without rows; its values are numbers, texts, booleans and NULL."""
         raise NotImplementedError
 
     def advance(self, key: str, state: tuple, rows: list[tuple], now_s: int) -> tuple[tuple, list[tuple], list[tuple], int | None]:
@@ -29,41 +31,38 @@ class InOrder(StatefulProcessor):
         """
         raise NotImplementedError
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._names = [part.split()[0] for part in self.OUTPUT.split(", ")]
-        self._fields = [part.split()[0] for part in self.ROW.split(", ")]
-        self._waiting = handle.getListState("waiting", self.ROW)
-        self._state = handle.getValueState("state", self.STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        for pdf in rows:
-            held = [tuple(None if pd.isna(v) else v for v in r) for r in pdf[self._fields].astype(object).itertuples(index=False)]
-            if held:
-                self._waiting.appendList([(int(r[0]), *r[1:]) for r in held])
-                first = min(int(r[0]) for r in held)
-                earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self._handle.registerTimer(earliest * 1000)
-        yield pd.DataFrame(columns=self._names)
+    def over(self, rows: DataFrame, count: int = buckets.COUNT) -> DataFrame:
+        """Output of rows with ``instance``, a watermark and the fields of ``ROW``."""
+        names = [part.split()[0] for part in self.OUTPUT.split(", ")]
+        fields = [part.split()[0] for part in self.ROW.split(", ")]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now_s = timerValues.getCurrentWatermarkInMs() // 1000
-        rows = [tuple(r) for r in self._waiting.get()] if self._waiting.exists() else []
-        due = sorted((r for r in rows if r[0] <= now_s), key=lambda r: tuple((v is None, v) for v in r))
-        state = tuple(self._state.get()) if self._state.exists() else self.start()
-        state, out, kept, deadline = self.advance(key[0], state, due, now_s)
-        self._state.update(state)
-        left = kept + [r for r in rows if r[0] > now_s]
-        if left:
-            self._waiting.put(left)
-        else:
-            self._waiting.clear()
-        later = [r[0] for r in left if r[0] > now_s] + ([deadline] if deadline is not None and deadline > now_s else [])
-        if later:
-            self._handle.registerTimer(min(later) * 1000)
-        yield pd.DataFrame(out, columns=self._names)
+        def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            # Of each instance: its state, the rows that wait, and the next second at which time alone matters.
+            known = {instance: (tuple(kept), [tuple(r) for r in waiting], due) for instance, (kept, waiting, due) in buckets.load(state)}
+            if not state.hasTimedOut:
+                for pdf in batches:
+                    columns = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in ["instance", *fields]]
+                    for instance, *row in zip(*columns):
+                        if instance not in known:
+                            known[instance] = (self.start(), [], None)
+                        known[instance][1].append(tuple(row))
+            watermark_ms = state.getCurrentWatermarkMs()
+            now_s = watermark_ms // 1000
+            out: list[tuple] = []
+            wake = None
+            for instance, (kept, waiting, deadline) in known.items():
+                due = sorted((r for r in waiting if r[0] <= now_s), key=lambda r: tuple((v is None, v) for v in r))
+                if due or (deadline is not None and deadline <= now_s):
+                    kept, found, back, deadline = self.advance(instance, kept, due, now_s)
+                    out += found
+                    waiting = back + [r for r in waiting if r[0] > now_s]
+                    known[instance] = (kept, waiting, deadline)
+                later = [r[0] for r in waiting] + ([deadline] if deadline is not None else [])
+                if later:
+                    wake = min(later) if wake is None else min(wake, min(later))
+            buckets.store(state, list(known.items()))
+            if wake is not None:
+                state.setTimeoutTimestamp(max(wake * 1000, watermark_ms + 1))
+            yield pd.DataFrame(out, columns=names)
 
-    def close(self) -> None:
-        pass
+        return buckets.grouped(rows, count).applyInPandasWithState(run, self.OUTPUT, buckets.STATE, "append", "EventTimeTimeout")

@@ -54,10 +54,6 @@ class Holds(InOrder):
     """States that start, hold for a time and clear: of a fault, of failed deliveries, and of silence."""
 
     ROW = "at_s BIGINT, faulty BOOLEAN, send_failed BOOLEAN"
-    STATE = (
-        "last_s BIGINT, faulty_s BIGINT, faulty_fires BOOLEAN, failed_s BIGINT, failed_fires BOOLEAN, "
-        "silent BOOLEAN, silent_fires BOOLEAN"
-    )
     OUTPUT = "instance STRING, rule STRING, state STRING, at_s BIGINT"
     RULES = ("operational_fault", "notification_failed")
 
@@ -125,15 +121,13 @@ def hold_stream(
 
     ``reports`` has instance, observed_s, faulty and send_failed. A state fires once it has held for its time, by the clock of
     the reports: what fires up to the watermark is what ``operators.ops.stale_monitor`` finds on the reports up to it. Reports
-    may come in any order and micro-batches within ``delay``. Needs the RocksDB state store provider.
+    may come in any order and micro-batches within ``delay``.
     """
     timed = reports.select(
         F.col("instance").cast("string"), F.timestamp_seconds("observed_s").alias("time"),
         F.col("observed_s").cast("long").alias("at_s"), "faulty", "send_failed",
     ).withWatermark("time", delay)
-    return timed.groupBy("instance").transformWithStateInPandas(
-        Holds(stale_s, stale_hold_s, fault_s, failed_s), Holds.OUTPUT, "append", "eventTime"
-    )
+    return Holds(stale_s, stale_hold_s, fault_s, failed_s).over(timed)
 
 
 def firing_at(changes: DataFrame, now_s: int) -> DataFrame:
