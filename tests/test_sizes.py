@@ -83,3 +83,39 @@ def test_a_wrong_length_beside_missing_data(spark, tmp_path):
         to '{tmp_path}/events.parquet' (format parquet)""")
     con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet')")
     assert compare.difference(registry.queries()["factor_resolve"](spark, str(tmp_path)), con, registry.checks()["factor_resolve"]) is None
+
+
+def minute_bars(spark, n):
+    price = [f"cast(id as double) as {c}" for c in ("open", "high", "low", "close")]
+    return spark.range(n).selectExpr(*SERIES_OF, "id * 60000 as ts_ms", *price, "id as volume", "id as open_oi", "id as close_oi")
+
+
+def test_bars_are_verified_in_one_pass(spark):
+    bars = materialize(minute_bars(spark, 3000), "bars")
+    declared = spark.range(2).selectExpr(*SERIES_OF, f"id * {DAY} as cov_start", f"(id + 1) * {DAY} as cov_end", "'v' as data_version", "1 as source_version")
+    catalog = materialize(snapshot.build_catalog(declared, bars), "catalog")
+    found = snapshot.verify_snapshot(bars, catalog)
+    assert len([line for line in plan(found).split("\n") if "FileScan" in line and "ts_ms#" in line]) == 1
+    # 120 bars lie behind both entries.
+    assert [(r.cov_start, r.found_rows, r.problem) for r in found.collect()] == [(None, 120, "outside_coverage")]
+
+
+def test_files_share_a_task(spark):
+    from tidemark.session import scratch
+    from tidemark.sources import bars as bar_files
+
+    path = scratch(spark, "exact")
+    bar_files.write_exact(minute_bars(spark, 400), path, limit=10)
+    names = [r.file.rsplit("/", 1)[-1] for r in bar_files.stored_files(spark, path).collect()]
+    assert len(names) >= 40 and len({name[:10] for name in names}) < 20
+
+
+def test_words_are_those_of_the_content(spark):
+    from tidemark.operators import digest
+
+    values = "(1L, 0.5D, double('NaN'), 7L), (-2L, cast(null as double), -0.0D, cast(null as bigint))"
+    rows = spark.sql(f"select * from values {values} as t(ts_ms, open, high, volume)")
+    words = [F.lpad(F.lower(F.hex(w)), 8, "0") for w in digest.WORDS]
+    want = {r[0] for r in digest.with_bits(rows).select(F.sha2(digest.content_text(rows.columns), 256)).collect()}
+    assert {r[0] for r in digest.with_words(rows).select(F.concat(*words)).collect()} == want
+    assert digest.with_words(rows.where("ts_ms > 5")).count() == 0

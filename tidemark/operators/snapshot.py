@@ -1,55 +1,66 @@
 """Building, comparing and verifying snapshots against their catalog."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import clock, identity
-from tidemark.operators import coverage, digest, ordered, quality
+from tidemark.operators import digest, ordered, quality
 from tidemark.schemas import SERIES
 from tidemark.session import materialize, sized
 
 ENTRY = [*SERIES, "cov_start", "cov_end"]
 
 
-def rows_by_entry(entries: DataFrame, bars: DataFrame) -> DataFrame:
-    """Bars with the entry that covers them; joined by series and day of coverage."""
-    days = F.sequence(
-        clock.floor_div(F.col("cov_start"), fixed.DAY_MS),
-        clock.floor_div(F.col("cov_end") - 1, fixed.DAY_MS),
-    )
-    cut = (
-        entries.where("cov_end > cov_start")
-        .select(*ENTRY)
-        .withColumn(ordered.SLICE, F.explode(days))
+def rows_by_entry(entries: DataFrame, bars: DataFrame, outside: bool = False) -> DataFrame:
+    """Bars with the entry that covers them; joined by series and days of coverage.
+
+    With ``outside``, bars that no entry covers come too, once and without bounds.
+    """
+    held = entries.where("cov_end > cov_start").select(*ENTRY)
+    # Few slices for each entry, and few entries in each slice.
+    span = held.agg(F.avg(F.col("cov_end") - F.col("cov_start"))).first()[0] or 0
+    width = fixed.DAY_MS * min(max(math.ceil(span / fixed.DAY_MS), 1), 32)
+    slices = F.sequence(
+        clock.floor_div(F.col("cov_start"), width), clock.floor_div(F.col("cov_end") - 1, width)
     )
-    rows = ordered.with_slice(bars, "ts_ms", fixed.DAY_MS)
-    inside = (F.col("ts_ms") >= F.col("cov_start")) & (F.col("ts_ms") < F.col("cov_end"))
-    return sized(cut).join(rows, [*SERIES, ordered.SLICE]).where(inside)
+    cut = held.withColumn(ordered.SLICE, F.explode(slices))
+    rows = ordered.with_slice(bars, "ts_ms", width)
+    names = [*SERIES, ordered.SLICE]
+    cut = sized(cut.withColumnsRenamed({n: f"_{n}" for n in names}))
+    same = (F.col("ts_ms") >= F.col("cov_start")) & (F.col("ts_ms") < F.col("cov_end"))
+    for n in names:
+        same = (F.col(n) == F.col(f"_{n}")) & same
+    return rows.join(cut, same, "left" if outside else "inner").drop(*[f"_{n}" for n in names])
 
 
-def hash_parts(text: Column) -> list[Column]:
-    """Four content terms of a row; summed, they do not depend on row order.
+def content_sum() -> Column:
+    """Aggregate of ``digest.with_words``: sums that do not depend on row order.
 
-    They are the quarters of the row's SHA-256, added as decimals, so that sums cannot
-    overflow and partial sums are combined before any shuffle. Times are unique in an
+    They are the sums of the quarters of the rows' SHA-256, added as 32-bit halves, so that up to
+    2 147 483 648 rows cannot overflow (more fail) and partial sums are combined before any shuffle. Times are unique in an
     entry, so two entries with equal counts and sums hold the same rows, collisions aside.
     """
-    quarters = [F.substring(F.sha2(text, 256), 1 + 16 * i, 16) for i in range(4)]
-    return [F.conv(q, 16, 10).cast("decimal(20,0)") for q in quarters]
+    halves = [F.sum(w).cast("decimal(20,0)") for w in digest.WORDS]
+    high = F.lit(1 << 32).cast("decimal(10,0)")
+    return F.concat_ws(":", *[(a * high + b).cast("string") for a, b in zip(halves[::2], halves[1::2])])
+
 
+def entry_facts(entries: DataFrame, bars: DataFrame, outside: bool = False) -> DataFrame:
+    """Row count, bounds, content sum and NULL flag found for each entry.
 
-def entry_facts(entries: DataFrame, bars: DataFrame) -> DataFrame:
-    """Row count, bounds, content sum and NULL flag found for each entry."""
-    sums = [F.sum(p).cast("string") for p in hash_parts(digest.content_text(bars.columns))]
+    With ``outside``, also those of each series' bars that no entry covers, without bounds.
+    """
     return (
-        digest.with_bits(rows_by_entry(entries, bars))
+        digest.with_words(rows_by_entry(entries, bars, outside))
         .groupBy(*ENTRY)
         .agg(
             F.count(F.lit(1)).alias("found_rows"),
             F.min("ts_ms").alias("first_ms"),
             F.max("ts_ms").alias("last_ms"),
-            F.concat_ws(":", *sums).alias("_sum"),
+            content_sum().alias("_sum"),
             F.max(
                 F.col("open").isNull()
                 | F.col("high").isNull()
@@ -91,44 +102,24 @@ def build_catalog(declared: DataFrame, bars: DataFrame) -> DataFrame:
 
 def verify_snapshot(bars: DataFrame, catalog: DataFrame) -> DataFrame:
     """Compare bars with their catalog: one row per entry that differs, or per
-    series with bars no entry covers."""
-    facts = entry_facts(catalog, bars)
-    df = catalog.join(facts, ENTRY, "left")
+    series with bars no entry covers. The bars are read once."""
+    # Facts without bounds find no entry; they are the bars outside.
+    facts = entry_facts(catalog, bars, outside=True)
+    df = catalog.withColumn("_listed", F.lit(True)).join(facts, ENTRY, "full")
     found = F.coalesce("found_rows", F.lit(0))
     content = F.when(F.col("found_rows") > 0, content_hash(F.col("found_rows"), F.col("_sum")))
     problem = (
-        F.when(found != F.col("row_count"), "row_count")
+        F.when(F.col("_listed").isNull(), "outside_coverage")
+        .when(found != F.col("row_count"), "row_count")
         .when(~content.eqNullSafe(F.col("content_hash")), "content_hash")
         .when(
             F.coalesce(F.col("found_null"), F.lit(False)) & ~F.col("nullable_prices"),
             "null_price",
         )
     )
-    wrong = df.withColumn("problem", problem).where("problem is not null").select(
+    return df.withColumn("problem", problem).where("problem is not null").select(
         *ENTRY, "row_count", found.alias("found_rows"), "problem"
     )
-    # Merged coverage is disjoint, so counts alone tell how many bars lie outside.
-    merged = (
-        coverage.with_chain(catalog.where("cov_end > cov_start").select(*ENTRY))
-        .groupBy(*SERIES, "chain")
-        .agg(F.min("cov_start").alias("cov_start"), F.max("cov_end").alias("cov_end"))
-        .drop("chain")
-    )
-    covered = (
-        rows_by_entry(merged, bars.select(*SERIES, "ts_ms"))
-        .groupBy(*SERIES)
-        .agg(F.count(F.lit(1)).alias("_covered"))
-    )
-    stray = (
-        bars.groupBy(*SERIES)
-        .agg(F.count(F.lit(1)).alias("_all"))
-        .join(covered, SERIES, "left")
-        .withColumn("found_rows", F.col("_all") - F.coalesce("_covered", F.lit(0)))
-        .where("found_rows > 0")
-        .drop("_all", "_covered")
-        .withColumn("problem", F.lit("outside_coverage"))
-    )
-    return wrong.unionByName(stray, allowMissingColumns=True)
 
 
 def lost_timestamps(old: DataFrame, new: DataFrame) -> DataFrame:

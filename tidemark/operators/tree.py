@@ -35,11 +35,10 @@ def leaves(bars: DataFrame) -> DataFrame:
 
     The digest covers the exact bytes of the rows in any order, and is combined before its shuffle.
     """
-    sums = [F.sum(p).cast("string") for p in snapshot.hash_parts(digest.content_text(bars.columns))]
     day = clock.floor_div(F.col("ts_ms"), fixed.DAY_MS)
     return (
-        digest.with_bits(bars).groupBy(*SERIES, day.alias("slot"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *sums).alias("_sum"))
+        digest.with_words(bars).groupBy(*SERIES, day.alias("slot"))
+        .agg(F.count(F.lit(1)).alias("rows"), snapshot.content_sum().alias("_sum"))
         .select(
             *SERIES, identity.series_id(*[F.col(c) for c in SERIES]).alias("key"), "slot", "rows",
             snapshot.content_hash(F.col("rows"), F.col("_sum")).alias("digest"),

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import materialize
+
 TABLES = ["events", "orders", "lineitem", "customer", "supplier", "part", "nation", "region"]
 
 # Monday 2024-01-01 00:00 UTC and the length of a week.
@@ -407,6 +409,10 @@ class Shapes:
                 self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._built[name]
 
+    def keep(self, name: str) -> None:
+        """Write a shape that several steps read; shapes that are built from it from now on read the stored table."""
+        self._built[name] = materialize(getattr(self, name), name)
+
     def sql(self, text: str) -> DataFrame:
         parts = {name: getattr(self, name) for name in _names(text)}
         return self.spark.sql(spell(text, SPARK), **parts)

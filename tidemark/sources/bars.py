@@ -6,25 +6,24 @@ statistics, the row groups that hold its symbol and times.
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import fixed
 from tidemark.functions import clock
 from tidemark.operators.snapshot import build_catalog
 from tidemark.schemas import BARS, SERIES
-from tidemark.session import materialize, sized
+from tidemark.session import materialize
 
 PARTITIONS = ["dataset", "market", "yyyymm"]
 
 
 def write_snapshot(
-    bars: DataFrame, path: str, partitions: int | None = None
+    bars: DataFrame, path: str, partitions: int | None = None, limit: int = fixed.SNAPSHOT_ROWS
 ) -> None:
     """Write bars as one sorted snapshot into a new folder.
 
     Range partitioning by series and time splits a large series over many tasks and
-    keeps every file in one short key range.
+    keeps every file in one short key range; a file has at most ``limit`` rows.
     """
     month = F.coalesce(clock.month_of(F.col("ts_ms"), F.col("market")), F.lit("none"))
     keys = [*PARTITIONS, "symbol", "ts_ms"]
@@ -36,57 +35,22 @@ def write_snapshot(
         spread.sortWithinPartitions(*keys)
         .write.mode("errorifexists")
         .option("compression", "zstd")
-        .option("maxRecordsPerFile", fixed.SNAPSHOT_ROWS)
+        .option("maxRecordsPerFile", limit)
         .partitionBy(*PARTITIONS)
         .parquet(path)
     )
 
 
-SLICE = ["symbol", "_day"]
-
-
-def _file_numbers(rows: DataFrame, limit: int) -> tuple[DataFrame, int, int]:
-    """File of every day of every series in its folder, from prefix sums of its rows; number of files; width of a day.
-
-    Files hold whole days in order of series and time, and at most ``limit`` rows. Where a day of one series alone has
-    more, the slices are shorter.
-    """
-    width = fixed.DAY_MS
-    while True:
-        cut = rows.withColumn("_day", clock.floor_div(F.col("ts_ms"), width))
-        sizes = materialize(cut.groupBy(*PARTITIONS, *SLICE).agg(F.count(F.lit(1)).alias("_n")), "days")
-        most = sizes.agg(F.max("_n")).first()[0] or 0
-        if most <= limit or width == 1:
-            break
-        width = max(1, width // 24)
-    order = W.partitionBy(*PARTITIONS).orderBy(*SLICE)
-    # A day that begins below a multiple of the step ends within the limit.
-    step = max(1, limit - most + 1)
-    before = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    numbered = materialize(sizes.withColumn("_cut", F.floor(before / step).cast("long")), "cuts")
-    files = materialize(numbered.select(*PARTITIONS, "_cut").distinct(), "files")
-    each = F.row_number().over(W.orderBy(*PARTITIONS, "_cut")) - 1
-    files = materialize(files.withColumn("_file", each.cast("int")), "numbers")
-    return numbered.join(sized(files), [*PARTITIONS, "_cut"]).select(*PARTITIONS, *SLICE, "_file"), files.count(), width
-
-
 def write_exact(bars: DataFrame, path: str, declared: DataFrame | None = None, limit: int = fixed.SNAPSHOT_ROWS) -> DataFrame | None:
     """Write bars as one snapshot of files with at most ``limit`` rows and one key range each.
 
-    Cut points are prefix sums of the rows per day, known before any bar moves, so each bar is shuffled once, straight to its
-    file. With ``declared`` coverage (as in ``build_catalog``) the catalog of the rows that were written is returned.
+    Every task sorts one key range and cuts it into files. With ``declared`` coverage (as in ``build_catalog``) the catalog
+    of the rows that were written is returned.
     """
-    month = F.coalesce(clock.month_of(F.col("ts_ms"), F.col("market")), F.lit("none"))
-    rows = bars.withColumn("yyyymm", month)
-    numbers, files, width = _file_numbers(rows, limit)
-    placed = rows.withColumn("_day", clock.floor_div(F.col("ts_ms"), width)).join(sized(numbers), [*PARTITIONS, *SLICE]).repartitionById(max(files, 1), F.col("_file"))
-    (
-        placed.sortWithinPartitions(*PARTITIONS, "symbol", "ts_ms").select(*bars.columns, "yyyymm")
-        .write.mode("errorifexists").option("compression", "zstd").partitionBy(*PARTITIONS).parquet(path)
-    )
+    write_snapshot(bars, path, limit=limit)
     if declared is None:
         return None
-    stored = bars.sparkSession.read.schema(rows.select(*bars.columns, "yyyymm").schema).parquet(path)
+    stored = scan_bars(bars.sparkSession, path, schema=bars.schema.toDDL())
     return materialize(build_catalog(declared, stored.drop("yyyymm")), "catalog")
 
 
