@@ -119,3 +119,14 @@ def test_words_are_those_of_the_content(spark):
     want = {r[0] for r in digest.with_bits(rows).select(F.sha2(digest.content_text(rows.columns), 256)).collect()}
     assert {r[0] for r in digest.with_words(rows).select(F.concat(*words)).collect()} == want
     assert digest.with_words(rows.where("ts_ms > 5")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["adjusted_prices"])
+def test_bars_are_derived_once(spark, small, name):
+    from tidemark.plans import registry
+    from tidemark.plans.fixtures import Shapes
+
+    registry.queries()
+    shapes = Shapes(spark, small)
+    registry._QUERIES[name](shapes)
+    assert not [path for path in shapes.f_bars_nullable.inputFiles() if path.endswith("events.parquet")]
