@@ -1,7 +1,5 @@
 """Building, comparing and verifying snapshots against their catalog."""
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ def rows_by_entry(entries: DataFrame, bars: DataFrame, outside: bool = False) ->
     held = entries.where("cov_end > cov_start").select(*ENTRY)
     # Few slices for each entry, and few entries in each slice.
     span = held.agg(F.avg(F.col("cov_end") - F.col("cov_start"))).first()[0] or 0
-    width = fixed.DAY_MS * min(max(math.ceil(span / fixed.DAY_MS), 1), 32)
+    width = fixed.DAY_MS * min(max(round(span / fixed.DAY_MS), 1), 32)
     slices = F.sequence(
         clock.floor_div(F.col("cov_start"), width), clock.floor_div(F.col("cov_end") - 1, width)
     )
