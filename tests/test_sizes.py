@@ -121,7 +121,7 @@ def test_words_are_those_of_the_content(spark):
     assert digest.with_words(rows.where("ts_ms > 5")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["adjusted_prices", "compact_rows", "snapshot_tree_diff", "snapshot_verify", "daily_problems", "export_ingest"])
+@pytest.mark.parametrize("name", ["adjusted_prices", "compact_rows", "snapshot_tree_diff", "snapshot_verify", "daily_problems", "export_ingest", "adjusted_query"])
 def test_bars_are_derived_once(spark, small, name):
     from tidemark.plans import registry
     from tidemark.plans.fixtures import Shapes
