@@ -45,6 +45,29 @@ def test_exploded_slices_are_not_broadcast(spark, written, operator):
     assert {r.request_id: r["at"] for r in first.collect()} == {"r0": [0, step, 2 * step], "r1": [DAY, DAY + step, DAY + 2 * step]}
 
 
+def test_counting_meets_no_suspensions(spark, written):
+    from tidemark.operators import visibility
+
+    price = [f"case when id % 4 = 1 then {v} else cast(id as double) end as {c}" for c, v in [("open", "null"), ("high", "0D"), ("low", "0D"), ("close", "null")]]
+    counts = [f"case when id % 4 = 1 then 0 else id end as {c}" for c in ("volume", "open_oi", "close_oi")]
+    bars = materialize(spark.range(40).selectExpr(*SERIES_OF, f"id * {DAY // 4} as ts_ms", *price, *counts), "bars")
+    pieces = materialize(spark.range(2).selectExpr("concat('r', id) as request_id", *SERIES_OF, "cast(3 as bigint) as max_rows", f"id * {DAY} as lo", f"{9 * DAY} as hi"), "pieces")
+    # The placeholder of the first day is confirmed, that of the second is not.
+    off = spark.createDataFrame([("000002.SZ", 0, DAY, "notice")], "symbol string, start_ms bigint, end_ms bigint, evidence string")
+    rows = scan.first_n(pieces, bars, off)
+    # The days are counted where slices meet bars, and nothing else is joined for them.
+    assert len([line for line in written["slices"].split("\n") if "Join [" in line]) == 1
+    # Only placeholders look for their suspension.
+    assert "Join [" not in plan(rows.where("visible = 1"))
+    found = sorted((r.request_id, r.ts_ms * 4 // DAY, r.visible, r.confirmed) for r in rows.collect())
+    assert found == [
+        ("r0", 0, 1, False), ("r0", 1, 0, True), ("r0", 2, 1, False), ("r0", 3, 1, False),
+        ("r1", 4, 1, False), ("r1", 5, 0, False), ("r1", 6, 1, False), ("r1", 7, 1, False),
+    ]
+    marked = visibility.mark_suspensions(bars, off)
+    assert marked.where("confirmed").count() == 1
+
+
 def test_factor_documents_are_parsed_once(spark):
     from tidemark.sources import factors
 
@@ -130,3 +153,14 @@ def test_bars_are_derived_once(spark, small, name):
     shapes = Shapes(spark, small)
     registry._QUERIES[name](shapes)
     assert not [path for path in shapes.f_bars_nullable.inputFiles() if path.endswith("events.parquet")]
+
+
+def test_series_of_adjusted_answers_are_derived_once(spark, small):
+    from tidemark.plans import registry
+    from tidemark.plans.fixtures import Shapes
+
+    registry.queries()
+    shapes = Shapes(spark, small)
+    registry._QUERIES["adjusted_query"](shapes)
+    bars = set(shapes.f_bars.inputFiles())
+    assert bars and not bars & set(shapes.f_factor_sets.inputFiles())

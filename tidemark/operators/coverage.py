@@ -38,7 +38,7 @@ def overlap(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         clock.floor_div(F.col("cov_start"), BUCKET_MS),
     )
     # Both sides were exploded, so size estimates must not choose a broadcast.
-    pairs = asked.hint("merge").join(covered, [*SERIES, "_bucket"])
+    pairs = asked.hint("merge").join(covered, ["symbol", "_bucket", "dataset", "market"])
     return pairs.where(
         (F.col("cov_end") > F.col("start_stored"))
         & (F.col("cov_start") < F.col("end_stored"))

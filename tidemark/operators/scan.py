@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import clock
-from tidemark.operators import visibility
+from tidemark.operators import quality, visibility
 from tidemark.operators.ordered import SLICE
 from tidemark.schemas import SERIES
 from tidemark.session import materialize, sized
@@ -32,7 +32,8 @@ def rows_of_slices(slices: DataFrame, bars: DataFrame, keys: list[str]) -> DataF
     with their ``yyyymm`` partition, it joins too and prunes the scan.
     """
     cut = bars.withColumn(SLICE, clock.stored_day(F.col("ts_ms"), F.col("market")))
-    on = [*keys, SLICE]
+    # Both sides are sorted by the keys in this order, and few values of the others differ.
+    on = ["symbol", SLICE, *[k for k in keys if k != "symbol"]]
     wanted = slices
     if "yyyymm" in bars.columns:
         wanted = wanted.withColumn(
@@ -69,50 +70,49 @@ def first_n(
     is kept while fewer than ``max_rows`` visible rows precede it, so placeholders
     never use up the limit and those behind the last visible row are not counted.
 
-    A first pass only counts visible rows per request and day (pre-aggregated before
-    its shuffle); the second pass then reads just the days the limit reaches, and
-    numbers rows inside one day.
+    A first pass only counts visible rows per piece and day, from times alone and
+    where the join leaves them; the second pass then reads just the days the limit
+    reaches, and numbers rows inside one day. Only placeholders meet the suspensions.
     """
     keys = keys or SERIES
     slices = piece_slices(pieces)
-    days_off = None
-    if suspensions is not None:
-        days_off = sized(materialize(visibility.suspension_days(suspensions), "suspensions"))
-
-    def scan(part: DataFrame) -> DataFrame:
-        rows = rows_of_slices(part, bars, keys).withColumn(
-            "utc_ms", clock.served_ms(F.col("ts_ms"), F.col("market"))
-        )
-        if days_off is None:
-            rows = rows.withColumn("null_class", F.lit("normal")).withColumn(
-                "confirmed", F.lit(False)
-            )
-        else:
-            rows = visibility.mark_suspension_days(rows, days_off, "utc_ms")
-        return rows.withColumn("visible", (F.col("null_class") == "normal").cast("int"))
-
-    days = scan(slices).groupBy("request_id", SLICE).agg(F.sum("visible").alias("_n"))
+    shown = F.lit(1) if suspensions is None else (quality.null_class() == "normal").cast("int")
+    month = [c for c in ["yyyymm"] if c in bars.columns]
+    times = bars.select(*keys, "ts_ms", *month, shown.alias("visible"))
+    counts = rows_of_slices(slices, times, keys).groupBy(*slices.columns).agg(F.sum("visible").alias("_n"))
+    # Earlier days, whatever the pieces of a day.
     before = (
         Window.partitionBy("request_id")
         .orderBy(SLICE)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    reach = days.select(
-        "request_id", SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+        .rangeBetween(Window.unboundedPreceding, -1)
     )
+    reach = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     # Request days within reach: written once, so that they can be counted for the join.
-    needed = materialize(with_reach(slices, reach).where("_off < max_rows"), "slices")
+    needed = materialize(reach.where("_off < max_rows"), "slices")
     inside = (
         Window.partitionBy("request_id", SLICE)
         .orderBy("ts_ms")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        scan(needed)
+    rows = (
+        rows_of_slices(needed, bars, keys)
+        .withColumn("utc_ms", clock.served_ms(F.col("ts_ms"), F.col("market")))
+        .withColumn("null_class", F.lit("normal") if suspensions is None else quality.null_class())
+        .withColumn("visible", (F.col("null_class") == "normal").cast("int"))
         .withColumn("_seen", F.coalesce(F.sum("visible").over(inside), F.lit(0)))
         .where(F.col("_seen") + F.col("_off") < F.col("max_rows"))
         .drop("_seen", "_off", SLICE, "lo", "hi")
     )
+    if suspensions is None:
+        return rows.withColumn("confirmed", F.lit(False))
+    stored = materialize(rows, "reached")
+    days_off = sized(materialize(visibility.suspension_days(suspensions), "suspensions"))
+    hidden = F.col("null_class") == "suspended"
+    held = visibility.mark_suspension_days(stored.where(hidden), days_off, "utc_ms")
+    # Stated again, so that steps that ask for visible rows leave the join out.
+    return stored.where(~hidden).withColumn("confirmed", F.lit(False)).unionByName(
+        held.withColumn("visible", F.lit(0))
+    )
 
 
 def read_summary(rows: DataFrame, keys: list[str], at: str = "ts_ms") -> DataFrame:

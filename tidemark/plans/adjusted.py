@@ -1,5 +1,7 @@
 """Adjusted answers: complete coverage, the requested factor window, the returned anchor."""
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,16 @@ SET_COLUMNS = [
 ]
 
 
+MODELS = [fixed.MODEL_CUMULATIVE, fixed.MODEL_AFFINE]
+
+
 def _bind(requests: DataFrame, factor_sets: DataFrame, factors: DataFrame, now_ms: Column):
     """Add the factor set of each request and the first reason it cannot be used."""
+    # Whether any event is in reach is a fact of the symbol's first one.
+    first = factors.groupBy("symbol").agg(F.min("day").alias("_first"))
     sets = factor_sets.select(
         "symbol", "market", *[F.col(c).alias(f"set_{c}") for c in SET_COLUMNS]
-    )
+    ).join(first, "symbol", "left")
     df = (
         requests.withColumn("ask_first", clock.stored_day(F.col("start_stored"), F.col("market")))
         .withColumn("ask_last", clock.stored_day(F.col("end_stored") - 1, F.col("market")))
@@ -33,13 +40,7 @@ def _bind(requests: DataFrame, factor_sets: DataFrame, factors: DataFrame, now_m
     cumulative = F.col("set_model") == fixed.MODEL_CUMULATIVE
     # In reach: cumulative sets need an event up to the last asked day, affine any event.
     horizon = F.when(cumulative, F.col("ask_last")).otherwise(F.lit(fixed.LAST_CIVIL_DAY))
-    df = df.withColumn("_horizon", horizon)
-    reach = adjust.factor_asof(
-        df.select("symbol", F.col("_horizon").alias("day")),
-        factors.withColumn("event_day", F.col("day")),
-        ["event_day"],
-    ).withColumnRenamed("day", "_horizon")
-    df = df.join(reach, ["symbol", "_horizon"], "left")
+    reached = F.coalesce(F.col("_first") <= horizon, F.lit(False))
     problem = (
         F.when(F.col("set_model").isNull(), "factors_missing")
         .when(F.col("set_observed_at_ms") > now_ms, "future_dated")
@@ -48,9 +49,9 @@ def _bind(requests: DataFrame, factor_sets: DataFrame, factors: DataFrame, now_m
             | (F.col("ask_last") >= F.col("set_end_day")),
             "factor_window",
         )
-        .when(F.col("event_day").isNull() & ~F.col("set_allow_empty"), "no_factors")
+        .when(~reached & ~F.col("set_allow_empty"), "no_factors")
     )
-    return df.withColumn("factor_problem", problem).drop("_horizon", "event_day")
+    return df.withColumn("factor_problem", problem).drop("_first")
 
 
 def adjusted_rows(
@@ -65,6 +66,8 @@ def adjusted_rows(
         .withColumn("local_day", clock.stored_day(F.col("ts_ms"), F.col("market")))
         .join(terms, "request_id")
     )
+    # A model that no set has would read all rows for nothing.
+    found = terms.where(F.col("set_model").isin(MODELS)).select("set_model").distinct().collect()
     parts = [
         adjust.adjust(
             shown.where(F.col("set_model") == model),
@@ -72,9 +75,9 @@ def adjusted_rows(
             model,
             ["request_id"],
         )
-        for model in [fixed.MODEL_CUMULATIVE, fixed.MODEL_AFFINE]
+        for model in sorted(r.set_model for r in found) or MODELS[:1]
     ]
-    return parts[0].unionByName(parts[1])
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def adjusted_query(
@@ -91,10 +94,11 @@ def adjusted_query(
     The factor window is taken from the requested days, the forward anchor from the
     last row that was returned; truncating an answer therefore moves its anchor.
     """
-    refused, judged = answer.judge(requests, catalog)
-    judged = materialize(_bind(judged, factor_sets, factors, now_ms), "bound")
-    # At most the row limit per request; outcome, lookups and anchors all read it.
-    rows = materialize(answer.selected_rows(judged, bars, suspensions), "selected")
+    refused, judged = answer.judge(
+        requests, catalog, extend=lambda df: _bind(df, factor_sets, factors, now_ms)
+    )
+    # At most the row limit per request, stored; outcome, lookups and anchors all read it.
+    rows = answer.selected_rows(judged, bars, suspensions)
     result = answer.outcome(refused, judged, rows)
     adjusted = adjusted_rows(judged.where("status in ('HIT', 'PARTIAL')"), rows, factors)
     anchors = adjusted.groupBy("request_id").agg(

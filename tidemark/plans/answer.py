@@ -1,5 +1,7 @@
 """Answer many range requests at once; every outcome is a row, none an exception."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,18 @@ from tidemark.session import materialize
 TIERED = [*SERIES, "tier"]
 
 
-def judge(requests: DataFrame, catalog: DataFrame, max_rows: int = fixed.MAX_ANSWER_ROWS):
+def judge(
+    requests: DataFrame,
+    catalog: DataFrame,
+    max_rows: int = fixed.MAX_ANSWER_ROWS,
+    extend: Callable[[DataFrame], DataFrame] = lambda judged: judged,
+):
     """(refused requests, requests with pieces, frontier and status by coverage).
 
     Every later step starts from these tables, one row per request. They are written
     to shared scratch once, so that neither the rules nor the catalog join run again
-    for each step, and a lost executor does not bring them back.
+    for each step, and a lost executor does not bring them back. ``extend`` adds columns
+    to the second table before it is written.
     """
     normal = materialize(asks.normalize_requests(requests, max_rows), "requests")
     refused = normal.where("status is not null")
@@ -43,7 +51,7 @@ def judge(requests: DataFrame, catalog: DataFrame, max_rows: int = fixed.MAX_ANS
         .withColumn("reason", reason)
         .withColumn("detail", detail)
     )
-    return refused, materialize(judged, "judged")
+    return refused, materialize(extend(judged), "judged")
 
 
 def selected_rows(

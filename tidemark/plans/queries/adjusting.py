@@ -195,6 +195,7 @@ ADJUSTED = f"""
 
 def adjusted_parts(f):
     f.keep("f_bars")
+    f.keep("f_series")
     f.keep("f_factors")
     mode = F.when(F.col("uid") % 2 == 0, "forward").otherwise("backward")
     asked = f.f_requests.withColumn("adjust", mode)

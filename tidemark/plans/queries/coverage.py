@@ -285,7 +285,7 @@ def visible_rows(f):
 def answer_digest(f):
     _, judged = answer.judge(f.f_requests, f.f_catalog_tiers)
     rows = answer.selected_rows(judged, f.f_bars_tiers, f.f_suspensions)
-    return answer.answer_digests(judged, materialize(rows, "selected"))
+    return answer.answer_digests(judged, rows)
 
 
 @query(
