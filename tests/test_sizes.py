@@ -170,6 +170,28 @@ def test_bars_are_derived_once(spark, small, name):
     assert not [path for path in shapes.f_bars_nullable.inputFiles() if path.endswith("events.parquet")]
 
 
+def test_arriving_exports_are_known_by_their_lists(spark, small, monkeypatch):
+    """What the driver keeps of a stream of exports are lists of them, not their names."""
+    from pathlib import Path
+
+    from tidemark import session
+    from tidemark.plans import registry
+    from tidemark.plans.queries import snapshots
+
+    paths = {}
+
+    def scratch(spark, label):
+        paths[label] = session.scratch(spark, label)
+        return paths[label]
+
+    registry.queries()
+    monkeypatch.setattr(snapshots, "scratch", scratch)
+    found = registry.queries()["export_arrivals"](spark, small)
+    taken = [line for p in Path(f"{paths['state']}/sources/0").iterdir() if p.name.isdigit() for line in p.read_text().splitlines() if "path" in line]
+    files = [p for p in Path(paths["exports"]).iterdir() if not p.name.startswith(".")]
+    assert found.count() == len(files) > 2 * len(taken) > 0
+
+
 def test_series_of_adjusted_answers_are_derived_once(spark, small):
     from tidemark.plans import registry
     from tidemark.plans.fixtures import Shapes

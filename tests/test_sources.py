@@ -160,6 +160,30 @@ def test_arriving_exports_are_read_once(spark, tmp_path):
     assert snapshot.exact_rows_diff(spark.read.parquet(stored), rows, rows.columns).count() == 0
 
 
+def test_listed_exports_are_read_once(spark, tmp_path):
+    """Lists that come between runs of a stream; a list of a lost attempt has no name, and what it lists is not read."""
+    folder, lists, stored, state = (str(tmp_path / n) for n in ("in", "lists", "out", "state"))
+    rows = bars_to_export(spark, 1001)
+    for name in ("a.bin", "b.bin"):
+        exports.write_exports(rows.where(F.col("file") == name), folder, fixed.ENCODING_NATIVE, lists)
+        (tmp_path / "lists" / f".lost-{name}.json").write_text('{"file":"none.bin","bytes":64}\n')
+        arriving = exports.stream_listed(spark, folder, lists, fixed.ENCODING_NATIVE, split=6400, maxFilesPerTrigger=1)
+        query = arriving.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True)
+        query.start(stored).awaitTermination()
+    assert snapshot.exact_rows_diff(spark.read.parquet(stored), rows, rows.columns).count() == 0
+    lines = [json.loads(line) for p in (tmp_path / "lists").glob("[!.]*.json") for line in p.read_text().splitlines()]
+    assert sorted((x["file"], x["bytes"]) for x in lines) == [("a.bin", 501 * 64), ("b.bin", 500 * 64)]
+
+
+def test_a_failed_write_lists_nothing(spark, tmp_path):
+    folder, lists = tmp_path / "in", tmp_path / "lists"
+    rows = bars_to_export(spark, 101)
+    broken = rows.withColumn("high", F.when((F.col("file") == "b.bin") & (F.col("row_no") == 40), F.raise_error("lost")).otherwise(F.col("high")))
+    with pytest.raises(Exception, match="lost"):
+        exports.write_exports(broken, str(folder), fixed.ENCODING_NATIVE, str(lists))
+    assert not lists.exists() or not [p for p in lists.iterdir() if not p.name.startswith(".")]
+
+
 def factor_doc(**changes):
     doc = {
         "schema_version": 1, "kind": "ddb-adjustment-snapshot-v1", "algorithm": "upcloud-adjustment-v1",

@@ -1,5 +1,6 @@
 """Fixed-width binary exports: a sink, a source whose partitions are ranges of records, and a stream of arriving files."""
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -176,27 +177,44 @@ class PushingReader(ExportReader):
 @dataclass
 class Written(WriterCommitMessage):
     files: int
+    listed: str | None  # hidden name of the list of these files
+
+
+# Lines of a list of files.
+LISTED = "file string, bytes bigint"
 
 
 class ExportWriter(DataSourceArrowWriter):
     """One file per value of ``file``, in the order of the rows.
 
     A file gets its name when it is complete, so a lost attempt leaves at most a hidden one, and a
-    repeated attempt puts the same bytes in its place.
+    repeated attempt puts the same bytes in its place. The list of a task's files, if lists are wanted, gets its name
+    when the whole write is committed, so that no lost or repeated attempt lists a file.
     """
 
     def __init__(self, options: dict):
-        self.path, self.encoding = options["path"], options["encoding"]
+        self.path, self.encoding, self.lists = options["path"], options["encoding"], options.get("lists")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         layout = np.dtype(RECORDS[self.encoding])
         files, root = located(self.path)
         files.create_dir(root, recursive=True)
         count, current, sink, hidden = 0, None, None, None
+        listed, listing = None, None
+        if self.lists:
+            shelf, place = located(self.lists)
+            shelf.create_dir(place, recursive=True)
 
         def close() -> None:
+            nonlocal listed, listing
+            size = sink.tell()
             sink.close()
             files.move(hidden, f"{root}/{current}")
+            if self.lists and not listing:
+                listed = f".{uuid.uuid4().hex}.json"
+                listing = shelf.open_output_stream(f"{place}/{listed}", buffer_size=1 << 16)
+            if listing:
+                listing.write(json.dumps({"file": current, "bytes": size}).encode() + b"\n")
 
         for batch in iterator:
             names = np.asarray(batch.column("file"))
@@ -217,7 +235,15 @@ class ExportWriter(DataSourceArrowWriter):
                 sink.write(records[a:b].tobytes())
         if sink:
             close()
-        return Written(count)
+        if listing:
+            listing.close()
+        return Written(count, listed)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        for message in messages:
+            if message and message.listed:
+                files, place = located(self.lists)
+                files.move(f"{place}/{message.listed}", f"{place}/{message.listed[1:]}")
 
 
 class Exports(DataSource):
@@ -242,16 +268,18 @@ class Exports(DataSource):
         return ExportWriter(self.options)
 
 
-def write_exports(rows: DataFrame, path: str, encoding: str) -> None:
+def write_exports(rows: DataFrame, path: str, encoding: str, lists: str | None = None) -> None:
     """Write rows with the columns of ``fields`` to one file for each ``file``, in the order of ``row_no``.
 
     A file is written by one task, row after row. NULL prices become the sentinel; other fields must not be NULL.
-    A file of the same name is replaced; without rows nothing is written.
+    A file of the same name is replaced; without rows nothing is written. In the folder ``lists``, if one is given, each
+    task leaves one list of its files with their lengths, for ``stream_listed``.
     """
     rows.sparkSession.dataSource.register(Exports)
     chosen = rows.select(*[F.col(c).cast(t) for c, (t, _) in fields(encoding).items()])
     ordered = chosen.repartition("file").sortWithinPartitions("file", "row_no")
-    ordered.write.format(FORMAT).option("encoding", encoding).mode("append").save(path)
+    sink = ordered.write.format(FORMAT).option("encoding", encoding)
+    (sink.option("lists", lists) if lists else sink).mode("append").save(path)
 
 
 def scan_exports(spark: SparkSession, path: str, encoding: str, columns: list[str] | None = None, split: int = SPLIT) -> DataFrame:
@@ -276,11 +304,30 @@ def export_files(spark: SparkSession, path: str) -> DataFrame:
 def stream_exports(spark: SparkSession, path: str, encoding: str, columns: list[str] | None = None, split: int = SPLIT, **options: object) -> DataFrame:
     """Rows of exports as they arrive in a folder, each file once; ``options`` are those of Spark's file stream.
 
-    The stream lists names and lengths alone; long files are cut into ranges that are dealt over the tasks.
+    The stream lists names and lengths alone, all of the folder on the driver; long files are cut into ranges that are dealt
+    over the tasks.
     """
-    width, columns = fixed.RECORD_BYTES[encoding], columns or list(fields(encoding))
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     arriving = spark.readStream.format("binaryFile").schema(schema).options(**options).load(path)
+    return _dealt_records(arriving.select("path", "length"), encoding, columns, split)
+
+
+def stream_listed(
+    spark: SparkSession, path: str, lists: str, encoding: str, columns: list[str] | None = None, split: int = SPLIT, **options: object
+) -> DataFrame:
+    """Rows of exports in a folder as lists of them arrive in ``lists``, each list once; ``options`` are those of Spark's file stream.
+
+    Lists hold one line of ``LISTED`` for each file, as ``write_exports`` leaves them: one for each task, whatever the number of
+    files. The driver knows lists alone; tasks read the names in them. A file that is written again is listed again.
+    """
+    arriving = spark.readStream.schema(LISTED).options(**options).json(lists)
+    named = F.concat(F.lit(path.rstrip("/") + "/"), "file")
+    return _dealt_records(arriving.select(named.alias("path"), F.col("bytes").alias("length")), encoding, columns, split)
+
+
+def _dealt_records(arriving: DataFrame, encoding: str, columns: list[str] | None, split: int) -> DataFrame:
+    """Rows of the files at ``path`` of ``length`` bytes, whose ranges are dealt over the tasks."""
+    width, columns = fixed.RECORD_BYTES[encoding], columns or list(fields(encoding))
     records = F.floor(F.col("length") / width)
     step = max(split // width, 1)
     firsts = F.explode(F.when(records > 0, F.sequence(F.lit(0).cast("bigint"), records - 1, F.lit(step).cast("bigint"))))
